@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import op02_media, op03_url_filter
+from tamarack.llm import op02_media as media
+from tamarack.llm import op03_url_filter as urls
+from tamarack.llm import op04_quality_rules as rules
+from tamarack.llm import op10_quality_classifier as classifier
 from tamarack.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,14 +20,22 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op02_media.digest(op02_media.read_media(op02_media.store_media(table(spark, sf_dir, "documents"))))
+    return media.digest(media.read_media(media.store_media(table(spark, sf_dir, "documents"))))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op03_url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES |= {"op2_media": op2_media, "op3_url_filter": op3_url_filter}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op2_media": op2_media, "op3_url_filter": op3_url_filter, "op4_quality_rules": op4_quality_rules, "op10_quality_classifier": op10_quality_classifier}
 
 ORACLES["op3_url_filter"] = r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
