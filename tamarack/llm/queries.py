@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamarack.llm import op02_media as media
 from tamarack.llm import op03_url_filter as urls
 from tamarack.llm import op04_quality_rules as rules
+from tamarack.llm import op05_packing as packing
+from tamarack.llm import op06_bpe as bpe
+from tamarack.llm import op08_token_counts as counts
 from tamarack.llm import op10_quality_classifier as classifier
 from tamarack.llm.common import table
 
@@ -31,11 +36,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    done = bpe.decode_texts(bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary, pattern), vocabulary, pattern)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {"op2_media": op2_media, "op3_url_filter": op3_url_filter, "op4_quality_rules": op4_quality_rules, "op10_quality_classifier": op10_quality_classifier}
+QUERIES |= {"op2_media": op2_media, "op3_url_filter": op3_url_filter, "op4_quality_rules": op4_quality_rules, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op8_token_counts": op8_token_counts, "op10_quality_classifier": op10_quality_classifier}
 
 ORACLES["op3_url_filter"] = r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
