@@ -13,6 +13,7 @@ from tamarack.llm import op03_url_filter as urls
 from tamarack.llm import op04_quality_rules as rules
 from tamarack.llm import op05_packing as packing
 from tamarack.llm import op06_bpe as bpe
+from tamarack.llm import op07_pii as pii
 from tamarack.llm import op08_token_counts as counts
 from tamarack.llm import op09_simhash as simhash
 from tamarack.llm import op10_quality_classifier as classifier
@@ -47,6 +48,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -59,7 +64,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {"op2_media": op2_media, "op3_url_filter": op3_url_filter, "op4_quality_rules": op4_quality_rules, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op10_quality_classifier": op10_quality_classifier}
+QUERIES |= {"op2_media": op2_media, "op3_url_filter": op3_url_filter, "op4_quality_rules": op4_quality_rules, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op10_quality_classifier": op10_quality_classifier}
 
 ORACLES["op3_url_filter"] = r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
