@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.llm import op01_html as pages
 from tamarack.llm import op02_media as media
 from tamarack.llm import op03_url_filter as urls
 from tamarack.llm import op04_quality_rules as rules
@@ -26,6 +27,10 @@ ORACLES: dict[str, str] = {}
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"), pages.train(spark))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.read_media(media.store_media(table(spark, sf_dir, "documents"))))
 
@@ -64,7 +69,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {"op2_media": op2_media, "op3_url_filter": op3_url_filter, "op4_quality_rules": op4_quality_rules, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op10_quality_classifier": op10_quality_classifier}
+QUERIES |= {"op1_html": op1_html, "op2_media": op2_media, "op3_url_filter": op3_url_filter, "op4_quality_rules": op4_quality_rules, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op10_quality_classifier": op10_quality_classifier}
 
 ORACLES["op3_url_filter"] = r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
