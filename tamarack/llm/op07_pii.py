@@ -27,7 +27,7 @@ from tamarack.llm.common import checkpointed
 
 KEY, ROUNDS = "tamarack", 12
 #: Noncharacters mark an entity's beginning, its groups and its end; a fourth escapes them where a text has them.
-OPEN, NEXT, CLOSE, ESCAPE = "﷐", "﷑", "﷒", "﷓"
+OPEN, NEXT, CLOSE, ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
 _MALE, _FEMALE, _ANY = "Mr|Herrn?|Monsieur|Señor|Sr|Господин", "Mrs|Ms|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Госпожа", "Dr|Prof"
 _NAME = r"\p{Lu}\p{Ll}{1,24}"

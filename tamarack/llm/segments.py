@@ -13,7 +13,7 @@ from collections.abc import Callable
 import regex
 
 #: Unicode's White_Space, written out: libraries differ on what \s holds.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNEVEN = re.compile(f" (?:[{WHITE}]|\\Z)")
 
 
