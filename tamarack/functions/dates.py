@@ -11,11 +11,12 @@ from tamarack.functions.text import clean_text
 # Month names and units of relative dates.
 MONTHS = {"janvier": 1, "fevrier": 2, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "aout": 8, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12, "décembre": 12}
 UNIT_SECONDS = {"minute": 60, "heure": 3600, "jour": 86400, "semaine": 604800, "mois": 2592000, "an": 31536000, "année": 31536000, "annee": 31536000}
-FORMATS = ["yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "EEE, dd MMM yyyy HH:mm:ss Z", "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
+FORMATS = ["yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd MMM yyyy HH:mm:ss Z", "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
 
 
 def parse_date(text: Column) -> Column:
-    """A date in one of the usual written forms, else null."""
+    """A date in one of the usual written forms, a weekday before it left out; else null."""
+    text = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS])
 
 
@@ -24,7 +25,7 @@ def _map(values: dict) -> Column:
 
 
 def _shift(at: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(at) - (seconds * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(F.unix_micros(at) - seconds.cast("bigint") * 1_000_000)
 
 
 def parse_french_date(text: Column, as_of: Column) -> Column:
@@ -40,8 +41,8 @@ def parse_french_date(text: Column, as_of: Column) -> Column:
         F.when(t == "", None)
         .when(t.rlike("aujourd'?hui|à l'instant|maintenant"), as_of)
         .when(t.rlike(ecma(r"\bhier\b")), _shift(as_of, F.lit(86400)))
-        .when(unit != "", _shift(as_of, number * _map(UNIT_SECONDS)[unit]))
-        .when(month.isNotNull(), _shift(first, (1 - day) * 86400))
+        .when(unit != "", _shift(as_of, number * _map(UNIT_SECONDS)[unit].cast("bigint")))
+        .when(month.isNotNull(), _shift(first, (1 - day).cast("bigint") * 86400))
         .otherwise(parse_date(F.trim(text)))
     )
 
@@ -82,6 +83,6 @@ def format_salary(low: Column, high: Column, period: Column) -> Column:
     """« 55 000 $ – 75 000 $ / an »; grouping by no-break blanks."""
     from tamarack.taxonomy import label
 
-    money = lambda x: F.concat(F.replace(F.format_number(x, "#,##0"), F.lit(","), F.lit("\u00a0")), F.lit("\u00a0$"))
+    money = lambda x: F.concat(F.replace(F.format_number(x, 0), F.lit(","), F.lit("\u00a0")), F.lit("\u00a0$"))
     amount = F.when(low.isNotNull() & high.isNotNull() & (low != high), F.concat(money(low), F.lit(" – "), money(high))).otherwise(money(F.coalesce(high, low)))
     return F.when(F.coalesce(low, high).isNotNull(), F.concat_ws(" ", amount, label("salary_period", period)))
