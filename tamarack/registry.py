@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("search_queries", "rollup_queries", "rule_queries", "ingest_queries", "extract_queries")
+MODULES = ("search_queries", "rollup_queries", "rule_queries", "ingest_queries", "extract_queries", "stream_queries")
 
 
 def load() -> None:
