@@ -39,39 +39,46 @@ def _supplier_payload(spark, sf_dir, item, wrap=None):
     return rows.select(F.col("s_nationkey").cast("string").alias("source_id"), F.lit("Acme").alias("company"), F.concat(F.lit("h"), F.col("s_nationkey").cast("string")).alias("handle"), body.alias("payload"))
 
 
-_KEY = F.col("s_suppkey").cast("string")
-_NAME = F.concat(F.lit("  "), F.col("s_name"), F.lit(" "))
+def _key():
+    return F.col("s_suppkey").cast("string")
+
+
+def _name():
+    """A supplier's name amid blanks."""
+    return F.concat(F.lit("  "), F.col("s_name"), F.lit(" "))
+
+
 _KIND_SQL = f"{sql_first_match('lower(kind)', R.EMPLOYMENT_RULES)}"
 _SUPPLIERS = f"(SELECT *, {sql_dealt(TYPES, 's_suppkey')} AS kind FROM supplier)"
 
 
 @query("ats_greenhouse", "SELECT s_nationkey::VARCHAR AS source_id, 'https://g/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 3 <> 0 THEN 'Laval' END AS location FROM supplier WHERE s_suppkey % 7 <> 0", views=False)
 def ats_greenhouse(spark, sf_dir):
-    item = F.struct(_NAME.alias("title"), F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("https://g/"), _KEY)).alias("absolute_url"), F.struct(F.when(F.col("s_suppkey") % 3 != 0, " Laval ").alias("name")).alias("location"))
+    item = F.struct(_name().alias("title"), F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("https://g/"), _key())).alias("absolute_url"), F.struct(F.when(F.col("s_suppkey") % 3 != 0, " Laval ").alias("name")).alias("location"))
     return payloads.parse_ats(_supplier_payload(spark, sf_dir, item, "jobs"), "greenhouse").select("source_id", "url", "title", "location")
 
 
 @query("ats_lever", f'SELECT s_nationkey::VARCHAR AS source_id, \'https://l/\' || s_suppkey AS url, s_name AS title, {_KIND_SQL} AS "employmentType" FROM {_SUPPLIERS}', views=False)
 def ats_lever(spark, sf_dir):
-    item = F.struct(_NAME.alias("text"), F.concat(F.lit("https://l/"), _KEY).alias("hostedUrl"), F.struct(F.lit("Laval").alias("location"), F.col("kind").alias("commitment")).alias("categories"))
+    item = F.struct(_name().alias("text"), F.concat(F.lit("https://l/"), _key()).alias("hostedUrl"), F.struct(F.lit("Laval").alias("location"), F.col("kind").alias("commitment")).alias("categories"))
     return payloads.parse_ats(_supplier_payload(spark, sf_dir, item), "lever").select("source_id", "url", "title", "employmentType")
 
 
 @query("ats_recruitee", f"SELECT s_nationkey::VARCHAR AS source_id, 'https://r/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'L' ELSE 'C' END AS location, {_KIND_SQL} AS \"employmentType\" FROM {_SUPPLIERS}", views=False)
 def ats_recruitee(spark, sf_dir):
-    item = F.struct(_NAME.alias("title"), F.concat(F.lit("https://r/"), _KEY).alias("careers_url"), F.when(F.col("s_suppkey") % 2 == 0, "L").otherwise("").alias("location"), F.lit("C").alias("city"), F.col("kind").alias("employment_type_code"))
+    item = F.struct(_name().alias("title"), F.concat(F.lit("https://r/"), _key()).alias("careers_url"), F.when(F.col("s_suppkey") % 2 == 0, "L").otherwise("").alias("location"), F.lit("C").alias("city"), F.col("kind").alias("employment_type_code"))
     return payloads.parse_ats(_supplier_payload(spark, sf_dir, item, "offers"), "recruitee").select("source_id", "url", "title", "location", "employmentType")
 
 
 @query("ats_smartrecruiters", "SELECT s_nationkey::VARCHAR AS source_id, 'https://jobs.smartrecruiters.com/h' || s_nationkey || '/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'Laval, QC' ELSE 'QC' END AS location FROM supplier WHERE s_suppkey % 5 <> 0", views=False)
 def ats_smartrecruiters(spark, sf_dir):
-    item = F.struct(_NAME.alias("name"), F.when(F.col("s_suppkey") % 5 != 0, _KEY).alias("id"), F.struct(F.when(F.col("s_suppkey") % 2 == 0, "Laval").otherwise("").alias("city"), F.lit("QC").alias("region")).alias("location"))
+    item = F.struct(_name().alias("name"), F.when(F.col("s_suppkey") % 5 != 0, _key()).alias("id"), F.struct(F.when(F.col("s_suppkey") % 2 == 0, "Laval").otherwise("").alias("city"), F.lit("QC").alias("region")).alias("location"))
     return payloads.parse_ats(_supplier_payload(spark, sf_dir, item, "content"), "smartrecruiters").select("source_id", "url", "title", "location")
 
 
 @query("bamboo_list", f"SELECT s_nationkey::VARCHAR AS source_id, 'b/careers/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 4 = 0 THEN 'teletravail' END AS remote, {_KIND_SQL} AS \"employmentType\", CASE WHEN s_suppkey % 3 = 0 THEN 'Civil' ELSE '' END AS tags FROM {_SUPPLIERS}", views=False)
 def bamboo_list(spark, sf_dir):
-    item = F.struct(F.col("s_suppkey").alias("id"), _NAME.alias("jobOpeningName"), F.when(F.col("s_suppkey") % 3 == 0, "Civil").otherwise("").alias("departmentLabel"), F.col("kind").alias("employmentStatusLabel"), (F.col("s_suppkey") % 4 == 0).alias("isRemote"))
+    item = F.struct(F.col("s_suppkey").alias("id"), _name().alias("jobOpeningName"), F.when(F.col("s_suppkey") % 3 == 0, "Civil").otherwise("").alias("departmentLabel"), F.col("kind").alias("employmentStatusLabel"), (F.col("s_suppkey") % 4 == 0).alias("isRemote"))
     rows = _supplier_payload(spark, sf_dir, item, "result").withColumn("base", F.lit("b"))
     return payloads.parse_bamboo(rows).select("source_id", "url", "title", "remote", "employmentType", F.array_join("tags", ",").alias("tags"))
 
@@ -80,14 +87,14 @@ def bamboo_list(spark, sf_dir):
 def ultipro_search(spark, sf_dir):
     key = F.col("s_suppkey")
     near = F.array(F.struct(F.when(key % 2 == 0, "Alma").alias("City"), F.struct(F.when(key % 2 == 0, "QC").alias("Code")).alias("State"), F.struct(F.lit("Amos").alias("City")).alias("Address")))
-    item = F.struct(_KEY.alias("Id"), _NAME.alias("Title"), F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("FullTime"), F.lit("2001-05-06T00:00:00Z").alias("PostedDate"), near.alias("Locations"))
+    item = F.struct(_key().alias("Id"), _name().alias("Title"), F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("FullTime"), F.lit("2001-05-06T00:00:00Z").alias("PostedDate"), near.alias("Locations"))
     rows = _supplier_payload(spark, sf_dir, item, "Opportunities").withColumns({"tenant": F.lit("t"), "board": F.lit("g")})
     return payloads.parse_ultipro(rows).select("source_id", "url", "title", "employmentType", "location", stamp("postedAt").alias("posted"))
 
 
 @query("zoho_embedded", """SELECT s_nationkey::VARCHAR AS source_id, 'https://z/' || s_suppkey || '/' || regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') AS url, s_name AS title, 'Laval, QC' AS location FROM supplier WHERE s_suppkey % 6 <> 0""", views=False)
 def zoho_embedded(spark, sf_dir):
-    item = F.struct(_KEY.alias("id"), F.when(F.col("s_suppkey") % 6 == 0, "Candidature spontanée").otherwise(_NAME).alias("Posting_Title"), F.lit("Laval").alias("City"), F.lit("QC").alias("State"))
+    item = F.struct(_key().alias("id"), F.when(F.col("s_suppkey") % 6 == 0, "Candidature spontanée").otherwise(_name()).alias("Posting_Title"), F.lit("Laval").alias("City"), F.lit("QC").alias("State"))
     rows = _supplier_payload(spark, sf_dir, item).withColumn("careers_url", F.lit("https://z//"))
     page = F.concat(F.lit('<html><input type="hidden" id="jobs" value="'), F.replace("payload", F.lit('"'), F.lit("&quot;")), F.lit('"></html>'))
     return payloads.parse_zoho_json(rows.withColumn("payload", page)).select("source_id", "url", "title", "location")
@@ -97,7 +104,7 @@ def zoho_embedded(spark, sf_dir):
 def site_api(spark, sf_dir):
     key = F.col("s_suppkey")
     text = F.when(key % 2 == 0, F.to_json(F.struct(F.lit(" Bon poste ").alias("text")))).otherwise("pas du JSON")
-    item = F.struct(F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("published"), _NAME.alias("name"), _KEY.alias("slug"), text.alias("description"))
+    item = F.struct(F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("published"), _name().alias("name"), _key().alias("slug"), text.alias("description"))
     return payloads.parse_site_api(_supplier_payload(spark, sf_dir, item).withColumn("homepage", F.lit("https://s"))).select("source_id", "url", "title", "description")
 
 
