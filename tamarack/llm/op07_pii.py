@@ -1,6 +1,6 @@
 """PII surrogates: each detected entity gets a keyed replacement of its own type and format, the same everywhere.
 
-DataFrame functions only. One regular expression with a group for each type marks the entities of a text. The distinct
+DataFrame functions only. Regular expressions with a group for each type mark the entities of a text; plain searches tell which types a text can have. The distinct
 entities of the corpus form a dictionary: in each round the entities without a surrogate get a keyed candidate, which is accepted
 if no other entity of the type has it and no entity of the corpus is written so; the rest go to the next round, with another
 key stream and a larger space. So distinct entities have distinct surrogates and mentions of one entity keep one. The dictionary is joined back
@@ -18,6 +18,7 @@ an empty table gives an empty result. Other columns pass through untouched; n_ch
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,40 +30,58 @@ KEY, ROUNDS = "tamarack", 12
 #: Noncharacters mark an entity's beginning, its groups and its end; a fourth escapes them where a text has them.
 OPEN, NEXT, CLOSE, ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
-_MALE, _FEMALE, _ANY = "Mr|Herrn?|Monsieur|Señor|Sr|Господин", "Mrs|Ms|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Госпожа", "Dr|Prof"
+_MALE, _FEMALE, _ANY = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин"], ["Mrs", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа"], ["Dr", "Prof"]
+_KEY_WORDS = ["token", "secret", "passw", "pwd", "key", "auth", "bearer"]
+_KEY_SHAPES = ["akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xox", "eyj", "aiza"]
 _NAME = r"\p{Lu}\p{Ll}{1,24}"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_NO_WORD = r"(?![\p{L}\p{N}])"
 
 
-def _after(titles: str) -> str:
-    return rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{titles})\.?\x20)"
+def _titled(titles: list[str]) -> tuple[str, str]:
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(titles, key=len, reverse=True))})\.?\x20", rf"{_NAME}(?:\x20{_NAME})?{_NO_WORD}"
 
 
-def _last() -> str:
-    return rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_ANY})\.?\x20(?:{_NAME}\x20)?){_NAME}(?![\p{{L}}\p{{N}}])"
+#: (what a text must have, type, gate, prefix that stays, entity); at one place the first that fits holds. The gates let most places fail at their first character.
+PATTERNS = [
+    ("at", "email", "", "", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,24}"),
+    (
+        "key", "secret", "(?=[tspabkTSPABK])",
+        r"(?i:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|auth[_\-]?key|private[_\-]?key|key|bearer)[\"']?(?:\s{0,3}[:=]\s{0,3}|(?<=(?i:bearer))\x20)[\"']?",
+        r"(?=[A-Za-z0-9_\-/+.=]*[0-9])[A-Za-z0-9_\-/+=][A-Za-z0-9_\-/+.=]{6,}[A-Za-z0-9_\-/+=]",
+    ),
+    ("key", "secret", "(?=[AgsxeI])", "", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_\-]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|AIza[A-Za-z0-9_\-]{30,})"),
+    ("digit", "ipv6", "(?=[0-9A-Fa-f]{1,4}:)", "", r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"),
+    ("digit", "iban", r"(?=[A-Z]{2}\d{2})", "", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
+    ("digit", "card", r"(?=\d)", "", r"(?<![\d.])(?:\d{16}|\d{4}\x20\d{4}\x20\d{4}\x20\d{4}|\d{4}-\d{4}-\d{4}-\d{4}|3\d{14}|3\d{3}[\x20\-]\d{6}[\x20\-]\d{5})(?!\d)"),
+    ("digit", "ssn", r"(?=\d{3}-)", "", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
+    ("digit", "ipv4", r"(?=\d{1,3}\.)", "", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
+    ("digit", "phone", r"(?=[\d+(])", "", r"(?:(?<!\d)\+\d{1,3}(?:[\x20.\-]?\(?\d{1,4}\)?){2,6}(?!\d)|(?<![\d.\-])(?:\(\d{3}\)\x20?|\d{3}[\x20.\-])\d{3}[\x20.\-]\d{4}(?![\d\-]))"),
+    ("digit", "secret", "(?=[0-9a-f]{32})", "", r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"),
+    ("title", "name_m", "(?=[MHSГ])", *_titled(_MALE)),
+    ("title", "name_f", "(?=[MFSГ])", *_titled(_FEMALE)),
+    ("title", "name_x", "(?=[DP])", *_titled(_ANY)),
+]
+TYPES = [kind for _, kind, *_ in PATTERNS]
+_MARKED = "".join(f"${2 * i + 1}" for i in range(len(TYPES))) + OPEN + NEXT.join(f"${2 * i + 2}" for i in range(len(TYPES))) + CLOSE
 
 
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Type → pattern; at one place the first that fits holds.
-PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,24}",
-    "secret": r"(?<=(?i:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|auth[_\-]?key|private[_\-]?key|bearer)[\"']{0,1}\s{0,3}[:=]{0,1}\s{0,3}[\"']{0,1})(?=[A-Za-z0-9_\-/+.=]*[0-9])[A-Za-z0-9_\-/+=][A-Za-z0-9_\-/+.=]{6,}[A-Za-z0-9_\-/+=]"
-    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_\-]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|AIza[A-Za-z0-9_\-]{30,}|(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9]))",
-    "ipv6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\d.])(?:\d{16}|\d{4}\x20\d{4}\x20\d{4}\x20\d{4}|\d{4}-\d{4}-\d{4}-\d{4}|3\d{14}|3\d{3}[\x20\-]\d{6}[\x20\-]\d{5})(?!\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\d])\+\d{1,3}(?:[\x20.\-]?\(?\d{1,4}\)?){2,6}(?![\d])|(?<![\d.\-])(?:\(\d{3}\)\x20?|\d{3}[\x20.\-])\d{3}[\x20.\-]\d{4}(?![\d\-])",
-    "first_m": rf"{_after(_MALE)}{_NAME}(?=\x20{_NAME}(?![\p{{L}}\p{{N}}]))",
-    "first_f": rf"{_after(_FEMALE)}{_NAME}(?=\x20{_NAME}(?![\p{{L}}\p{{N}}]))",
-    "first_x": rf"{_after(_ANY)}{_NAME}(?=\x20{_NAME}(?![\p{{L}}\p{{N}}]))",
-    "last": _last(),
-}
-TYPES = list(PATTERNS)
-_ALL = "|".join(f"({p})" for p in PATTERNS.values())
-_MARKED = OPEN + NEXT.join(f"${i + 1}" for i in range(len(TYPES))) + CLOSE
-#: No entity is without one of these.
-_HINT = rf"[0-9@]|(?:{_MALE}|{_FEMALE}|{_ANY})\.?\x20\p{{Lu}}"
+def _contains_any(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def _by_need(text: Column, leaf: Callable[[str], Column], nothing: Column) -> Column:
+    """leaf(pattern) with the pattern of what a text can have. Plain searches, each made once, tell which entities that is; the usual text needs no pattern."""
+    has = {"at": F.contains(text, F.lit("@")), "digit": text.rlike("[0-9]"), "key": _contains_any(F.lower(text), _KEY_WORDS + _KEY_SHAPES), "title": _contains_any(text, _MALE + _FEMALE + _ANY)}
+
+    def branch(left: list[str], needed: set[str]) -> Column:
+        if left:
+            return F.when(has[left[0]], branch(left[1:], needed | {left[0]})).otherwise(branch(left[1:], needed))
+        # a pattern that isn't needed leaves two empty groups, so that numbers stay
+        return leaf("|".join(f"{gate}({prefix})({entity})" if flag in needed else "(?!)()()" for flag, _, gate, prefix, entity in PATTERNS)) if needed else nothing
+
+    return branch(list(has), set())
+
 
 #: Surrogate names, by script and gender.
 NAMES = {
@@ -236,44 +255,54 @@ def _restored(text: Column) -> Column:
     return reduce(lambda t, x: F.replace(t, F.lit(ESCAPE + x[1]), F.lit(x[0])), [(CLOSE, "2"), (NEXT, "1"), (OPEN, "0"), (ESCAPE, "3")], text)
 
 
+def has_entity(text: Column) -> Column:
+    return F.coalesce(_by_need(text, text.rlike, F.lit(False)), F.lit(False))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
-    """docs with __marked (null where the text has no entity) and __key, the same for equal doc_id and text only."""
-    marked = F.when(F.col("text").rlike(_HINT), F.regexp_replace(_escaped(F.col("text")), _ALL, _MARKED))
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")))
-    return docs.withColumn("__marked", marked).withColumn("__marked", F.when(F.col("__marked").contains(OPEN), F.col("__marked"))).withColumn("__key", key)
+    """The rows of docs that have an entity, with __marked and __key, which is the same for equal doc_id and text only. Written once, for it is read twice."""
+    text = F.col("text")
+    escaped = _escaped(text)
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text))
+    marked = _by_need(text, lambda pattern: F.regexp_replace(escaped, pattern, _MARKED), escaped)
+    return checkpointed(docs.where(has_entity(text)).withColumn("__marked", marked).withColumn("__key", key))
 
 
-def _entity(group_text: Column) -> Column:
-    """kind and raw of what stands between OPEN and CLOSE."""
+def _parts(group_text: Column) -> Column:
+    """The (kind, raw) parts of what stands between OPEN and CLOSE: first and last names apart, anything else one part."""
     groups = F.split(group_text, NEXT)
-    return F.struct(F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.array_position(F.transform(groups, lambda g: g != ""), F.lit(True)).cast("int")).alias("kind"), F.array_join(groups, "").alias("raw"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.array_position(F.transform(groups, lambda g: g != ""), F.lit(True)).cast("int"))
+    raw = F.array_join(groups, "")
+    part = lambda k, r: F.struct(k.alias("kind"), r.alias("raw"))
+    last, first = part(F.lit("last"), F.substring_index(raw, " ", -1)), part(F.replace(kind, F.lit("name"), F.lit("first")), F.substring_index(raw, " ", 1))
+    return F.when(~kind.startswith("name"), F.array(part(kind, raw))).when(F.contains(raw, F.lit(" ")), F.array(first, last)).otherwise(F.array(last))
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """__key, kind, raw, canon: the distinct mentions of each document that has any."""
+def mentions(marked: DataFrame) -> DataFrame:
+    """__key, kind, raw, canon: the distinct mentions of each document."""
     inside = F.transform(F.slice(F.split("__marked", OPEN), 2, 1 << 30), lambda s: F.substring_index(s, CLOSE, 1))
-    found = _marked(docs).where("__marked is not null").select("__key", F.explode(F.array_distinct(inside)).alias("e")).select("__key", _entity(F.col("e")).alias("e"))
-    return found.select("__key", "e.kind", "e.raw", canonical(F.col("e.kind"), F.col("e.raw")).alias("canon"))
+    found = marked.select("__key", F.explode(F.array_distinct(inside)).alias("e")).select("__key", F.explode(_parts(F.col("e"))).alias("e"))
+    return found.select("__key", "e.kind", "e.raw", canonical(F.col("e.kind"), F.col("e.raw")).alias("canon")).distinct()
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The rows of docs with surrogates in text, then n_entities."""
     columns = docs.columns
-    found = mentions(docs)
+    marked = _marked(docs)
+    found = mentions(marked)
     known = dictionary(found, key)
     # one entity may be in a large part of all documents: adaptive execution splits that partition of the mentions
     pairs = found.join(known, ["kind", "canon"]).select("__key", F.concat_ws(NEXT, "kind", "raw").alias("mention"), written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("surrogate"))
     of_text = pairs.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("mention", "surrogate"))).alias("__map"))
 
     def rewritten(s: Column) -> Column:
-        e = _entity(F.substring_index(s, CLOSE, 1))
-        return F.concat(F.element_at(F.col("__map"), F.concat_ws(NEXT, e["kind"], e["raw"])), F.substring(s, F.locate(CLOSE, s) + 1, F.length(s)))
+        names = F.transform(_parts(F.substring_index(s, CLOSE, 1)), lambda e: F.element_at(F.col("__map"), F.concat_ws(NEXT, e["kind"], e["raw"])))
+        return F.concat(F.array_join(names, " "), F.substring(s, F.locate(CLOSE, s) + 1, F.length(s)))
 
     parts = F.split("__marked", OPEN)
     text = _restored(F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), rewritten), "")))
-    marked = _marked(docs)
-    with_any = marked.where("__marked is not null").join(of_text, "__key").withColumn("text", text).withColumn("n_entities", (F.size(parts) - 1).cast("long"))
-    without = marked.where("__marked is null").withColumn("n_entities", F.lit(0).cast("long"))
+    with_any = marked.join(of_text, "__key").withColumn("text", text).withColumn("n_entities", (F.size(parts) - 1).cast("long"))
+    without = docs.where(~has_entity(F.col("text"))).withColumn("n_entities", F.lit(0).cast("long"))
     if "n_chars" in columns:
         with_any = with_any.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return with_any.select(*columns, "n_entities").unionByName(without.select(*columns, "n_entities"))
