@@ -204,9 +204,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that remain: of each component the one with the least doc_id. Rows that repeat a doc_id count as one row; rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count()
+def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that remain: of each component (of found, with doc_id and component_id; else of near_duplicates) the one with the least doc_id. Rows that repeat a doc_id count as one row; rows without a doc_id stay."""
+    found = near_duplicates(docs) if found is None else found
+    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
     once, again = kept.where("count = 1").select("doc_id"), kept.where("count > 1").select("doc_id")
     single = docs.join(once, "doc_id", "left_semi")
     repeated = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
