@@ -12,7 +12,9 @@ BLOCKS = (
 ).split()
 #: Elements whose content is no text of the page.
 _DROPPED = "script|style|noscript|template|textarea|svg|iframe|object|math|canvas|audio|video"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_DROPPED})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Foreign elements, which alone of these are empty where their tag ends in "/>".
+_EMPTY = r"<(?:svg|math)(?=[\s/])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{_EMPTY}|<({_DROPPED})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile("[a-z]+")
 _TAG = {t: i for i, t in enumerate(BLOCKS)}
