@@ -29,6 +29,8 @@ from tamarack.llm.common import checkpointed
 KEY, ROUNDS = "tamarack", 12
 #: Noncharacters mark an entity's beginning, its groups and its end; a fourth escapes them where a text has them.
 OPEN, NEXT, CLOSE, ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+#: What follows the escape; no digits or letters, so that an entity beside it is found as in the text itself.
+ESCAPES = [(ESCAPE, "\ufdd7"), (OPEN, "\ufdd4"), (NEXT, "\ufdd5"), (CLOSE, "\ufdd6")]
 
 _MALE, _FEMALE, _ANY = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин"], ["Mrs", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа"], ["Dr", "Prof"]
 _KEY_WORDS = ["token", "secret", "passw", "pwd", "key", "auth", "bearer"]
@@ -248,11 +250,11 @@ def dictionary(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _escaped(text: Column) -> Column:
-    return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(ESCAPE + x[1])), [(ESCAPE, "3"), (OPEN, "0"), (NEXT, "1"), (CLOSE, "2")], text)
+    return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(ESCAPE + x[1])), ESCAPES, text)
 
 
 def _restored(text: Column) -> Column:
-    return reduce(lambda t, x: F.replace(t, F.lit(ESCAPE + x[1]), F.lit(x[0])), [(CLOSE, "2"), (NEXT, "1"), (OPEN, "0"), (ESCAPE, "3")], text)
+    return reduce(lambda t, x: F.replace(t, F.lit(ESCAPE + x[1]), F.lit(x[0])), ESCAPES[::-1], text)
 
 
 def has_entity(text: Column) -> Column:
@@ -301,7 +303,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     parts = F.split("__marked", OPEN)
     text = _restored(F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), rewritten), "")))
-    with_any = marked.join(of_text, "__key").withColumn("text", text).withColumn("n_entities", (F.size(parts) - 1).cast("long"))
+    with_any = marked.join(of_text, "__key", "left").withColumn("text", text).withColumn("n_entities", (F.size(parts) - 1).cast("long"))
     without = docs.where(~has_entity(F.col("text"))).withColumn("n_entities", F.lit(0).cast("long"))
     if "n_chars" in columns:
         with_any = with_any.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
