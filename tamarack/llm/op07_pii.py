@@ -10,7 +10,7 @@ Formats: digits of phone, card, social-security and account numbers are permuted
 out in the mention's own punctuation (cards keep their first digit and the outcome of the Luhn test, phones their country code and first digit,
 accounts their country and valid check digits); addresses of the internet protocol stay addresses; mail keeps the shape of its
 local part and gets a domain under example; keys keep prefix, length and alphabet. Names after a title get names of the
-title's gender and of the name's script; first and last names have surrogates of their own, so "Mr John Smith" and "Mr Smith" stay one person.
+title's gender and of the name's script; first and last names have surrogates of their own, so "Mr John Smith" and "Mr Smith" stay one person; so do "John Smith", "Smith" and "John" without a title in a text that has them after one.
 
 Defined results: null text stays null; texts without entities are unchanged, character for character; repeated rows each appear; equal texts give equal texts;
 an empty table gives an empty result. Other columns pass through untouched; n_chars, where there is one, follows the text.
@@ -35,37 +35,45 @@ ESCAPES = [(ESCAPE, "\ufdd7"), (OPEN, "\ufdd4"), (NEXT, "\ufdd5"), (CLOSE, "\ufd
 _MALE, _FEMALE, _ANY = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин"], ["Mrs", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа"], ["Dr", "Prof"]
 _KEY_WORDS = ["token", "secret", "passw", "pwd", "key", "auth", "bearer"]
 _KEY_SHAPES = ["akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xox", "eyj", "aiza"]
-_NAME = r"\p{Lu}\p{Ll}{1,24}"
+#: Name words: hyphens, apostrophes (but no possessive s) and inner capitals; initials and particles may stand before one.
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=[\p{L}\p{M}]{2})|-(?=\p{L}))++"
+_BEFORE = r"(?:(?:\p{Lu}\.|von|van|der|den|de|del|della|la|le|di|da|dos|du|ter|zu|zur|al|bin)\x20)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _NO_WORD = r"(?![\p{L}\p{N}])"
 
 
 def _titled(titles: list[str]) -> tuple[str, str]:
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(titles, key=len, reverse=True))})\.?\x20", rf"{_NAME}(?:\x20{_NAME})?{_NO_WORD}"
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(titles, key=len, reverse=True))})\.?\x20", rf"{_BEFORE}*+{_NAME}(?:\x20{_BEFORE}*+{_NAME})*+{_NO_WORD}"
 
 
 #: (what a text must have, type, gate, prefix that stays, entity); at one place the first that fits holds. The gates let most places fail at their first character.
 PATTERNS = [
-    ("at", "email", "", "", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,24}"),
+    ("at", "email", "", "", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}+"),
     (
         "key", "secret", "(?=[tspabkTSPABK])",
         r"(?i:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|auth[_\-]?key|private[_\-]?key|key|bearer)[\"']?(?:\s{0,3}[:=]\s{0,3}|(?<=(?i:bearer))\x20)[\"']?",
         r"(?=[A-Za-z0-9_\-/+.=]*[0-9])[A-Za-z0-9_\-/+=][A-Za-z0-9_\-/+.=]{6,}[A-Za-z0-9_\-/+=]",
     ),
     ("key", "secret", "(?=[AgsxeI])", "", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_\-]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|AIza[A-Za-z0-9_\-]{30,})"),
-    ("digit", "ipv6", "(?=[0-9A-Fa-f]{1,4}:)", "", r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"),
+    (
+        "digit", "ipv6", "(?=[0-9A-Fa-f]{0,4}:)", "",
+        rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*[0-9])(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
+    ),
     ("digit", "iban", r"(?=[A-Z]{2}\d{2})", "", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
-    ("digit", "card", r"(?=\d)", "", r"(?<![\d.])(?:\d{16}|\d{4}\x20\d{4}\x20\d{4}\x20\d{4}|\d{4}-\d{4}-\d{4}-\d{4}|3\d{14}|3\d{3}[\x20\-]\d{6}[\x20\-]\d{5})(?!\d)"),
+    ("digit", "card", r"(?=\d)", "", r"(?<![\d.])(?:\d{16}|\d{4}\x20\d{4}\x20\d{4}\x20\d{4}(?:\x20\d{3})?|\d{4}-\d{4}-\d{4}-\d{4}(?:-\d{3})?|3\d{14}|3\d{3}[\x20\-]\d{6}[\x20\-]\d{5}|3[0689]\d{12}|3[0689]\d{2}[\x20\-]\d{6}[\x20\-]\d{4}|4\d{12}(?:\d{6})?|62\d{15,17})(?!\d)"),
     ("digit", "ssn", r"(?=\d{3}-)", "", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("digit", "ipv4", r"(?=\d{1,3}\.)", "", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
-    ("digit", "phone", r"(?=[\d+(])", "", r"(?:(?<!\d)\+\d{1,3}(?:[\x20.\-]?\(?\d{1,4}\)?){2,6}(?!\d)|(?<![\d.\-])(?:\(\d{3}\)\x20?|\d{3}[\x20.\-])\d{3}[\x20.\-]\d{4}(?![\d\-]))"),
-    ("digit", "secret", "(?=[0-9a-f]{32})", "", r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"),
+    ("digit", "phone", r"(?=[\d+(])", "", r"(?:(?<!\d)\+\d{1,3}(?:[\x20.\-]?\(?\d{1,4}\)?){2,6}(?!\d)|(?<![\d.\-])(?:(?:1[\x20.\-])?(?:\(\d{3}\)\x20?|\d{3}[\x20.\-])\d{3}[\x20.\-]\d{4}|0\d(?:(?:\x20\d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})|0\d{2,4}[\x20/\-]\d{5,}|\(0\d{1,4}\)\x20?\d{5,}|0\d{2,4}\x20\d{3,4}\x20\d{3,4}|0\d{9,10}|[2-9]\d{9})(?![\d\-]))"),
+    ("digit", "secret", "(?=[0-9a-f]{32})", "", r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"),
     ("title", "name_m", "(?=[MHSГ])", *_titled(_MALE)),
     ("title", "name_f", "(?=[MFSГ])", *_titled(_FEMALE)),
     ("title", "name_x", "(?=[DP])", *_titled(_ANY)),
 ]
-TYPES = [kind for _, kind, *_ in PATTERNS]
-_MARKED = "".join(f"${2 * i + 1}" for i in range(len(TYPES))) + OPEN + NEXT.join(f"${2 * i + 2}" for i in range(len(TYPES))) + CLOSE
+FOUND = [kind for _, kind, *_ in PATTERNS]
+#: The last three are first names that stand alone where the text has them elsewhere after a title.
+TYPES = [*FOUND, "first_m", "first_f", "first_x"]
+_MARKED = "".join(f"${2 * i + 1}" for i in range(len(FOUND))) + OPEN + NEXT.join(f"${2 * i + 2}" for i in range(len(FOUND))) + CLOSE
 
 
 def _contains_any(text: Column, parts: list[str]) -> Column:
@@ -183,6 +191,10 @@ def candidate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
         low = (low + F.pmod(_hash(key, attempt, turn, "low", high), F.lit(65536))) % 65536
         high = (high + F.pmod(_hash(key, attempt, turn, "high", low), F.lit(65536))) % 65536
     ipv4 = F.concat_ws(".", *[x.cast("string") for h in (high, low) for x in (F.floor(h / 256), h % 256)])
+    # a short address has few of its form: later rounds add a group
+    group = F.concat(F.lit("::"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"ipv6 {attempt}"), canon), 256), 1, 4), F.when(canon.endswith("::"), F.lit("")).otherwise(F.lit(":")))
+    ipv6 = _reshape(canon, key, "ipv6", attempt)
+    ipv6 = F.replace(ipv6, F.lit("::"), group) if attempt else ipv6
     country, account = F.substring(canon, 1, 2), F.substring(canon, F.lit(5), F.length(canon))
     own = F.regexp_replace(account, "[^0-9]", "")
     moved = permute_digits(own, key, F.concat(country, F.regexp_replace(account, "[0-9]", "#")), attempt)
@@ -206,7 +218,7 @@ def candidate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
         feminine = F.when(canon.rlike("[ая]$") & F.lit(role == "last"), "а").otherwise("")  # feminine family names end so
         return F.when(script == "cyrillic", F.concat(parts("cyrillic"), feminine)).otherwise(parts("latin"))
 
-    out = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", permute_digits(digits, key, F.lit("ssn"), attempt)).when(kind == "ipv4", ipv4).when(kind == "ipv6", _reshape(canon, key, "ipv6", attempt))
+    out = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", permute_digits(digits, key, F.lit("ssn"), attempt)).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6)
     out = out.when(kind == "iban", iban).when(kind == "email", email).when(kind == "secret", secret)
     for role in ("first_m", "first_f", "first_x", "last"):
         out = out.when(kind == role, name(role))
@@ -267,7 +279,48 @@ def _marked(docs: DataFrame) -> DataFrame:
     escaped = _escaped(text)
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text))
     marked = _by_need(text, lambda pattern: F.regexp_replace(escaped, pattern, _MARKED), escaped)
-    return checkpointed(docs.where(has_entity(text)).withColumn("__marked", marked).withColumn("__key", key))
+    # columns of their own, for what stands in a lambda is computed for each element
+    found = docs.where(has_entity(text)).withColumn("__marked", marked)
+    found = found.withColumn("__names", _untitled(F.col("__marked")))
+    return checkpointed(found.withColumn("__marked", _with_untitled(F.col("__marked"), F.col("__names"))).withColumn("__key", key).drop("__names"))
+
+
+def _inside(s: Column) -> Column:
+    return F.substring_index(s, CLOSE, 1)
+
+
+def _untitled(marked: Column) -> Column:
+    """A pattern of the names after a marked text's titles: whole names, last names and first names, each in its group. Null where there are none."""
+    later = F.slice(F.split(marked, OPEN), 2, 1 << 30)
+    kinds = ["name_m", "name_f", "name_x"]
+
+    def of_kind(k: str) -> Column:
+        group = F.transform(later, lambda s: F.coalesce(F.get(F.split(_inside(s), NEXT), F.lit(FOUND.index(k))), F.lit("")))
+        return F.filter(group, lambda x: x != "")
+
+    raw = {k: of_kind(k) for k in kinds}
+    several = {k: F.filter(raw[k], lambda x: F.contains(x, F.lit(" "))) for k in kinds}
+    last = F.transform(F.concat(*raw.values()), lambda x: F.substring_index(x, " ", -1))
+    first = {k: F.filter(F.flatten(F.transform(several[k], lambda x: F.slice(F.split(x, " "), F.lit(1), F.size(F.split(x, " ")) - 1))), lambda w: w.rlike(r"^\p{Lu}[^.]")) for k in kinds}
+
+    def one_of(words: Column) -> Column:
+        # longer ones first; nothing where there is none
+        ordered = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), lambda e: F.concat(F.lit("\\Q"), e["w"], F.lit("\\E")))
+        return F.when(F.size(words) == 0, F.lit("((?!))")).otherwise(F.concat(F.lit("("), F.array_join(ordered, "|"), F.lit(")")))
+
+    groups = [*[one_of(several[k]) for k in kinds], one_of(last), *[one_of(first[k]) for k in kinds]]
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.concat_ws("|", *groups), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    return F.when(marked.rlike(f"{NEXT}[^{NEXT}{CLOSE}]+{NEXT}{{0,2}}{CLOSE}"), F.when(F.size(last) > 0, pattern))
+
+
+def _with_untitled(marked: Column, names: Column) -> Column:
+    """The marked text with names marked wherever they stand outside its entities."""
+    parts = F.split(marked, OPEN)
+    written = OPEN + NEXT * FOUND.index("name_m") + NEXT.join(["$1", "$2", "$3$4", "$5", "$6", "$7"]) + CLOSE
+    again = lambda t: F.regexp_replace(t, names, F.lit(written))
+    outside = lambda s: F.substring(s, F.locate(CLOSE, s) + 1, F.length(s))
+    later = F.transform(F.slice(parts, 2, 1 << 30), lambda s: F.concat(F.lit(OPEN), _inside(s), F.lit(CLOSE), again(outside(s))))
+    return F.when(names.isNull(), marked).otherwise(F.concat(again(parts[0]), F.array_join(later, "")))
 
 
 def _parts(group_text: Column) -> Column:
@@ -276,8 +329,9 @@ def _parts(group_text: Column) -> Column:
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.array_position(F.transform(groups, lambda g: g != ""), F.lit(True)).cast("int"))
     raw = F.array_join(groups, "")
     part = lambda k, r: F.struct(k.alias("kind"), r.alias("raw"))
-    last, first = part(F.lit("last"), F.substring_index(raw, " ", -1)), part(F.replace(kind, F.lit("name"), F.lit("first")), F.substring_index(raw, " ", 1))
-    return F.when(~kind.startswith("name"), F.array(part(kind, raw))).when(F.contains(raw, F.lit(" ")), F.array(first, last)).otherwise(F.array(last))
+    words = F.split(raw, " ")
+    names = F.transform(words, lambda w, i: part(F.when(i == F.size(words) - 1, "last").otherwise(F.replace(kind, F.lit("name"), F.lit("first"))), w))
+    return F.when(kind.startswith("name"), names).otherwise(F.array(part(kind, raw)))
 
 
 def mentions(marked: DataFrame) -> DataFrame:
