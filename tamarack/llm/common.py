@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -56,3 +57,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage, in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, what: str, *parted: str) -> DataFrame:
+    """df written as a table in the shared folder, in folders by the columns `parted`, and read again."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*parted).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

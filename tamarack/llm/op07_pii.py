@@ -1,46 +1,65 @@
 """PII surrogates: each detected entity gets a keyed replacement of its own type and format, the same everywhere.
 
-DataFrame functions only. Regular expressions with a group for each type mark the entities of a text; plain searches tell which types a text can have. The distinct
-entities of the corpus form a dictionary: in each round the entities without a surrogate get a keyed candidate, which is accepted
+DataFrame functions only. One regular expression with a group for each type marks the entities of a text; plain searches tell which types a text can
+have, so the usual text meets a small part of it. Each text is marked once; the marked texts are a table in the shared folder. Mentions are rows: the distinct
+entities of the corpus form a dictionary, in which each round gives the entities without a surrogate a keyed candidate, accepted
 if no other entity of the type has it and no entity of the corpus is written so; the rest go to the next round, with another
 key stream and a larger space. So distinct entities have distinct surrogates and mentions of one entity keep one. The dictionary is joined back
-to the mentions by a shuffle, gathered for each document, and written into the text.
+to the mentions by a shuffle, gathered for each document in order, and written into the text.
 
 Formats: digits of phone, card, social-security and account numbers are permuted by a keyed Feistel network over their digits and laid
 out in the mention's own punctuation (cards keep their first digit and the outcome of the Luhn test, phones their country code and first digit,
 accounts their country and valid check digits); addresses of the internet protocol stay addresses; mail keeps the shape of its
 local part and gets a domain under example; keys keep prefix, length and alphabet. Names after a title get names of the
-title's gender and of the name's script; first and last names have surrogates of their own, so "Mr John Smith" and "Mr Smith" stay one person; so do "John Smith", "Smith" and "John" without a title in a text that has them after one.
+title's gender and of the name's script (Latin, Cyrillic and Greek; names of other scripts are left alone); first and last names have surrogates of their own, so "Mr John Smith" and
+"Mr Smith" stay one person; so do "John Smith", "Smith" and "John" without a title in a text that has them after one: each capitalised word of such a text is looked
+up among the text's own names (a word that is both is taken as a last name). Names that never have a title are not found.
+
+No pattern makes Java's matcher recurse with the length of a text or start over within a run of characters: repeated groups are possessive, and runs begin only where
+the character before them is none of theirs. So texts of any length and shape are read whole, in time linear in their length.
+
+The key has no default: whoever knows it can undo the permutations (it is part of the query's plan, so event logs that hold plans are as secret as the key).
 
 Defined results: null text stays null; texts without entities are unchanged, character for character; repeated rows each appear; equal texts give equal texts;
-an empty table gives an empty result. Other columns pass through untouched; n_chars, where there is one, follows the text.
+an empty table gives an empty result. Other columns pass through untouched, whatever their names; n_chars, where there is one, follows the text; the count of
+entities takes the place of a column of its name, and `count_column=None` leaves it out. If a number's form is so full that the rounds end with entities left, all numbers of that type take
+one permutation, which keeps them distinct but may give a number that the corpus has elsewhere.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import checkpointed
+from tamarack.llm.common import checkpointed, stored
 
-KEY, ROUNDS = "tamarack", 12
+ROUNDS = 12
+#: Where a session's key is configured.
+KEY_SETTING = "spark.tamarack.pii.key"
+_DRAWN: dict[str, str] = {}
 #: Noncharacters mark an entity's beginning, its groups and its end; a fourth escapes them where a text has them.
 OPEN, NEXT, CLOSE, ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 #: What follows the escape; no digits or letters, so that an entity beside it is found as in the text itself.
 ESCAPES = [(ESCAPE, "\ufdd7"), (OPEN, "\ufdd4"), (NEXT, "\ufdd5"), (CLOSE, "\ufdd6")]
 
-_MALE, _FEMALE, _ANY = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин"], ["Mrs", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа"], ["Dr", "Prof"]
+_MALE, _FEMALE, _ANY = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"], ["Mrs", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа", "Κυρία"], ["Dr", "Prof"]
 _KEY_WORDS = ["token", "secret", "passw", "pwd", "key", "auth", "bearer"]
 _KEY_SHAPES = ["akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xox", "eyj", "aiza"]
+#: Letters of the scripts that have surrogate names.
+_LETTER = r"[\p{L}\p{M}&&[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsInherited}]]"
 #: Name words: hyphens, apostrophes (but no possessive s) and inner capitals; initials and particles may stand before one.
-_NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=[\p{L}\p{M}]{2})|-(?=\p{L}))++"
+_NAME = rf"[\p{{Lu}}&&[\p{{IsLatin}}\p{{IsCyrillic}}\p{{IsGreek}}]](?:{_LETTER}|['’](?={_LETTER}{{2}})|-(?={_LETTER}))++"
 _BEFORE = r"(?:(?:\p{Lu}\.|von|van|der|den|de|del|della|la|le|di|da|dos|du|ter|zu|zur|al|bin)\x20)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _NO_WORD = r"(?![\p{L}\p{N}])"
+#: Characters of a secret's value; a dot only within it, and a sign of equality only where no key word stands before it, so that values of several keys don't overlap.
+_VALUE = r"(?:[A-Za-z_\-/+]|\.(?=[A-Za-z0-9_\-/+=])|(?<!(?i:token|secret|password|passwd|pwd|key|bearer))=)"
+_VALUE_OR_DIGIT = _VALUE.replace("A-Za-z_", "A-Za-z0-9_", 1)
 
 
 def _titled(titles: list[str]) -> tuple[str, str]:
@@ -49,46 +68,53 @@ def _titled(titles: list[str]) -> tuple[str, str]:
 
 #: (what a text must have, type, gate, prefix that stays, entity); at one place the first that fits holds. The gates let most places fail at their first character.
 PATTERNS = [
-    ("at", "email", "", "", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}+"),
+    ("at", "email", "", "", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?=[\p{L}\p{N}])[\p{L}\p{N}.\-]*\.\p{L}{2,}+"),
     (
         "key", "secret", "(?=[tspabkTSPABK])",
         r"(?i:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|auth[_\-]?key|private[_\-]?key|key|bearer)[\"']?(?:\s{0,3}[:=]\s{0,3}|(?<=(?i:bearer))\x20)[\"']?",
-        r"(?=[A-Za-z0-9_\-/+.=]*[0-9])[A-Za-z0-9_\-/+=][A-Za-z0-9_\-/+.=]{6,}[A-Za-z0-9_\-/+=]",
+        rf"(?={_VALUE}*+[0-9])(?!\.){_VALUE_OR_DIGIT}{{8,}}+",
     ),
-    ("key", "secret", "(?=[AgsxeI])", "", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_\-]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|AIza[A-Za-z0-9_\-]{30,})"),
+    ("key", "secret", "(?=[AgsxeI])", "", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_\-]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|(?<![_\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|AIza[A-Za-z0-9_\-]{30,})"),
     (
         "digit", "ipv6", "(?=[0-9A-Fa-f]{0,4}:)", "",
-        rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*[0-9])(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
+        rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*+[0-9])(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
     ),
     ("digit", "iban", r"(?=[A-Z]{2}\d{2})", "", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("digit", "card", r"(?=\d)", "", r"(?<![\d.])(?:\d{16}|\d{4}\x20\d{4}\x20\d{4}\x20\d{4}(?:\x20\d{3})?|\d{4}-\d{4}-\d{4}-\d{4}(?:-\d{3})?|3\d{14}|3\d{3}[\x20\-]\d{6}[\x20\-]\d{5}|3[0689]\d{12}|3[0689]\d{2}[\x20\-]\d{6}[\x20\-]\d{4}|4\d{12}(?:\d{6})?|62\d{15,17})(?!\d)"),
     ("digit", "ssn", r"(?=\d{3}-)", "", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
+    ("digit", "ssn", "(?=[Ss][Ssoi])", r"(?<![\p{L}\p{N}])(?i:ssn|sin|social[ -]security(?:\x20(?:number|no\.?))?)(?:\x20is)?[\x20:#]{1,3}", r"\d{3}\x20?\d{2}\x20?\d{4}(?!\d)"),
     ("digit", "ipv4", r"(?=\d{1,3}\.)", "", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
-    ("digit", "phone", r"(?=[\d+(])", "", r"(?:(?<!\d)\+\d{1,3}(?:[\x20.\-]?\(?\d{1,4}\)?){2,6}(?!\d)|(?<![\d.\-])(?:(?:1[\x20.\-])?(?:\(\d{3}\)\x20?|\d{3}[\x20.\-])\d{3}[\x20.\-]\d{4}|0\d(?:(?:\x20\d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})|0\d{2,4}[\x20/\-]\d{5,}|\(0\d{1,4}\)\x20?\d{5,}|0\d{2,4}\x20\d{3,4}\x20\d{3,4}|0\d{9,10}|[2-9]\d{9})(?![\d\-]))"),
-    ("digit", "secret", "(?=[0-9a-f]{32})", "", r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"),
-    ("title", "name_m", "(?=[MHSГ])", *_titled(_MALE)),
-    ("title", "name_f", "(?=[MFSГ])", *_titled(_FEMALE)),
+    ("digit", "phone", r"(?=[\d+(])", "", r"(?:(?<!\d)\+\d{1,3}(?:[\x20.\-]?\(?\d{1,4}\)?){2,6}+(?!\d)|(?<![\d.\-])(?:(?:1[\x20.\-])?(?:\(\d{3}\)\x20?|\d{3}[\x20.\-])\d{3}[\x20.\-]\d{4}|0\d(?:(?:\x20\d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})|0\d{2,4}[\x20/\-]\d{5,}|\(0\d{1,4}\)\x20?\d{5,}|0\d{2,4}\x20\d{3,4}\x20\d{3,4}|0\d{9,10}|[2-9]\d{9})(?![\d\-]))"),
+    ("digit", "secret", "(?=[0-9a-f]{32})", "", r"(?<![A-Za-z0-9])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"),
+    ("title", "name_m", "(?=[MHSГΚ])", *_titled(_MALE)),
+    ("title", "name_f", "(?=[MFSГΚ])", *_titled(_FEMALE)),
     ("title", "name_x", "(?=[DP])", *_titled(_ANY)),
+    # any capitalised word: a mention only if the text has it after a title
+    ("title", "word", r"(?=\p{Lu})", "", rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{M}}\p{{N}}])"),
 ]
+#: Never matches; a pattern that holds a character of two code units looks behind and starts at whole characters.
+_WHOLE = "|(?!)\U00010000"
 FOUND = [kind for _, kind, *_ in PATTERNS]
-#: The last three are first names that stand alone where the text has them elsewhere after a title.
-TYPES = [*FOUND, "first_m", "first_f", "first_x"]
 _MARKED = "".join(f"${2 * i + 1}" for i in range(len(FOUND))) + OPEN + NEXT.join(f"${2 * i + 2}" for i in range(len(FOUND))) + CLOSE
+#: A marked name after a title, and marked words.
+_HAS_NAME = f"{OPEN}{NEXT}{{{FOUND.index('name_m')},{FOUND.index('name_x')}}}[^{NEXT}{CLOSE}]"
+_WORD = f"{OPEN}{NEXT}{{{FOUND.index('word')}}}([^{NEXT}{CLOSE}]+){CLOSE}"
 
 
 def _contains_any(text: Column, parts: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+    shortest = [p for p in parts if not any(p != q and q in p for q in parts)]
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in shortest])
 
 
 def _by_need(text: Column, leaf: Callable[[str], Column], nothing: Column) -> Column:
-    """leaf(pattern) with the pattern of what a text can have. Plain searches, each made once, tell which entities that is; the usual text needs no pattern."""
+    """leaf(pattern) with the pattern of what a text can have. Plain searches tell which entities that is; the usual text needs no pattern."""
     has = {"at": F.contains(text, F.lit("@")), "digit": text.rlike("[0-9]"), "key": _contains_any(F.lower(text), _KEY_WORDS + _KEY_SHAPES), "title": _contains_any(text, _MALE + _FEMALE + _ANY)}
 
     def branch(left: list[str], needed: set[str]) -> Column:
         if left:
             return F.when(has[left[0]], branch(left[1:], needed | {left[0]})).otherwise(branch(left[1:], needed))
         # a pattern that isn't needed leaves two empty groups, so that numbers stay
-        return leaf("|".join(f"{gate}({prefix})({entity})" if flag in needed else "(?!)()()" for flag, _, gate, prefix, entity in PATTERNS)) if needed else nothing
+        return leaf("|".join(f"{gate}({prefix})({entity})" if flag in needed else "(?!)()()" for flag, _, gate, prefix, entity in PATTERNS) + _WHOLE) if needed else nothing
 
     return branch(list(has), set())
 
@@ -102,6 +128,10 @@ NAMES = {
     ("cyrillic", "first_m"): "Алексей Андрей Борис Виктор Глеб Денис Иван Игорь Кирилл Максим Никита Олег Павел Роман Сергей Юрий".split(),
     ("cyrillic", "first_f"): "Алла Анна Вера Галина Дарья Елена Жанна Инна Ксения Лариса Мария Нина Ольга Раиса Софья Юлия".split(),
     ("cyrillic", "first_x"): "Саша Женя Валя Слава Шура Паша Витя Тоня".split(),
+    ("greek", "first_m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Μανώλης Νίκος Πέτρος Σπύρος Στέλιος Χρήστος".split(),
+    ("greek", "first_f"): "Άννα Βασιλική Ειρήνη Ελένη Ζωή Κατερίνα Μαρία Σοφία Φωτεινή Χριστίνα".split(),
+    ("greek", "first_x"): "Αλέξης Άρης Σάσα Φοίβη Χάρις".split(),
+    ("greek", "last"): "Αλεξίου Γεωργίου Δήμου Ζήκος Ιωάννου Κωνσταντίνου Λάμπρου Μάρκου Νικολάου Οικονόμου Πέτρου Σταύρου".split(),
     ("cyrillic", "last"): "Белов Волков Гусев Егоров Зайцев Иванов Козлов Лебедев Морозов Новиков Орлов Павлов Смирнов Тарасов Фролов Яковлев".split(),
 }
 
@@ -116,32 +146,29 @@ def _power(n: Column) -> Column:
     return F.pow(F.lit(10.0), n).cast("long")
 
 
-def permute_digits(digits: Column, key: str, salt: Column, attempt: int) -> Column:
-    """A keyed permutation of the digit strings of one length (1 to 34): each half is shifted by a hash of the other, four times."""
-    n = F.length(digits)
-    cut = F.floor(n / 2).cast("int")
-    left, right = F.substring(digits, F.lit(1), cut), F.substring(digits, cut + 1, n)
+def permute_digits(rows: DataFrame, digits: Column, key: str, salt: Column, attempt: int) -> DataFrame:
+    """rows with `moved`: a keyed permutation of the digit strings of one length (up to 34) and salt. Each half is shifted by a hash of the other, four times.
+
+    Each turn is a column of its own, so that the expression doesn't grow with the turns."""
+    cut = F.floor(F.length(digits) / 2).cast("int")
+    rows = rows.withColumns({"left": F.substring(digits, F.lit(1), cut), "right": F.substring(digits, cut + 1, F.length(digits)), "salt": salt})
     for turn in range(4):
-        if turn % 2 == 0:
-            size = F.length(right)
-            right = F.lpad(F.pmod(right.cast("long") + F.pmod(_hash(key, attempt, turn, salt, n, left), _power(size)), _power(size)).cast("string"), size, "0")
-        else:
-            size = F.length(left)
-            moved = F.lpad(F.pmod(left.cast("long") + F.pmod(_hash(key, attempt, turn, salt, n, right), _power(size)), _power(size)).cast("string"), size, "0")
-            left = F.when(size == 0, F.lit("")).otherwise(moved)
-    return F.when(n == 0, F.lit("")).otherwise(F.concat(left, right))
+        own, other = ("right", "left") if turn % 2 == 0 else ("left", "right")
+        size = F.length(own)
+        shift = F.pmod(_hash(key, attempt, turn, F.col("salt"), size + F.length(other), F.col(other)), _power(size))
+        moved = F.lpad(F.pmod(F.col(own).cast("long") + shift, _power(size)).cast("string"), size, "0")
+        rows = rows.withColumn(own, F.when(size == 0, F.lit("")).otherwise(moved))
+    return rows.withColumn("moved", F.concat("left", "right")).drop("left", "right", "salt")
 
 
-def _reshape(text: Column, key: str, salt: str, attempt: int) -> Column:
-    """Each letter and digit replaced by a keyed one of its class; lower hexadecimal strings stay hexadecimal."""
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 32).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit(salt), F.lit(str(attempt)), i.cast("string"), text), 256)), "")
-    hexadecimal = text.rlike("^[0-9a-f:]+$")
+def _reshape(text: Column, hexadecimal: Column, key: str, salt: Column, attempt: int, digest: Column) -> Column:
+    """Each letter and digit replaced by a keyed one of its class; lower hexadecimal strings stay so. digest stands for the whole entity. All but text are plain columns, for they are read at each letter."""
 
     def pick(alphabet: str, h: Column) -> Column:
         return F.substring(F.lit(alphabet), F.pmod(h, F.lit(len(alphabet))) + 1, F.lit(1))
 
     def replace(c: Column, i: Column) -> Column:
-        h = F.conv(F.substring(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|{attempt}"), salt, i.cast("string"), digest), 256), 1, 4), 16, 10).cast("int")
         return (
             F.when(hexadecimal & c.rlike("[0-9a-f]"), pick("0123456789abcdef", h))
             .when(c.rlike("[0-9]"), pick("0123456789", h))
@@ -176,53 +203,56 @@ def canonical(kind: Column, raw: Column) -> Column:
     )
 
 
-def candidate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
-    """The surrogate of a canonical entity that a round proposes."""
-    digits = F.regexp_replace(canon, "[^0-9]", "")
+def candidates(rows: DataFrame, key: str, attempt: int) -> DataFrame:
+    """kind, canon and the surrogate that a round proposes, for rows of kind, canon and digest (the entity's hash)."""
+    kind, canon, digest, digits = (F.col(c) for c in ("kind", "canon", "digest", "digits"))
     n = F.length(digits)
-    kept = F.greatest(n - 9, F.lit(1))
-    phone = F.concat(F.when(canon.startswith("+"), "+").otherwise(""), F.substring(digits, F.lit(1), kept), permute_digits(F.substring(digits, kept + 1, n), key, F.substring(digits, F.lit(1), kept), attempt))
-    body = F.substring(digits, F.lit(1), n - 1)
-    new_body = F.concat(F.substring(digits, 1, 1), permute_digits(F.substring(digits, F.lit(2), n - 2), key, F.substring(digits, 1, 1), attempt))
-    card = F.concat(new_body, F.pmod(luhn(new_body) + F.substring(digits, -1, 1).cast("int") - luhn(body), F.lit(10)).cast("string"))
+    rows = rows.withColumn("digits", F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(canon, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(F.substring(canon, F.lit(5), F.length(canon)), "[^0-9]", "")).otherwise(F.lit("")))
+    # what stays of a number, before the digits that are permuted
+    rows = rows.withColumn("kept", F.when(kind == "phone", F.substring(digits, F.lit(1), F.greatest(n - 9, F.lit(1)))).when(kind == "card", F.substring(digits, 1, 1)).otherwise(F.lit("")))
+    inner = F.substring(digits, F.length("kept") + 1, n - F.length("kept") - F.when(kind == "card", 1).otherwise(0))
+    rows = permute_digits(rows, inner, key, F.concat_ws("|", kind, "kept", F.when(kind == "iban", F.regexp_replace(F.concat(F.substring(canon, 1, 2), F.substring(canon, F.lit(5), F.length(canon))), "[0-9]", "#"))), attempt)
+    rows = rows.withColumn("moved", F.concat("kept", "moved"))
+    moved = F.col("moved")
+
+    # addresses of four parts: two halves of 16 bits
     octets = F.split(canon, r"\.")
-    high, low = [octets[i].cast("long") * 256 + octets[i + 1].cast("long") for i in (0, 2)]
+    half = lambda i: F.when(kind == "ipv4", F.get(octets, F.lit(i)).cast("long") * 256 + F.get(octets, F.lit(i + 1)).cast("long"))
+    rows = rows.withColumns({"high": half(0), "low": half(2)})
     for turn in range(2):
-        low = (low + F.pmod(_hash(key, attempt, turn, "low", high), F.lit(65536))) % 65536
-        high = (high + F.pmod(_hash(key, attempt, turn, "high", low), F.lit(65536))) % 65536
-    ipv4 = F.concat_ws(".", *[x.cast("string") for h in (high, low) for x in (F.floor(h / 256), h % 256)])
-    # a short address has few of its form: later rounds add a group
-    group = F.concat(F.lit("::"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"ipv6 {attempt}"), canon), 256), 1, 4), F.when(canon.endswith("::"), F.lit("")).otherwise(F.lit(":")))
-    ipv6 = _reshape(canon, key, "ipv6", attempt)
-    ipv6 = F.replace(ipv6, F.lit("::"), group) if attempt else ipv6
-    country, account = F.substring(canon, 1, 2), F.substring(canon, F.lit(5), F.length(canon))
-    own = F.regexp_replace(account, "[^0-9]", "")
-    moved = permute_digits(own, key, F.concat(country, F.regexp_replace(account, "[0-9]", "#")), attempt)
-    laid = _lay_out(account, moved)
-    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(laid, country, F.lit("00")))).cast("string"), 2, "0"), laid)
+        for own, other in (("low", "high"), ("high", "low")):
+            rows = rows.withColumn(own, (F.col(own) + F.pmod(_hash(key, attempt, turn, own, F.col(other)), F.lit(65536))) % 65536)
+
+    # letters and digits of mail, keys and long addresses
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    more = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), canon), 256), F.lit(1), F.lit(4 * attempt))
+    prefix = F.when(kind == "secret", F.regexp_extract(canon, "^(AKIA|gh[pousr]_|sk[-_]|xox[abprs]-|eyJ|AIza)", 1)).otherwise(F.lit(""))
+    rows = rows.withColumn("prefix", prefix)
+    rows = rows.withColumn("body", F.when(kind == "email", local).when(kind == "ipv6", canon).when(kind == "secret", F.substring(canon, F.length("prefix") + 1, F.length(canon))))
+    rows = _once(rows, "hexadecimal", F.col("body").rlike("^[0-9a-f:]++$"))
+    rows = rows.withColumn("shaped", F.when(F.col("body").isNotNull(), _reshape(F.col("body"), F.col("hexadecimal"), key, kind, attempt, digest)))
+
+    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    rows = rows.withColumn("script", F.when(kind.startswith("first") | (kind == "last"), script))
+    names = reduce(lambda c, x: c.when((F.col("script") == x[0][0]) & (kind == x[0][1]), F.array(*map(F.lit, x[1]))), NAMES.items(), F.when(F.col("script").isNull(), F.lit(None).cast("array<string>")))
+    rows = rows.withColumn("names", names)
+
+    card = F.concat(moved, F.pmod(luhn(moved) + F.substring(digits, -1, 1).cast("int") - luhn(F.substring(digits, F.lit(1), n - 1)), F.lit(10)).cast("string"))
+    country, account = F.substring(canon, 1, 2), F.substring(canon, F.lit(5), F.length(canon))
+    rows = rows.withColumn("laid", F.when(kind == "iban", _lay_out(account, moved)))
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat("laid", country, F.lit("00")))).cast("string"), 2, "0"), "laid")
+    more = F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|{attempt}"), canon), 256), F.lit(1), F.lit(4 * attempt))
     ending = F.substring_index(domain, ".", -1)
-    email = F.concat(_reshape(local, key, "mail", attempt), more, F.lit("@m"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), domain), 256), 1, 12), F.lit(".example"), F.when(ending.isin("com", "net", "org"), F.concat(F.lit("."), ending)).otherwise(""))
-    prefix = F.regexp_extract(canon, "^(AKIA|gh[pousr]_|sk[-_]|xox[abprs]-|eyJ|AIza)", 1)
-    secret = F.concat(prefix, _reshape(F.substring(canon, F.length(prefix) + 1, F.length(canon)), key, "secret", attempt))
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-
-    def name(role: str) -> Column:
-        def of(alphabet: str, part: int) -> Column:
-            names = F.array(*[F.lit(x) for x in NAMES[alphabet, role]])
-            return names[F.pmod(_hash(key, role, part, attempt, canon), F.lit(len(NAMES[alphabet, role]))).cast("int")]
-
-        # each round adds a part, so the space outgrows any number of names
-        parts = lambda a: F.concat_ws("-", *[of(a, p) for p in range(attempt + 1)])
-        feminine = F.when(canon.rlike("[ая]$") & F.lit(role == "last"), "а").otherwise("")  # feminine family names end so
-        return F.when(script == "cyrillic", F.concat(parts("cyrillic"), feminine)).otherwise(parts("latin"))
+    email = F.concat("shaped", more, F.lit("@m"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), domain), 256), 1, 12), F.lit(".example"), F.when(ending.isin("com", "net", "org"), F.concat(F.lit("."), ending)).otherwise(""))
+    # a short address has few of its form: later rounds add a group
+    group = F.concat(F.lit("::"), F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|ipv6 {attempt}"), canon), 256), 1, 4), F.when(canon.endswith("::"), F.lit("")).otherwise(F.lit(":")))
+    ipv6 = F.replace("shaped", F.lit("::"), group) if attempt else F.col("shaped")
+    # each round adds a part, so the space outgrows any number of names; feminine family names end so
+    one = lambda p: F.get("names", F.pmod(_hash(key, kind, p, attempt, canon), F.size("names")).cast("int"))
+    name = F.concat(F.concat_ws("-", *[one(p) for p in range(attempt + 1)]), F.when((F.col("script") == "cyrillic") & (kind == "last") & canon.rlike("[ая]$"), "а").otherwise(""))
 
-    out = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", permute_digits(digits, key, F.lit("ssn"), attempt)).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6)
-    out = out.when(kind == "iban", iban).when(kind == "email", email).when(kind == "secret", secret)
-    for role in ("first_m", "first_f", "first_x", "last"):
-        out = out.when(kind == role, name(role))
-    return out
+    out = F.when(kind == "phone", F.concat(F.when(canon.startswith("+"), "+").otherwise(""), moved)).when(kind == "ssn", moved).when(kind == "card", card).when(kind == "iban", iban).when(kind == "email", email).when(kind == "ipv6", ipv6)
+    out = out.when(kind == "ipv4", F.concat_ws(".", *[x.cast("string") for h in ("high", "low") for x in (F.floor(F.col(h) / 256), F.col(h) % 256)]))
+    return rows.select("kind", "canon", out.when(kind == "secret", F.concat("prefix", "shaped")).otherwise(name).alias("surrogate"))
 
 
 def _lay_out(raw: Column, digits: Column) -> Column:
@@ -243,22 +273,29 @@ def written(kind: Column, raw: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), _lay_out(raw, digits)).when(kind == "iban", spaced).otherwise(surrogate)
 
 
-def dictionary(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canon, surrogate of the distinct (kind, canon) in entities. Raises if ROUNDS rounds leave an entity without."""
-    every = checkpointed(entities.select("kind", "canon").distinct())
-    pending, accepted = every, None
-    for attempt in range(ROUNDS):
-        proposed = checkpointed(pending.withColumn("surrogate", candidate(F.col("kind"), F.col("canon"), key, attempt)))
-        taken = every.select("kind", F.col("canon").alias("surrogate"))
-        if accepted is not None:
-            taken = taken.union(accepted.select("kind", "surrogate"))
-        rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canon"))
-        good = proposed.withColumn("rank", rank).where("rank = 1").drop("rank").join(taken, ["kind", "surrogate"], "left_anti").select("kind", "canon", "surrogate")
-        accepted = checkpointed(good if accepted is None else accepted.union(good))
-        pending = checkpointed(every.join(accepted, ["kind", "canon"], "left_anti"))
+def dictionary(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """kind, canon, surrogate of the distinct (kind, canon) in entities."""
+    spark = entities.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = checkpointed(entities.select("kind", "canon").distinct().withColumn("digest", F.sha2(F.concat_ws("|", "kind", "canon"), 256)))
+    spread = lambda rows: rows.repartition(tasks, "kind", "canon")  # noqa: E731  # candidates cost far more than their bytes tell
+    accepted = spark.createDataFrame([], "kind string, canon string, surrogate string")
+    pending = every
+    for attempt in range(rounds):
+        first = candidates(spread(pending), key, attempt).groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
+        taken = every.select("kind", F.col("canon").alias("surrogate")).unionByName(accepted.select("kind", "surrogate"))
+        good = checkpointed(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "canon", "surrogate"))
+        accepted = accepted.unionByName(good)
+        pending = checkpointed(pending.join(good, ["kind", "canon"], "left_anti"))
         if pending.isEmpty():
             return accepted
-    raise ValueError(f"{ROUNDS} rounds did not give each entity a surrogate of its own")
+    full = pending.select("kind").distinct()
+    return accepted.join(full, "kind", "left_anti").unionByName(candidates(spread(every.join(full, "kind", "left_semi")), key, rounds))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that KEY_SETTING names; where it is absent, one drawn at random for this application, which nobody can know afterwards."""
+    return spark.conf.get(KEY_SETTING, None) or _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def _escaped(text: Column) -> Column:
@@ -269,96 +306,83 @@ def _restored(text: Column) -> Column:
     return reduce(lambda t, x: F.replace(t, F.lit(ESCAPE + x[1]), F.lit(x[0])), ESCAPES[::-1], text)
 
 
-def has_entity(text: Column) -> Column:
-    return F.coalesce(_by_need(text, text.rlike, F.lit(False)), F.lit(False))
-
-
-def _marked(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have an entity, with __marked and __key, which is the same for equal doc_id and text only. Written once, for it is read twice."""
-    text = F.col("text")
-    escaped = _escaped(text)
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text))
-    marked = _by_need(text, lambda pattern: F.regexp_replace(escaped, pattern, _MARKED), escaped)
-    # columns of their own, for what stands in a lambda is computed for each element
-    found = docs.where(has_entity(text)).withColumn("__marked", marked)
-    found = found.withColumn("__names", _untitled(F.col("__marked")))
-    return checkpointed(found.withColumn("__marked", _with_untitled(F.col("__marked"), F.col("__names"))).withColumn("__key", key).drop("__names"))
+def mark(text: Column) -> Column:
+    """The text, escaped, with its entities between marks; null where it can have none."""
+    return _by_need(text, lambda pattern: F.regexp_replace(_escaped(text), pattern, _MARKED), F.lit(None).cast("string"))
 
 
-def _inside(s: Column) -> Column:
-    return F.substring_index(s, CLOSE, 1)
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that what follows reads without computing it again."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _untitled(marked: Column) -> Column:
-    """A pattern of the names after a marked text's titles: whole names, last names and first names, each in its group. Null where there are none."""
-    later = F.slice(F.split(marked, OPEN), 2, 1 << 30)
-    kinds = ["name_m", "name_f", "name_x"]
+def _segments(marked: Column) -> Column:
+    return F.slice(F.split(marked, OPEN), 2, 1 << 30)
 
-    def of_kind(k: str) -> Column:
-        group = F.transform(later, lambda s: F.coalesce(F.get(F.split(_inside(s), NEXT), F.lit(FOUND.index(k))), F.lit("")))
-        return F.filter(group, lambda x: x != "")
 
-    raw = {k: of_kind(k) for k in kinds}
-    several = {k: F.filter(raw[k], lambda x: F.contains(x, F.lit(" "))) for k in kinds}
-    last = F.transform(F.concat(*raw.values()), lambda x: F.substring_index(x, " ", -1))
-    first = {k: F.filter(F.flatten(F.transform(several[k], lambda x: F.slice(F.split(x, " "), F.lit(1), F.size(F.split(x, " ")) - 1))), lambda w: w.rlike(r"^\p{Lu}[^.]")) for k in kinds}
+def _inside(segment: Column) -> Column:
+    return F.substring_index(segment, CLOSE, 1)
 
-    def one_of(words: Column) -> Column:
-        # longer ones first; nothing where there is none
-        ordered = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), lambda e: F.concat(F.lit("\\Q"), e["w"], F.lit("\\E")))
-        return F.when(F.size(words) == 0, F.lit("((?!))")).otherwise(F.concat(F.lit("("), F.array_join(ordered, "|"), F.lit(")")))
 
-    groups = [*[one_of(several[k]) for k in kinds], one_of(last), *[one_of(first[k]) for k in kinds]]
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.concat_ws("|", *groups), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
-    return F.when(marked.rlike(f"{NEXT}[^{NEXT}{CLOSE}]+{NEXT}{{0,2}}{CLOSE}"), F.when(F.size(last) > 0, pattern))
+def _outside(segment: Column) -> Column:
+    return F.substring(segment, F.locate(CLOSE, segment) + 1, F.length(segment))
 
 
-def _with_untitled(marked: Column, names: Column) -> Column:
-    """The marked text with names marked wherever they stand outside its entities."""
-    parts = F.split(marked, OPEN)
-    written = OPEN + NEXT * FOUND.index("name_m") + NEXT.join(["$1", "$2", "$3$4", "$5", "$6", "$7"]) + CLOSE
-    again = lambda t: F.regexp_replace(t, names, F.lit(written))
-    outside = lambda s: F.substring(s, F.locate(CLOSE, s) + 1, F.length(s))
-    later = F.transform(F.slice(parts, 2, 1 << 30), lambda s: F.concat(F.lit(OPEN), _inside(s), F.lit(CLOSE), again(outside(s))))
-    return F.when(names.isNull(), marked).otherwise(F.concat(again(parts[0]), F.array_join(later, "")))
-
-
-def _parts(group_text: Column) -> Column:
-    """The (kind, raw) parts of what stands between OPEN and CLOSE: first and last names apart, anything else one part."""
-    groups = F.split(group_text, NEXT)
-    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.array_position(F.transform(groups, lambda g: g != ""), F.lit(True)).cast("int"))
-    raw = F.array_join(groups, "")
-    part = lambda k, r: F.struct(k.alias("kind"), r.alias("raw"))
-    words = F.split(raw, " ")
-    names = F.transform(words, lambda w, i: part(F.when(i == F.size(words) - 1, "last").otherwise(F.replace(kind, F.lit("name"), F.lit("first"))), w))
-    return F.when(kind.startswith("name"), names).otherwise(F.array(part(kind, raw)))
+def _tails(segment: Column) -> Column:
+    """What follows each part of a segment: a blank within a name, the text up to the next mark after the last part."""
+    is_name = segment.rlike(f"^{NEXT}{{{FOUND.index('name_m')},{FOUND.index('name_x')}}}[^{NEXT}{CLOSE}]")
+    blanks = F.when(is_name, F.array_repeat(F.lit(" "), F.size(F.split(_inside(segment), " ")) - 1)).otherwise(F.array().cast("array<string>"))
+    return F.concat(blanks, F.array(_outside(segment)))
 
 
 def mentions(marked: DataFrame) -> DataFrame:
-    """__key, kind, raw, canon: the distinct mentions of each document."""
-    inside = F.transform(F.slice(F.split("__marked", OPEN), 2, 1 << 30), lambda s: F.substring_index(s, CLOSE, 1))
-    found = marked.select("__key", F.explode(F.array_distinct(inside)).alias("e")).select("__key", F.explode(_parts(F.col("e"))).alias("e"))
-    return found.select("__key", "e.kind", "e.raw", canonical(F.col("e.kind"), F.col("e.raw")).alias("canon")).distinct()
-
-
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The rows of docs with surrogates in text, then n_entities."""
+    """row, place, part, kind, raw, canon of every mention in the marked texts, in order; kind is null for words that are no names of their text."""
+    rows = marked.select("row", F.posexplode(_segments(F.col("marked"))).alias("place", "segment")).select("row", "place", _inside(F.col("segment")).alias("inside"))
+    groups = F.split("inside", NEXT)
+    kind = F.element_at(F.array(*[F.lit(t) for t in FOUND]), F.array_position(F.transform(groups, lambda g: g != ""), F.lit(True)).cast("int"))
+    rows = _once(rows, "e", F.struct(kind.alias("kind"), F.array_join(groups, "").alias("raw"))).select("row", "place", "e.kind", "e.raw")
+    # first and last names apart, anything else one part
+    words, part = F.split("raw", " "), lambda k, r: F.struct(k.alias("kind"), r.alias("raw"))
+    names = F.concat(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: part(F.replace("kind", F.lit("name"), F.lit("first")), w)), F.array(part(F.lit("last"), F.element_at(words, -1))))
+    parts = F.when(F.col("kind").startswith("name"), names).otherwise(F.array(part(F.col("kind"), F.col("raw"))))
+    rows = rows.select("row", "place", F.posexplode(parts).alias("part", "e")).select("row", "place", "part", "e.kind", "e.raw")
+    named = F.when(F.col("kind").startswith("first") | (F.col("kind") == "last"), F.col("kind"))
+    own = F.max(named).over(Window.partitionBy("row", "raw"))  # of one text only
+    rows = rows.withColumn("own", own).withColumn("kind", F.when(F.col("kind") == "word", F.col("own")).otherwise(F.col("kind"))).drop("own")
+    return rows.withColumn("canon", canonical(F.col("kind"), F.col("raw")))
+
+
+def replace_pii(docs: DataFrame, key: str, count_column: str | None = "n_entities") -> DataFrame:
+    """The rows of docs with surrogates in text, then the number of entities of each row as count_column."""
+    if not key:
+        raise ValueError("surrogates need a key")
     columns = docs.columns
-    marked = _marked(docs)
+    name = {c: f"c{i}" for i, c in enumerate(columns)}
+    own = docs.toDF(*name.values())  # names of the caller's columns can't clash with ours
+    text = F.col(name["text"])
+    made = _once(own.withColumn("row", F.monotonically_increasing_id()), "first", mark(text))
+    # capitalised words matter only beside names
+    made = _once(made, "second", F.when(F.contains("first", F.lit(OPEN)), F.when(F.col("first").rlike(_HAS_NAME), F.col("first")).otherwise(F.regexp_replace("first", _WORD, "$1"))))
+    has = F.coalesce(F.contains("second", F.lit(OPEN)), F.lit(False))
+    made = made.withColumn("has", has.cast("int")).withColumn("marked", F.when(has, F.col("second"))).withColumn(name["text"], F.when(~has, text)).drop("first", "second")
+    table = stored(made, "pii", "has")
+    marked, plain = table.where("has = 1"), table.where("has = 0")
+
     found = mentions(marked)
-    known = dictionary(found, key)
+    known = dictionary(found.where("kind is not null"), key)
     # one entity may be in a large part of all documents: adaptive execution splits that partition of the mentions
-    pairs = found.join(known, ["kind", "canon"]).select("__key", F.concat_ws(NEXT, "kind", "raw").alias("mention"), written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("surrogate"))
-    of_text = pairs.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("mention", "surrogate"))).alias("__map"))
-
-    def rewritten(s: Column) -> Column:
-        names = F.transform(_parts(F.substring_index(s, CLOSE, 1)), lambda e: F.element_at(F.col("__map"), F.concat_ws(NEXT, e["kind"], e["raw"])))
-        return F.concat(F.array_join(names, " "), F.substring(s, F.locate(CLOSE, s) + 1, F.length(s)))
-
-    parts = F.split("__marked", OPEN)
-    text = _restored(F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), rewritten), "")))
-    with_any = marked.join(of_text, "__key", "left").withColumn("text", text).withColumn("n_entities", (F.size(parts) - 1).cast("long"))
-    without = docs.where(~has_entity(F.col("text"))).withColumn("n_entities", F.lit(0).cast("long"))
-    if "n_chars" in columns:
-        with_any = with_any.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return with_any.select(*columns, "n_entities").unionByName(without.select(*columns, "n_entities"))
+    joined = found.join(known, ["kind", "canon"], "left")
+    new = F.coalesce(written(F.col("kind"), F.col("raw"), F.col("surrogate")), F.col("raw"))
+    of_text = joined.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "part", new.alias("new")))).alias("parts"), F.count_if((F.col("part") == 0) & F.col("surrogate").isNotNull()).alias("n"))
+
+    segments = _segments(F.col("marked"))
+    tails = F.flatten(F.transform(segments, _tails))
+    pieces = F.zip_with(F.col("parts")["new"], tails, lambda new, tail: F.concat(new, tail))
+    done = F.concat(F.substring_index("marked", OPEN, 1), F.array_join(pieces, ""))
+    with_any = marked.join(of_text, "row").withColumn(name["text"], _restored(done))
+    if "n_chars" in name:
+        length = F.when(F.col("n") > 0, F.length(name["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(name["n_chars"]))
+        with_any = with_any.withColumn(name["n_chars"], length)
+    out = with_any.select(*name.values(), "n").unionByName(plain.select(*name.values(), F.lit(0).cast("long").alias("n")))
+    kept = [F.col(name[c]).alias(c) for c in columns if c != count_column]
+    return out.select(*kept, *([F.col("n").alias(count_column)] if count_column else []))

@@ -274,7 +274,7 @@ def test_pii_surrogates(spark):
     text = "Mail a.b@x.org or A.B@x.org, call +1 (743) 555-3824 or +1-743-555-3824. Mr. John Smith met Mrs. Jane Smith; Mr Smith left. Card 4111 1111 1111 1111."
     rows = [(1, text), (1, text), (2, None), (3, ""), (4, "clean text, version 2.0 on 2024-01-31"), (None, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (5, "\ufdd0 1.2.3.4 \ufdd3 \ufdd1\ufdd2"), (6, "Frau Анна"), (7, "IBAN DE89 3704 0044 0532 0130 00 ok")]
     docs = table(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
-    out = pii.replace_pii(docs).collect()
+    out = pii.replace_pii(docs, "a key").collect()
     assert len(out) == len(rows) and all(r.text is None or r.n_chars == len(r.text) for r in out)
     by = {r.doc_id: r.text for r in out}
     assert by[2] is None and by[3] == "" and by[4] == rows[4][1]
@@ -291,13 +291,13 @@ def test_pii_surrogates(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', by[None]) and re.fullmatch("\ufdd0 [\\d.]+ \ufdd3 \ufdd1\ufdd2", by[5])
     iban = re.search(r"DE[\d ]+\d", by[7])[0].replace(" ", "")
     assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
-    assert pii.replace_pii(table(spark, [])).count() == 0
+    assert pii.replace_pii(table(spark, []), "a key").count() == 0
 
 
 def test_pii_keeps_entities_apart(spark):
     kinds = {"phone": [f"+1743{k:07d}" for k in range(300)], "card": [f"4{k:015d}" for k in range(300)], "ipv4": [f"10.0.{k // 250}.{k % 250}" for k in range(300)], "email": [f"a{k}@x.org" for k in range(300)], "last": [f"Name{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], "ssn": [f"{k:09d}" for k in range(300)]}
     rows = spark.createDataFrame([(k, c) for k, cs in kinds.items() for c in cs], "kind string, canon string")
-    out = pii.dictionary(rows).collect()
+    out = pii.dictionary(rows, "a key").collect()
     assert len(out) == 1800
     for kind, canons in kinds.items():
         own = [r.surrogate for r in out if r.kind == kind]
