@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to a Python kernel at once; bounds what a worker holds besides its input batch.
@@ -23,6 +23,11 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def row_key() -> Column:
+    """128 bits that only rows of one doc_id and one text (null: empty) share."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `rows` rows and about `size` bytes (one row at least)."""
     for batch in batches:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import checkpointed, slices, texts
+from tamarack.llm.common import checkpointed, row_key, slices
 from tamarack.llm.graph import components
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -158,13 +158,14 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, most: int = MOST_BITS) -> np.n
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id, fp of every row."""
+    """key, doc_id, fp of every row."""
 
     def kernel(batches):
         for batch in slices(batches, 512, 2 << 20):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fingerprints(batch["text"].cast(pa.binary()).to_pylist()))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], pa.array(fingerprints(batch["text"].cast(pa.binary()).to_pylist()))], names=["key", "doc_id", "fp"])
 
-    return texts(docs).mapInArrow(kernel, "doc_id long, fp long")
+    given = docs.select(row_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return given.mapInArrow(kernel, "key binary, doc_id long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -191,24 +192,33 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(verify, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id of every row."""
+def classes(docs: DataFrame) -> DataFrame:
+    """key, doc_id, fp, root of every row: rows of one component have one root."""
     own = checkpointed(fingerprint_table(docs))
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    member = components(links(distinct))
-    labelled = distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(named, "root").select(F.col("fp").alias("of_fp"), "component_id")
+    member = components(links(own.select("fp").distinct()))
     # a fingerprint that many rows share makes a large partition of the left side, which adaptive execution splits
-    found = own.join(classes, own["fp"] == classes["of_fp"])
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(member, own["fp"] == member["node"], "left").select("key", "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id of every row."""
+    found = checkpointed(classes(docs))
+    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(named, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that remain: of each component (of found, with doc_id and component_id; else of near_duplicates) the one with the least doc_id. Rows that repeat a doc_id count as one row; rows without a doc_id stay."""
-    found = near_duplicates(docs) if found is None else found
-    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
-    once, again = kept.where("count = 1").select("doc_id"), kept.where("count > 1").select("doc_id")
-    single = docs.join(once, "doc_id", "left_semi")
-    repeated = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of docs of each component of found (key, doc_id, root of each row; else by fingerprints): that of the least doc_id (null last), then of the least key.
+
+    Rows are told apart by doc_id and text together, so a doc_id that stands on different texts loses none that has no near copy. Of rows equal in both, the one whose columns make the least JSON text stays."""
+    found = classes(docs) if found is None else found
+    rows = found.groupBy("key").agg(F.min("root").alias("root"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    winners = checkpointed(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "copies")).alias("w")).select(F.col("w.key").alias("__key"), F.col("w.copies").alias("copies")))
+    keyed = docs.withColumn("__key", row_key())
+    kept = keyed.join(winners.where("copies = 1").select("__key"), "__key", "left_semi").select(*docs.columns)
+    again = winners.where("copies > 1").select("__key")
+    if again.isEmpty():
+        return kept
+    row = F.struct(*docs.columns)
+    once = keyed.join(again, "__key", "left_semi").groupBy("__key").agg(F.min_by(row, F.to_json(row)).alias("row"))  # copies meet in partial sums, not in one task
+    return kept.unionByName(once.select("row.*").select(*docs.columns))

@@ -50,18 +50,42 @@ def test_stage_finds_every_pair_of_similarity_08(spark):
     assert sorted(r.doc_id for r in out.collect()) == brute_kept(rows)
 
 
-def test_forest_spans_the_links():
+def test_blocks_find_links_between_components():
     rng = np.random.default_rng(0)
     base = np.arange(100)
     sets = [np.unique(np.concatenate([np.delete(base, rng.choice(100, 8, False)), 1000 * k + np.arange(1000, 1004)])) for k in range(60)]
-    links = {(i, j) for i in range(60) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    root, outer = np.array([k % 7 for k in range(60)]), np.array([k % 7 > 0 for k in range(60)])
+    wanted = {tuple(sorted((i, j))) for i in range(60) for j in range(i) if root[i] != root[j] and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert wanted and {tuple(sorted(e)) for e in near_text.compare(sets, root, outer)} == wanted
 
-    def classes(edges):
-        root = list(range(60))
-        for u, v in edges:
-            a, b = root[u], root[v]
-            root = [a if r == b else r for r in root]
-        return [root.index(r) for r in root]
 
-    edges = near_text.forest(list(range(60)), sets)
-    assert {tuple(sorted(e, reverse=True)) for e in edges} <= links and classes(edges) == classes(links)
+def test_chains_in_large_buckets(spark, monkeypatch):
+    """Texts that are linked step by step, their ends unlike each other; the same with blocks of a few sets."""
+    words = prose(70, 260).split()
+    rows = [(k, " ".join([*(f"new{i}" for i in range(6 * k)), *words[6 * k :]])) for k in range(12)]
+    rows += [(100 + k, " ".join([*words[:200], *(f"own{k}x{i}" for i in range(8))])) for k in range(30)]
+    for small, block in ((16, 512), (1, 4)):
+        monkeypatch.setattr(near_text, "SMALL", small)
+        monkeypatch.setattr(near_text, "BLOCK", block)
+        out = corpus_pipeline.near_duplicates(spark, table(spark, rows), "")
+        assert sorted(r.doc_id for r in out.collect()) == brute_kept(rows)
+
+
+def test_no_text_is_lost_to_a_shared_id(spark):
+    one, two = prose(80, 90), prose(81, 90)
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, one), (None, prose(82, 90)), (None, two), (None, None)]
+    for found in (None, near_text.near_duplicates(table(spark, rows))):
+        from tamarack.llm import op09_simhash
+
+        out = op09_simhash.keep_first(table(spark, rows), found)
+        assert out.columns == table(spark, rows).columns
+        assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted([("1", one), ("1", two), ("None", prose(82, 90)), ("None", "")])
+
+
+def test_bands_of_long_texts_do_not_depend_on_the_cut():
+    grams = near_text.shingles(prose(9, 9000).encode())
+    least = [min((int(g) * int(a) + int(b)) % 2**64 for g in grams[:50]) for a, b in zip(near_text._FACTOR[:4], near_text._SHIFT[:4], strict=True)]
+    import xxhash
+
+    assert near_text.bands(grams[:50])[0] == xxhash.xxh64_intdigest(np.array(least, np.uint64).tobytes(), 0) - 2**63
+    assert len(set(near_text.bands(grams))) == near_text.BANDS and near_text.bands(grams[:0]) == []
