@@ -1,7 +1,7 @@
 """Labelled pages to learn from: made by rule from a seed, each element marked content or not.
 
 A page is an article (or main, or a div named like one) amid menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments, in orders, wrappers and names that vary with the seed. The attribute data-content marks an element's label and is no input of the model."""
+comments, in orders, wrappers and names that vary with the seed; or it has no article: blocks stand in body or in nested divs without names, with or without the rest around them, or there is only text. The attribute data-content marks an element's label and is no input of the model."""
 
 from __future__ import annotations
 
@@ -64,8 +64,16 @@ class _Maker:
         inner = r.choice([text, self.element("p", 0, text), self.element("div", 0, text), f'<a href="/">{text}</a>'])
         return self.element(r.choice(tag), 0, inner, names)
 
+    def content_links(self) -> str:
+        """A list of links that is part of an article."""
+        r = self.r
+        one = lambda: self.element("li", 1, r.choice(["<a href='/z'>{}</a>", "<a href='/z'>{}</a>.", "{}: <a href='/z'>more</a>"]).format(self.words(2, 9)))
+        return self.element(r.choice(["p", "h3"]), 1, self.words(1, 6).capitalize() + ":") + self.element(r.choice(["ul", "ol"]), 1, "".join(one() for _ in range(r.randint(2, 6))))
+
     def block(self) -> str:
         r, kind = self.r, self.r.random()
+        if kind < 0.08:
+            return self.content_links()
         if kind < 0.7:
             text = self.prose()
             return self.element("p", 1, f"{text} <a href='/y'>{self.words(1, 4)}</a> {self.sentence()}" if r.random() < 0.2 else text)
@@ -88,7 +96,27 @@ class _Maker:
             blocks.insert(r.randint(0, len(blocks)), self.other(kind))
         if r.random() < 0.25:
             blocks.append(self.other(r.choice(["comments", "footer", "share"])))
-        main = self.element(r.choice(["article", "article", "main", "div", "section"]), 1, self.element("h1", 1, self.words(2, 9)) + "".join(blocks), _CONTENT)
+        shape = r.random()
+        if shape < 0.05:  # only text, with or without body
+            text = self.prose(1, 5)
+            return r.choice([f'<html data-content="1"><body data-content="1">{text}</body></html>', f'<html data-content="1">{text}</html>'])
+        title = self.element(r.choice(["h1", "h1", "h2"]), 1, self.words(2, 9))
+        if shape < 0.12:  # text directly in body, between few blocks
+            return f'<html data-content="1"><body data-content="1">{title}{self.prose(1, 4)}{"".join(blocks[:3])}{self.prose(1, 3)}</body></html>'
+        if shape < 0.4:  # blocks in body or in plain divs
+            if r.random() < 0.4:
+                title = ""
+            main = title + "".join(blocks)
+            if deep := r.choice([0, 1, 1, 2, 3]):
+                if r.random() < 0.7:
+                    main = title + "".join(f'<div data-content="1">{self.prose(1, 4)}</div>' for _ in range(r.randint(1, 5)))
+                for _ in range(deep):
+                    main = f'<div data-content="1">{main}</div>'
+            around = r.choice([0, 0, 0, 1, 2])
+            before = "".join(self.other(k) for k in r.sample(["header", "nav", "notice", "form"], around))
+            after = "".join(self.other(k) for k in r.sample(["aside", "comments", "footer", "ad", "share"], around))
+            return f'<html data-content="1"><head><title data-content="0">{self.words(2, 9)}</title></head><body data-content="1">{before}{main}{after}</body></html>'
+        main = self.element(r.choice(["article", "article", "main", "div", "section"]), 1, title + "".join(blocks), _CONTENT)
         if r.random() < 0.3:
             main = self.element(r.choice(["main", "div"]), 1, main, _CONTENT)
         before = [self.other(k) for k in r.sample(["header", "nav", "notice", "ad", "form"], r.randint(1, 4))]

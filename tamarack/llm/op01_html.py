@@ -2,13 +2,13 @@
 
 A page's block elements form a tree of hidden labels, content or not. Each node has potentials from its tag, the words of its class, id and
 role, and the length, link share and ending of its own text; each edge has parent-child potentials, which depend on whether
-the child is a sectioning element. All are relative frequencies of labelled pages, counted by a Spark job over pages that
+the child is a sectioning element, a list or another. All are relative frequencies of labelled pages, counted by a Spark job over pages that
 html_labels makes by rule. Sum-product message passing, upward from the leaves and downward from the root, gives each node's exact
 marginal; texts whose node is more likely content than not are the page's main text.
 
 Messages of a batch of pages run together, level by level, as numpy arrays.
 
-Defined results: null or empty html has an empty text; text outside any element belongs to the root, which is not content; unclosed and stray tags are tolerated; repeated rows each appear.
+Defined results: null or empty html has an empty text; text outside any element belongs to the root, which, like body, is content or not as its text and its children tell; unclosed and stray tags are tolerated; repeated rows each appear.
 Columns beyond page_id, url and html are ignored. Nothing is dropped or capped within content: character references are decoded, white space
 inside a block becomes one blank, and blocks follow in page order, one to a line.
 """
@@ -28,9 +28,10 @@ from tamarack.llm.html_labels import labelled_page
 from tamarack.llm.html_tree import BLOCKS, Page
 
 TRAINING_PAGES, SMOOTHING = 1500, 0.5
-_SECTIONS = {BLOCKS.index(t) for t in "header footer nav main article aside section div form ul ol table body head".split()}
-#: Values of each categorical feature of a node: tag, length, link share, ending, tag of the parent.
-SIZES = {"tag": len(BLOCKS), "length": 6, "links": 4, "ending": 3, "above": len(BLOCKS)}
+#: Kinds of elements as children: sectioning ones (1), lists (2), all others (0).
+_KINDS = np.array([1 if t in "header footer nav main article aside section div form table body head".split() else 2 if t in ("ul", "ol") else 0 for t in BLOCKS])
+#: Values of each categorical feature of a node: tag, length, link share, ending, tag of the parent, and whether it has a class, id or role.
+SIZES = {"tag": len(BLOCKS), "length": 6, "links": 4, "ending": 3, "above": len(BLOCKS), "named": 2}
 
 
 class Batch:
@@ -53,9 +54,9 @@ class Batch:
                 ending[start + node] = 1 + (text[-1] in ".!?:;…\"»")
         self.values = {
             "tag": tag, "length": np.digitize(size, [1, 16, 60, 160, 500]), "links": np.where(size == 0, 0, 1 + np.digitize(links / np.maximum(size, 1), [0.05, 0.6])),
-            "ending": ending, "above": np.where(self.root, 0, tag[self.parent]),
+            "ending": ending, "above": np.where(self.root, 0, tag[self.parent]), "named": np.concatenate([np.array([bool(w) for w in p.words]) for p in pages]).astype(np.int64),
         }
-        self.section = np.isin(tag, list(_SECTIONS)).astype(np.int64)
+        self.section = _KINDS[tag]
         self.words = [(start + k, w) for p, start in zip(pages, first.tolist(), strict=False) for k, ws in enumerate(p.words) for w in ws]
 
 
@@ -87,7 +88,7 @@ def _trained(application: str, n: int) -> dict:
         logs[name] = np.log(x / x.sum(axis=0))
     words = sorted({v for w, v, _ in table if w == "word"})
     x = np.array([[get("word", w, y) for y in (0, 1)] for w in words])
-    edge = np.array([[[get("edge", f"{s}{a}", y) for y in (0, 1)] for a in (0, 1)] for s in (0, 1)])
+    edge = np.array([[[get("edge", f"{s}{a}", y) for y in (0, 1)] for a in (0, 1)] for s in (0, 1, 2)])
     return {"features": logs, "words": dict(zip(words, np.log(x / x.sum(axis=0)), strict=True)), "edge": np.log(edge / edge.sum(axis=2, keepdims=True))}
 
 
@@ -96,13 +97,19 @@ def train(spark: SparkSession, n: int = TRAINING_PAGES) -> dict:
     return _trained(spark.sparkContext.applicationId, n)
 
 
-def marginals(model: dict, batch: Batch) -> np.ndarray:
-    """The probability of content of each node, by one upward and one downward pass."""
-    own = sum(model["features"][name][values] for name, values in batch.values.items())
+def potentials(model: dict, batch: Batch) -> np.ndarray:
+    """Log potentials of each node by label. That a node has no text of its own counts once, as its length."""
+    bare = batch.values["length"] == 0
+    own = sum(np.where(bare[:, None] & (name in ("links", "ending")), 0.0, model["features"][name][values]) for name, values in batch.values.items())
     known = [(k, model["words"][w]) for k, w in batch.words if w in model["words"]]
     if known:
         np.add.at(own, [k for k, _ in known], np.array([v for _, v in known]))
-    own[batch.root] += [0.0, -20.0]  # the root is not content
+    return own
+
+
+def marginals(model: dict, batch: Batch) -> np.ndarray:
+    """The probability of content of each node, by one upward and one downward pass."""
+    own = potentials(model, batch)
     order = np.argsort(batch.depth, kind="stable")
     levels = np.split(order, np.flatnonzero(np.diff(batch.depth[order])) + 1)
     up, message = own.copy(), np.zeros_like(own)
