@@ -2,15 +2,15 @@
 
 `rule_statistics` splits a text into words `[^\\x20\\x09-\\x0D]+` and counts. The forest isolates points by random
 splits of random features; a document that few splits isolate is unlike the documents that the forest was grown
-from. It is grown from labelled documents of quality 1, so that anomalous means unlike good documents. Its threshold is
-calibrated from labelled rows: the score that best separates the two labels by balanced accuracy, among those that keep at least
-`KEEP_GOOD` of the good rows.
+from. It is grown from labelled documents of quality 1, so that anomalous means unlike good documents; splits are drawn from widened ranges (`grow_forest`), a departure from
+the usual forest, in which nothing lies outside the range of the sample and an unseen kind of document is no easier to isolate than an outlying good one.
 
-Fitting reads a bounded sample: the FIT_ROWS labelled rows with the smallest hash of doc_id (all, where there are fewer).
-Every document is scored by its own counts, so scoring has no shuffle.
+Growing reads a bounded sample, the FIT_ROWS good rows of smallest hash of doc_id among two thirds of them. The threshold is calibrated from all other labelled rows, by counts of
+scores (GRID steps) that Spark groups: the score that best separates the two labels by balanced accuracy, among those that keep at least `KEEP_GOOD` of the good rows.
+A labelled doc_id that stands on several rows counts once (the least statistics hold). Every document is scored by its own counts, so scoring has no shuffle.
 
 Defined results: null or empty text has no words (all counts 0, base_failed true, kept false); equal texts, equal
-values; rows repeat as they come; labels that repeat for a doc_id count once (the lowest quality holds); with no labelled rows, or of one label only, no document is
+values; rows repeat as they come; labels that repeat for a doc_id count once (the lowest quality holds); with no labelled rows to grow from, or of one label only to calibrate with, no document is
 anomalous and the base rules alone decide. Columns beyond doc_id and text are ignored.
 """
 
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import map_arrow, texts
+from tamarack.llm.common import checkpointed, map_arrow, texts
 
 FIT_ROWS = 20_000
-TREES, LEAF_SAMPLE, HEIGHT, MARGIN = 100, 256, 24, 2.0
+TREES, LEAF_SAMPLE, HEIGHT, MARGIN, GRID = 100, 256, 24, 2.0, 20_000
 KEEP_GOOD = 0.995
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Fixed by the contract: the symbols that are counted, and ASCII white space.
@@ -35,24 +35,29 @@ SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_upper", "n_digits", "n_marks", "n_distinct"]
 
-_SPLIT = re.compile(r"[ \t-\r]+")
-_DROP_SYMBOLS = str.maketrans("", "", SYMBOLS)
-_DROP_SPACES = str.maketrans("", "", SPACES)
-_DROP_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
 _DROP_DIGITS = bytes(range(48, 58))
 _MARKS = b"!?;:{}[]()=\"'~^\\/_@"
+_CAPITALS = bytes(range(65, 91))
 
 
-def repeat_words(words: list[str]) -> int:
+def repeat_words(words: list[bytes]) -> int:
     """Words inside three-word windows that occur twice or more."""
     if len(words) < 4:
         return 0
-    number: dict[str, int] = {}
+    number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    window = (ids[:-2] * len(number) + ids[1:-1]) if len(number) < 3_000_000_000 else None
-    _, pair = np.unique(window, return_inverse=True)
-    _, inverse, count = np.unique(pair * len(number) + ids[2:], return_inverse=True, return_counts=True)
-    again = count[inverse] > 1
+    if len(number) == len(words):
+        return 0
+    if len(number) < 2_000_000:  # three numbers of words in one of 63 bits
+        window = (ids[:-2] * len(number) + ids[1:-1]) * len(number) + ids[2:]
+    else:
+        _, pair = np.unique(ids[:-2] * len(number) + ids[1:-1], return_inverse=True)
+        window = pair * len(number) + ids[2:]
+    order = np.argsort(window, kind="stable")
+    same = np.diff(window[order]) == 0
+    again = np.zeros(len(window), bool)
+    again[order[:-1][same]] = True
+    again[order[1:][same]] = True
     inside = np.zeros(len(words), bool)
     inside[:-2] |= again
     inside[1:-1] |= again
@@ -62,18 +67,22 @@ def repeat_words(words: list[str]) -> int:
 
 def duplicate_lines(text: str) -> int:
     """Lines with a word that are equal to an earlier line."""
+    if "\n" not in text:
+        return 0
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     return len(lines) - len(set(lines))
 
 
 def rule_statistics(text: str) -> list[int]:
     """COUNTS, then EXTRA."""
-    words = [w for w in _SPLIT.split(text) if w]
     raw = text.encode()
-    cased = text.swapcase()
-    upper = sum(map(len, _UPPER.findall(text))) if cased != text else 0
+    words = raw.split()  # of bytes: at ASCII white space
+    if text.isascii():
+        chars, upper = sum(map(len, words)), len(raw) - len(raw.translate(None, _CAPITALS))
+    else:
+        chars, upper = len(text) - sum(map(text.count, SPACES)), sum(map(len, _UPPER.findall(text)))
     return [
-        len(words), len(text.translate(_DROP_SPACES)), len(text) - len(text.translate(_DROP_SYMBOLS)), duplicate_lines(text), repeat_words(words),
+        len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeat_words(words),
         text.count("\n") + 1, upper, len(raw) - len(raw.translate(None, _DROP_DIGITS)), len(raw) - len(raw.translate(None, _MARKS)), len(set(words)),
     ]
 
@@ -119,7 +128,7 @@ def grow_forest(points: np.ndarray, trees: int = TREES, size: int = LEAF_SAMPLE,
                     open_ += [(left, depth + 1, rows[below]), (left + 1, depth + 1, rows[~below])]
                     continue
             path[node] = depth + expected_path(len(rows))
-    return {"roots": roots, "feature": np.array(feature, np.int16), "value": np.array(value), "child": np.array(child, np.int32), "path": np.array(path), "height": height}
+    return {"roots": roots, "feature": np.array(feature, np.int16), "value": np.array(value), "child": np.array(child, np.int32), "path": np.array(path), "height": height, "usual": max(1.0, expected_path(min(size, len(points))))}
 
 
 def expected_path(n: int) -> float:
@@ -128,7 +137,7 @@ def expected_path(n: int) -> float:
 
 
 def anomaly(forest: dict, points: np.ndarray) -> np.ndarray:
-    """2 ** (-mean path length / greatest depth): the larger, the fewer random splits isolate a point."""
+    """2 ** (-mean path length / expected path length of a tree's sample): the larger, the fewer random splits isolate a point."""
     total, rows = np.zeros(len(points)), np.arange(len(points))
     for root in forest["roots"]:
         node = np.full(len(points), root, np.int64)
@@ -140,45 +149,56 @@ def anomaly(forest: dict, points: np.ndarray) -> np.ndarray:
             right = points[rows, np.maximum(f, 0)] >= forest["value"][node]
             node = np.where(inner, forest["child"][node] + right, node)
         total += forest["path"][node]
-    return 2.0 ** (-total / len(forest["roots"]) / forest["height"])
+    return 2.0 ** (-total / len(forest["roots"]) / forest["usual"])
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, keep: float = KEEP_GOOD) -> float:
-    """The threshold of best balanced accuracy among those that keep at least `keep` of the good rows; above it is anomalous."""
-    if not len(scores) or good.all() or not good.any():
+def calibrate(step: np.ndarray, good: np.ndarray, n: np.ndarray, keep: float = KEEP_GOOD) -> float:
+    """From numbers of rows by score, rounded up to `step` / GRID, and label: the threshold of best balanced accuracy among those that keep at least `keep` of the good rows; above it is anomalous."""
+    at = np.unique(step)
+    of = lambda label: np.array([n[(step <= t) & (good == label)].sum() for t in at])
+    right, wrong = of(True), of(False)
+    if not len(at) or not right[-1] or not wrong[-1]:
         return 2.0
-    order = np.sort(np.unique(scores))
-    cuts = np.concatenate(([0.0], (order[:-1] + order[1:]) / 2, [2.0]))
-    kept = np.searchsorted(np.sort(scores[good]), cuts, "right") / good.sum()
-    caught = 1 - np.searchsorted(np.sort(scores[~good]), cuts, "right") / (~good).sum()
+    kept, caught = right / right[-1], 1 - wrong / wrong[-1]
     fine = kept >= keep
-    return float(cuts[fine][np.argmax((kept + caught)[fine])])
+    return float(at[fine][np.argmax((kept + caught)[fine])] / GRID)
+
+
+def labelled_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+
 
+def measured(docs: DataFrame, ids: DataFrame, kernel: Callable[[list[str]], list], names: list[str], kind: str) -> DataFrame:
+    """doc_id, quality and the columns `names` that kernel gives for texts: one row for each of ids that docs has. Kept in the shared folder."""
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """Texts of at most fit_rows labelled documents. The ids are few, so the corpus is not shuffled for them."""
-    ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return texts(docs).join(F.broadcast(ids), "doc_id")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = kernel(batch["text"].to_pylist())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], *[pa.array(c) for c in zip(*rows, strict=True)]], names=["doc_id", "quality", *names])
+
+    given = texts(docs).join(ids, "doc_id").select("doc_id", "text", "quality")
+    found = map_arrow(given, run, "doc_id long, quality int, " + ", ".join(f"{n} {kind}" for n in names))
+    return checkpointed(found.groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "quality", "s.*"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict | None, float]:
     """The forest and its threshold."""
-    sample = labelled_sample(docs, labels, fit_rows)
     names = COUNTS + EXTRA
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [rule_statistics(x) for x in batch["text"].to_pylist()]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"].cast(pa.int32()), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], names=["doc_id", "quality", *names])
-
-    found = map_arrow(sample.select("doc_id", "text", "quality"), kernel, "doc_id long, quality int, " + ", ".join(f"{n} long" for n in names)).toPandas()  # fit_rows rows at most
-    found = found.sort_values(["doc_id", *names], ignore_index=True)
-    points, good = features(found[names].to_numpy().reshape(-1, len(names))), (found["quality"] == 1).to_numpy()
-    passed = found["n_words"].to_numpy() >= MIN_WORDS
-    if not (good & passed).any():
+    rows = measured(docs, labelled_ids(labels), lambda given: [rule_statistics(x) for x in given], names, "long").where(F.col("n_words") >= MIN_WORDS)
+    growing = (F.col("quality") == 1) & (F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0)
+    points = rows.where(growing).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()  # fit_rows rows at most
+    if not len(points):
         return None, 2.0
-    forest = grow_forest(points[good & passed])
-    return forest, calibrate(anomaly(forest, points[passed]), good[passed])
+    forest = grow_forest(features(points[names].to_numpy()))
+    sent = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.stack([batch[n].to_numpy() for n in names], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ceil(anomaly(sent.value, features(counts)) * GRID).astype(np.int64)), batch["good"]], names=["step", "good"])
+
+    scores = map_arrow(rows.where(~growing).select((F.col("quality") == 1).alias("good"), *names), score, "step long, good boolean", 4096)
+    counted = scores.groupBy("step", "good").count().toPandas()  # two labels of GRID steps at most
+    sent.unpersist()
+    return forest, calibrate(counted["step"].to_numpy(np.int64), counted["good"].to_numpy(bool), counted["count"].to_numpy(np.int64))
 
 
 def judge(docs: DataFrame, model: tuple[dict | None, float], carry: list[str] | None = None) -> DataFrame:

@@ -2,11 +2,11 @@
 
 The statistics of a whole text (rates of symbols, repeats, case, digits, lines; logs of its sizes) are standardised and
 mapped by cos(Wx + b), whose inner products approximate a Gaussian kernel. Each partition of the labelled sample adds
-up its part of the normal equations; the driver receives at most SUMS such parts, adds them and solves. Scores of
-the sample then give a monotone map to the rate of label 1 (pool adjacent violators, linear between block centres).
+up its part of the normal equations, by fold; the driver receives at most SUMS * FOLDS such parts, adds them and solves. Each fold is scored by the weights of the
+others, and these scores give a monotone map to the rate of label 1 (pool adjacent violators, linear between block centres).
 
 Labels come only from rows with crc32(doc_id as text) mod 5 other than 0. The fit reads a bounded sample, the FIT_ROWS such rows of smallest
-hash of doc_id; every document is scored, without a shuffle. Inputs of a score are counts of the text alone.
+hash of doc_id (a doc_id on several rows counts once, by its least statistics); every document is scored, without a shuffle. Inputs of a score are counts of the text alone.
 
 Defined results: null or empty text has all counts 0 and gets the score of that point; equal texts, equal scores;
 rows repeat as they come; a doc_id labelled twice counts once (the lowest quality holds); without labelled rows the score is 1.0 (nothing is rejected); a null
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import checkpointed, map_arrow
-from tamarack.llm.op04_quality_rules import features, labelled_sample, rule_statistics
+from tamarack.llm.common import map_arrow
+from tamarack.llm.op04_quality_rules import features, labelled_ids, measured, rule_statistics
 
 FIT_ROWS = 20_000
-DIMENSION, BANDWIDTH, RIDGE, SUMS = 256, 2.5, 1e-3, 16
+DIMENSION, BANDWIDTH, RIDGE, SUMS, FOLDS = 256, 2.5, 1e-3, 4, 4
 THRESHOLD = 0.3
 
 
@@ -66,39 +66,47 @@ def pool_adjacent(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
+def solve(gram: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Ridge weights from the sums of n rows."""
+    return np.linalg.solve(gram + RIDGE * n / DIMENSION * np.eye(len(right)), right)
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
     """mean, scale, weights of the ridge, and the calibration's centres and rates."""
-    sample = labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), fit_rows)
+    ids = labelled_ids(labels.where(~held_out(F.col("doc_id")))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     names = [f"s{i}" for i in range(N_STATISTICS)]
-
-    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["quality"].cast(pa.int32()), *map(pa.array, statistics(batch["text"].to_pylist()).T)], names=["quality", *names])
-
-    # fit_rows short rows; kept in the shared folder, for three passes follow
-    points = checkpointed(map_arrow(sample.select("quality", "text"), measure, "quality int, " + ", ".join(f"{n} double" for n in names)).coalesce(SUMS))
+    points = measured(docs, F.broadcast(ids), lambda given: statistics(given).tolist(), names, "double")  # fit_rows ids at most
     row = points.agg(F.count("*").alias("n"), *[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"d_{n}") for n in names]).first()
     if not row["n"]:
         return None
     mean, scale = np.array([row[f"m_{n}"] for n in names]), np.array([max(row[f"d_{n}"], 1e-6) for n in names])
+    folded = points.select("quality", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), *names).coalesce(SUMS)
 
     def add_up(batches):
-        gram, right = np.zeros((DIMENSION + 1,) * 2), np.zeros(DIMENSION + 1)
+        gram, right, n = np.zeros((FOLDS, DIMENSION + 1, DIMENSION + 1)), np.zeros((FOLDS, DIMENSION + 1)), np.zeros(FOLDS, np.int64)
         for part in batches:
-            z = fourier(part[names].to_numpy(), mean, scale)
-            gram += z.T @ z
-            right += z.T @ part["quality"].to_numpy(np.float64)
-        yield pd.DataFrame({"gram": [gram.tobytes()], "right": [right.tobytes()]})
-
-    parts = points.mapInPandas(add_up, "gram binary, right binary").collect()  # SUMS rows at most
-    gram = sum(np.frombuffer(p["gram"]).reshape(DIMENSION + 1, -1) for p in parts)
-    right = sum(np.frombuffer(p["right"]) for p in parts)
-    weights = np.linalg.solve(gram + RIDGE * row["n"] / DIMENSION * np.eye(len(right)), right)
+            z, fold = fourier(part[names].to_numpy(), mean, scale), part["fold"].to_numpy()
+            for k in range(FOLDS):
+                own = z[fold == k]
+                gram[k] += own.T @ own
+                right[k] += own.T @ part["quality"].to_numpy(np.float64)[fold == k]
+                n[k] += len(own)
+        yield pd.DataFrame({"fold": range(FOLDS), "n": n, "gram": [g.tobytes() for g in gram], "right": [r.tobytes() for r in right]})
+
+    gram, right, n = np.zeros((FOLDS, DIMENSION + 1, DIMENSION + 1)), np.zeros((FOLDS, DIMENSION + 1)), np.zeros(FOLDS, np.int64)
+    for p in folded.mapInPandas(add_up, "fold int, n long, gram binary, right binary").collect():  # SUMS * FOLDS rows at most
+        gram[p["fold"]] += np.frombuffer(p["gram"]).reshape(DIMENSION + 1, -1)
+        right[p["fold"]] += np.frombuffer(p["right"])
+        n[p["fold"]] += p["n"]
+    weights = solve(gram.sum(axis=0), right.sum(axis=0), n.sum())
+    by_others = [solve(gram.sum(axis=0) - gram[k], right.sum(axis=0) - right[k], n.sum() - n[k]) if n.sum() > n[k] else weights for k in range(FOLDS)]
 
     def score(batches):
         for part in batches:
-            yield pd.DataFrame({"quality": part["quality"], "score": fourier(part[names].to_numpy(), mean, scale) @ weights})
+            z = fourier(part[names].to_numpy(), mean, scale)
+            yield pd.DataFrame({"quality": part["quality"], "score": (z * np.stack(by_others)[part["fold"].to_numpy()]).sum(axis=1)})
 
-    scored = points.mapInPandas(score, "quality int, score double").toPandas()  # fit_rows rows at most
+    scored = folded.mapInPandas(score, "quality int, score double").toPandas()  # fit_rows rows at most
     centres, rates = pool_adjacent(scored["score"].to_numpy(), scored["quality"].to_numpy())
     return {"mean": mean, "scale": scale, "weights": weights, "centres": centres, "rates": rates}
 
