@@ -7,8 +7,10 @@ is decided on the histogram of lengths (`plan`): lengths descend; each goes to t
 allows and whose residual vector is nearest to the demand (`norm`, a vector best fit) or has the largest weighted dot product with it
 (`dot`). Equal sequences are one row with a count, so the plan's size depends on the number of lengths, not on the corpus.
 
-Spark counts the pieces by (length, bucket), the driver plans over these at most capacity * BUCKETS counts, and each piece finds its place
-from its rank among the pieces of its length: buckets split a length that holds a large part of all pieces.
+With the contract's limits (as many documents and as much attention as a sequence of tokens can have) only the tokens bind; `most_documents` and `most_attention` set tighter ones.
+
+Spark counts the pieces by length and deals each length to as many buckets as keep a bucket at about BUCKET_ROWS pieces, however many repeat; the driver plans over
+the counts by (length, bucket), one for BUCKET_ROWS pieces and one more for each length, and each piece finds its place from its rank among the pieces of its length.
 
 Defined results: null or empty text is one piece of one id (the end mark); repeated rows are packed each for itself; an empty
 table gives an empty result. Columns beyond doc_id and text are ignored.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import checkpointed, slices, texts
 from tamarack.llm.segments import Joined
 
-CAPACITY, END, BUCKETS = 1024, 2, 256
+CAPACITY, END, BUCKET_ROWS = 1024, 2, 100_000
 _READY: dict[str, Joined] = {}
 
 
@@ -120,16 +122,18 @@ def place(plan_rows: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[
     return row[:, 3] + turn // row[:, 2], row[:, 4] + turn % row[:, 2] * length
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, **rules) -> DataFrame:
-    """The rows of `cut` (from `pieces`) with sequence_id and offset. cut is read twice; give it checkpointed."""
-    columns = cut.columns
-    own = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = np.zeros((capacity + 1, buckets), np.int64)
-    for length, bucket, n in own.groupBy("length", "bucket").count().collect():  # capacity * buckets rows at most
+def pack(cut: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS, **rules) -> DataFrame:
+    """The rows of `cut` (from `pieces`, with a number `row` of each) with sequence_id and offset. cut is read several times; give it checkpointed."""
+    spark, columns = cut.sparkSession, [c for c in cut.columns if c != "row"]
+    totals = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
+    buckets = spark.createDataFrame([(length, -(-n // bucket_rows)) for length, n in totals.items()], "length long, buckets long")
+    own = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), "buckets").cast("int"))  # capacity rows at most
+    counts = np.zeros((capacity + 1, max([-(-n // bucket_rows) for n in totals.values()], default=1)), np.int64)
+    for length, bucket, n in own.groupBy("length", "bucket").count().collect():
         counts[length, bucket] = n
     before = np.cumsum(counts, axis=1) - counts
-    sent = cut.sparkSession.sparkContext.broadcast((plan(counts.sum(axis=1), capacity, **rules), before))
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")))
+    sent = spark.sparkContext.broadcast((plan(counts.sum(axis=1), capacity, **rules), before))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")))
 
     def kernel(batches):
         rows, earlier = sent.value
@@ -143,4 +147,4 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, **rul
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **rules) -> DataFrame:
-    return pack(checkpointed(pieces(docs, tokenizer, capacity)), capacity, **rules)
+    return pack(checkpointed(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id())), capacity, **rules)
