@@ -28,22 +28,34 @@ def even(text: str) -> bool:
 
 
 class Memory(dict):
-    """What stretches gave, up to a number of entries; beyond it only the shortest half stay, which costs time, never a result."""
+    """What stretches gave, up to a number of bytes; beyond it only the shortest half stay, which costs time, never a result. Long stretches are kept for one call alone."""
 
-    def __init__(self, limit: int = 600_000):
+    #: The longest stretch that is remembered, and what an entry costs besides its contents.
+    LONGEST, ENTRY = 200, 240
+
+    def __init__(self, limit: int = 48 << 20):
         super().__init__()
-        self.limit = limit
+        self.limit, self.size, self.once = limit, 0, {}
+
+    def __missing__(self, key):
+        return self.once[key]
+
+    def _cost(self, key, value) -> int:
+        return self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
 
     def learn(self, wanted: set, compute: Callable[[list], list]) -> None:
+        """Makes wanted readable until the next call."""
         new = sorted(wanted - self.keys())
-        if len(self) + len(new) > self.limit and len(self):
-            short = sorted(self, key=len)[: self.limit // 2]
-            kept = {k: self[k] for k in short}
-            self.clear()
-            self.update(kept)
-            new = sorted(wanted - self.keys())
-        if new:
-            self.update(zip(new, compute(new), strict=True))
+        self.once = dict(zip(new, compute(new), strict=True)) if new else {}
+        short = {k: v for k, v in self.once.items() if len(k) <= self.LONGEST}
+        added = sum(self._cost(k, v) for k, v in short.items())
+        if self.size + added > self.limit:
+            for k in sorted(self.keys() - wanted, key=len)[len(self) // 2 :]:
+                self.size -= self._cost(k, self.pop(k))
+        if self.size + added <= self.limit:
+            self.update(short)
+            self.size += added
+            self.once = {k: v for k, v in self.once.items() if k not in short}
 
 
 class Joined:

@@ -76,10 +76,7 @@ def test_marginals_match_enumeration(spark):
     model = html.train(spark, 400)
     page = Page("<html><body><div class=content><p>Some words here.</p><ul><li>a</ul></div></body></html>")
     batch = html.Batch([page])
-    own = sum(model["features"][n][v] for n, v in batch.values.items())
-    for k, w in batch.words:
-        own[k] += model["words"].get(w, 0.0)
-    own[0] += [0.0, -20.0]
+    own = html.potentials(model, batch)
     n, sums, total = len(own), np.zeros(len(own)), 0.0
     for code in range(2**n):
         y = [code >> k & 1 for k in range(n)]
@@ -196,6 +193,52 @@ def test_quality_rules(spark):
     assert rules.quality_rules(table(spark, []), labels).count() == 0
 
 
+def test_path_lengths_match_a_plain_forest():
+    rng = np.random.default_rng(3)
+    points, probes = rng.normal(size=(300, 4)), rng.normal(size=(60, 4)) * 3
+    forest = rules.grow_forest(points, trees=7, size=64)
+
+    def depth(node, x, level):
+        f = forest["feature"][node]
+        if f < 0:
+            return forest["path"][node]
+        return depth(forest["child"][node] + (x[f] >= forest["value"][node]), x, level + 1)
+
+    mean = np.array([np.mean([depth(root, x, 0) for root in forest["roots"]]) for x in probes])
+    assert np.allclose(rules.anomaly(forest, probes), 2 ** (-mean / rules.expected_path(64)))
+    # each leaf's path: its depth, and what the rows left in it would take
+    rows_of = lambda root: sum(1 for _ in walk(root))
+
+    def walk(node):
+        if forest["feature"][node] < 0:
+            yield node
+        else:
+            yield from walk(forest["child"][node])
+            yield from walk(forest["child"][node] + 1)
+
+    assert all(rows_of(root) > 1 for root in forest["roots"]) and (rules.anomaly(forest, np.full((1, 4), 50.0)) > rules.anomaly(forest, points).mean()).all()
+
+
+def test_threshold_matches_brute_force():
+    rng = np.random.default_rng(6)
+    score, good = np.concatenate([rng.integers(1, 60, 400), rng.integers(40, 100, 100)]), np.repeat([True, False], [400, 100])
+    step, n = np.unique(np.stack([score, good], axis=1), axis=0, return_counts=True)
+    found = rules.calibrate(step[:, 0], step[:, 1].astype(bool), n, 0.9)
+    each = {t: ((score[good] <= t).mean(), (score[~good] > t).mean()) for t in np.unique(score)}
+    assert found == min((t for t in each if each[t][0] >= 0.9), key=lambda t: (-sum(each[t]), t)) / rules.GRID
+    assert rules.calibrate(step[:0, 0], step[:0, 1].astype(bool), n[:0]) == 2.0
+
+
+def test_a_repeated_id_counts_once(spark):
+    docs, labels = labelled(spark, 200)
+    again = docs.where("doc_id = 5").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("copy")
+    names = rules.COUNTS + rules.EXTRA
+    rows = rules.measured(docs.union(again), rules.labelled_ids(labels), lambda given: [rules.rule_statistics(x) for x in given], names, "long")
+    assert rows.where("doc_id = 5").count() == 1
+    one, two = classifier.fit(docs, labels), classifier.fit(docs.union(again), labels)
+    assert np.allclose(one["weights"], two["weights"]) and np.allclose(one["rates"], two["rates"])
+
+
 # 5
 def check_packing(rows, docs, capacity=1024):
     from tokenizers import Tokenizer
@@ -229,6 +272,18 @@ def test_packing(spark):
     assert packing.pack_documents(table(spark, []), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_a_table_under_binding_limits(spark):
+    docs = [(k, prose(k, 5 + k % 40)) for k in range(150)] + [(1000, "the same")] * 50
+    cut = common.checkpointed(packing.pieces(table(spark, docs), P.path("byte_bpe_50k.json")).withColumn("row", F.monotonically_increasing_id()))
+    for rule in ("norm", "dot"):
+        rows = packing.pack(cut, bucket_rows=7, most_documents=4, most_attention=60_000, rule=rule).collect()
+        check_packing(rows, docs)
+        own = {}
+        for r in rows:
+            own.setdefault(r.sequence_id, []).append(r.length)
+        assert max(map(len, own.values())) == 4 and max(sum(n * n for n in x) for x in own.values()) <= 60_000 and any(sum(x) + 40 < 1024 for x in own.values())
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 @pytest.mark.parametrize("limits", [(None, None), (3, None), (None, 300_000), (2, 500_000)])
 def test_plan_respects_every_capacity(rule, limits):
@@ -322,6 +377,43 @@ def test_token_counts_match_the_tokenizer(spark):
     assert len(out) == len(ODD) and {r.n_tokens for r in out if r.doc_id in (2, 3)} == {0}
 
 
+def test_registered_counter_as_it_stands():
+    """Against a unigram model of the same entries without bytes: its unknown pieces, which it joins, count as their bytes."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    entries = [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    other, own, r = Tokenizer(models.Unigram([("<unk>", 0.0), *entries], 0)), counts.counter(path), random.Random(4)
+    pieces = ["a", " ", "  ", "the", "é", "中", "😀", "\U00012345", "\n", "ing", "tion", "q", "x" * 30, "\u3402", "ꙮ"]
+    for text in ["".join(r.choice(pieces) for _ in range(r.randint(1, 25))) for _ in range(500)]:
+        given = "\u2581" + text.replace(" ", "\u2581")
+        found = other.encode(given, add_special_tokens=False)
+        wanted = sum(len(given[a:b].encode()) if i == 0 else 1 for i, (a, b) in zip(found.ids, found.offsets, strict=True))
+        assert own.count([text]) == [wanted], repr(text)
+
+
+def test_memories_are_bounded_in_bytes():
+    from tamarack.llm.segments import Memory
+
+    memory, calls = Memory(20_000), []
+    for turn in range(50):
+        wanted = {f"{turn}-{k}" + "y" * (5 * k) for k in range(60)}
+        memory.learn(wanted, lambda new: calls.append(len(new)) or [x.encode() for x in new])
+        assert all(memory[x] == x.encode() for x in wanted) and memory.size <= 20_000
+        assert memory.size == sum(memory._cost(k, v) for k, v in memory.items()) and all(len(k) <= Memory.LONGEST for k in memory)
+
+
+def test_unique_long_stretches(spark):
+    """A corpus whose stretches never repeat and are long is encoded whole."""
+    r = random.Random(12)
+    docs = [(k, "".join(r.choice("abcdefghij") for _ in range(20_000)) + " end") for k in range(12)]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decode_texts(bpe.encode_texts(table(spark, docs), path, P.PATTERN), path, P.PATTERN).collect()
+    assert sorted((x.doc_id, bytes(x.decoded).decode()) for x in out) == docs
+
+
 # 9
 def brute_components(ids, fps, most=4):
     parent = list(range(len(ids)))
@@ -420,6 +512,28 @@ def test_classifier(spark):
     assert classifier.keep_documents(docs, labels).columns == docs.columns and classifier.classify(table(spark, []), labels).count() == 0
 
 
+def test_fit_matches_plain_least_squares(spark):
+    docs, labels = labelled(spark, 200)
+    model = classifier.fit(docs, labels)
+    rows = [(r.text, int(r.doc_id % 4 != 0)) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id != 3]
+    rows += [(r.text, 1) for r in docs.where("doc_id = 3").collect() if zlib.crc32(b"3") % 5]
+    points, y = classifier.statistics([t for t, _ in rows]), np.array([q for _, q in rows], float)
+    assert np.allclose(model["mean"], points.mean(axis=0)) and np.allclose(model["scale"], np.maximum(points.std(axis=0), 1e-6))
+    z = classifier.fourier(points, points.mean(axis=0), np.maximum(points.std(axis=0), 1e-6))
+    padding = np.sqrt(classifier.RIDGE * len(y) / classifier.DIMENSION) * np.eye(z.shape[1])
+    weights = np.linalg.lstsq(np.vstack([z, padding]), np.concatenate([y, np.zeros(len(padding))]), rcond=None)[0]
+    assert np.allclose(z @ model["weights"], z @ weights, atol=1e-6)
+
+
+def test_isotonic_fit_matches_its_definition():
+    rng = np.random.default_rng(2)
+    score, label = np.sort(rng.normal(size=60)), rng.integers(0, 2, 60)
+    centres, rates = classifier.pool_adjacent(score, label)
+    fitted = np.array([max(min(label[i : j + 1].mean() for j in range(k, 60)) for i in range(k + 1)) for k in range(60)])
+    block = np.searchsorted(np.unique(fitted), fitted)
+    assert np.allclose(rates, np.unique(fitted)) and np.allclose(centres, [score[block == b].mean() for b in range(block.max() + 1)])
+
+
 def test_isotonic_fit_is_monotone():
     rng = np.random.default_rng(1)
     score = rng.normal(size=500)
