@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from tamarack.functions.text import escape_html, norm, words
 from tamarack.operators.search import annual, haystack
 
 DIGEST = 30
-#: Alerts are broadcast up to so many; beyond, they meet the postings in slices of this size.
+#: Alerts without a list to be joined by are broadcast up to so many; beyond, they meet the postings in slices of this size.
 SLICE = 20_000
+#: Lists of an alert by which it can be joined, the most selective first, and the postings' columns.
+INDEXED = {"sources": "sourceId", "categories": "categoryId", "regions": "regionId", "employmentTypes": "employmentType", "remote": "remote"}
 
 
 def _any(column: str, wanted: Column) -> Column:
@@ -39,18 +43,40 @@ def match_alerts(jobs: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame
     """(alert_id, job columns) of postings created after an alert's cut-off that fit it.
 
     The oldest cut-off of all alerts is a literal that prunes the scan of postings; the folded texts of a posting are computed
-    once, not for each alert. Each pair still needs its predicate: alerts are sent to the postings' tasks, in slices whose size is bounded."""
-    count, oldest = alerts.select(F.count("*"), F.min(F.coalesce("last_notified_at", "created_at"))).first()
+    once, not for each alert. An alert that names sources, categories, regions, contracts or modes of work stands under each value of the first of these lists, and meets
+    only postings of that value, by an equi-join; the rest of its predicate is tested there. Alerts of words, places, languages or pay alone have no such value: they are sent to
+    the postings' tasks, in slices whose size is bounded."""
+    has = lambda n: F.coalesce(F.size(f"query.{n}"), F.lit(0)) > 0
+    index = F.coalesce(*[F.when(has(n), F.lit(n)) for n in INDEXED])
+    a = alerts.select(F.col("id").alias("alert_id"), "query", F.coalesce("last_notified_at", "created_at").alias("cutoff"), index.alias("by"))
+    kinds = {r["by"]: r for r in a.groupBy("by").agg(F.count("*").alias("n"), F.min("cutoff").alias("oldest")).collect()}  # one row for each list, and one without
+    oldest = min((r["oldest"] for r in kinds.values() if r["oldest"] is not None), default=None)
     fresh = jobs.where(F.col("createdAt") > F.lit(oldest)) if oldest is not None else jobs.limit(0)
     prepared = fresh.withColumns({"hay": haystack(), "company_folded": norm(F.col("company")), "city_folded": F.coalesce(norm(F.col("city")), F.lit("")), "annual": annual()})
-    a = alerts.select(F.col("id").alias("alert_id"), "query", F.coalesce("last_notified_at", "created_at").alias("cutoff"))
-    pieces = max(1, -(-count // SLICE))
-    out = None
+    fits = (F.col("createdAt") > F.col("cutoff")) & alert_predicate(as_of)
+    parts = []
+    for name in (n for n in INDEXED if n in kinds):
+        own = a.where(F.col("by") == name).select("*", F.explode(F.array_distinct(f"query.{name}")).alias("value"))
+        parts.append(prepared.join(own, (F.col(INDEXED[name]) == F.col("value")) & fits).drop("value"))
+    pieces = -(-kinds[None]["n"] // SLICE) if None in kinds else 0
     for k in range(pieces):
-        own = a if pieces == 1 else a.where(F.pmod(F.xxhash64("alert_id"), F.lit(pieces)) == k)
-        found = prepared.join(F.broadcast(own), (F.col("createdAt") > F.col("cutoff")) & alert_predicate(as_of))
-        out = found if out is None else out.unionAll(found)
-    return out.drop("hay", "company_folded", "city_folded", "query", "cutoff")
+        own = a.where(F.col("by").isNull() & (F.pmod(F.xxhash64("alert_id"), F.lit(pieces)) == k))
+        parts.append(prepared.join(F.broadcast(own), fits))  # SLICE alerts or few more
+    parts = parts or [prepared.join(a, F.lit(False))]
+    return reduce(DataFrame.unionByName, parts).drop("hay", "company_folded", "city_folded", "query", "cutoff", "by")
+
+
+def create_alerts(alerts: DataFrame, new: DataFrame) -> DataFrame:
+    """alerts with those of new whose id isn't there; a new alert has nothing notified yet, so its cut-off is its creation. A repeated new id counts once, by its latest creation, then its label."""
+    columns = [c for c in alerts.columns if c != "id"]
+    once = new.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("created_at", "label")).alias("r")).select("id", "r.*")
+    added = once.join(alerts.select("id"), "id", "left_anti").withColumn("last_notified_at", F.lit(None).cast(alerts.schema["last_notified_at"].dataType))
+    return alerts.unionByName(added.select(*alerts.columns))
+
+
+def delete_alerts(alerts: DataFrame, gone: DataFrame) -> DataFrame:
+    """alerts without those of gone (id, user_id): only their owner removes them."""
+    return alerts.join(gone.select("id", "user_id").distinct(), ["id", "user_id"], "left_anti")
 
 
 def newest_of_each(matches: DataFrame, k: int = DIGEST) -> DataFrame:

@@ -75,12 +75,14 @@ def validate_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_changes(employers: DataFrame, upsert: DataFrame, fix_url: DataFrame, reactivate: DataFrame, disable: DataFrame) -> DataFrame:
-    """Employers after a change set: upserts, then addresses, then reactivations, and last what is switched off."""
+    """Employers after a change set: upserts, then addresses, then reactivations, and last what is switched off. Of several rows of one id a reactivation counts before an upsert, then the least as JSON text; of several addresses the least."""
     columns = employers.columns
-    put = upsert.unionByName(reactivate.withColumn("enabled", F.lit(True)), allowMissingColumns=True).withColumn("is_put", F.lit(True))
-    u = put.dropDuplicates(["id"]).select("id", *[(F.col(c) if c in put.columns else F.lit(None)).alias(f"u_{c}") for c in columns if c != "id"], "is_put")
+    put = upsert.unionByName(reactivate.withColumns({"enabled": F.lit(True), "again": F.lit(True)}), allowMissingColumns=True).withColumn("is_put", F.lit(True))
+    every = F.struct(*[c for c in put.columns if c != "id"])
+    first = F.struct((~F.coalesce("again", F.lit(False))).alias("a"), F.to_json(every).alias("b"))
+    u = put.groupBy("id").agg(F.min_by(every, first).alias("r")).select("id", "r.*").select("id", *[(F.col(c) if c in put.columns else F.lit(None)).alias(f"u_{c}") for c in columns if c != "id"], "is_put")
     merged = employers.join(u, "id", "full").select("id", *[F.coalesce(f"u_{c}", c).alias(c) for c in columns if c != "id"])
-    fixed = merged.join(fix_url.select("id", F.col("careersUrl").alias("f_url")), "id", "left").withColumn("careersUrl", F.coalesce("f_url", "careersUrl")).drop("f_url")
+    fixed = merged.join(fix_url.groupBy("id").agg(F.min("careersUrl").alias("f_url")), "id", "left").withColumn("careersUrl", F.coalesce("f_url", "careersUrl")).drop("f_url")
     off = disable.select("id").distinct().withColumn("is_off", F.lit(True))
     return fixed.join(off, "id", "left").withColumn("enabled", F.when(F.col("is_off"), F.lit(False)).otherwise(F.col("enabled"))).select(*columns)
 
@@ -115,3 +117,26 @@ def numbered_slugs(rows: DataFrame, slug: str, order: str) -> DataFrame:
     """rows whose repeated slugs get -2, -3, … in order."""
     n = F.row_number().over(Window.partitionBy(slug).orderBy(order))
     return rows.withColumn("n", n).withColumn(slug, F.when(F.col("n") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("n").cast("string")))).drop("n")
+
+
+def merge_result_pages(rows: DataFrame) -> DataFrame:
+    """Result pages (source_id, page, pos, url, ...) as reading them one by one would give: a page without a new address ends its source; the first place of an address counts."""
+    first = rows.groupBy("source_id", "url").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("source_id", "url")]), F.struct("page", "pos")).alias("r")).select("source_id", "url", "r.*")
+    pages = rows.select("source_id", "page").distinct().join(first.groupBy("source_id", "page").agg(F.count("*").alias("new")), ["source_id", "page"], "left")
+    last = pages.groupBy("source_id").agg(F.min(F.when(F.col("new").isNull(), F.col("page"))).alias("stop"))
+    return first.join(last, "source_id").where("stop is null or page < stop").select(*rows.columns)
+
+
+def run_reports(requested: DataFrame, sources: DataFrame, batch: DataFrame, target: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row for each requested source id: status (success, error, unknown), rows found, inserted and updated, and the error.
+
+    requested: sourceId; sources: sourceId of those that have a reader; batch and target: sourceId, url; failures: sourceId, error. A source that failed inserts nothing; an id without a reader is reported, not dropped."""
+    valid = batch.select("sourceId", "url").distinct().join(target.select("url", F.lit(True).alias("known")).distinct(), "url", "left")
+    found = valid.groupBy("sourceId").agg(F.count("*").alias("found"), F.count_if(F.col("known").isNull()).alias("inserted"), F.count_if("known").alias("updated"))
+    known = sources.select("sourceId", F.lit(True).alias("has_reader")).distinct()
+    failed = failures.groupBy("sourceId").agg(F.min("error").alias("error"))
+    joined = requested.select("sourceId").distinct().join(known, "sourceId", "left").join(failed, "sourceId", "left").join(found, "sourceId", "left")
+    ok = F.col("has_reader") & F.col("error").isNull()
+    n = lambda c: F.when(ok, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).alias(c)
+    status = F.when(F.col("has_reader").isNull(), "unknown").when(F.col("error").isNotNull(), "error").otherwise("success")
+    return joined.select("sourceId", status.alias("status"), n("found"), n("inserted"), n("updated"), F.when(F.col("has_reader").isNull(), F.concat(F.lit("unknown source: "), "sourceId")).otherwise(F.col("error")).alias("error"))

@@ -19,12 +19,15 @@ def region_id_from_name(name):
 def effective_region(jobs: DataFrame, employers: DataFrame, fold=None) -> DataFrame:
     """jobs with effective_region: their own, else that of their employer (fold maps the employer's region to an id)."""
     known = employers.select(F.col("id").alias("sourceId"), (fold(F.col("region")) if fold else F.col("region")).alias("employer_region"))
-    return jobs.join(known, "sourceId", "left").withColumn("effective_region", F.coalesce("regionId", "employer_region")).drop("employer_region")
+    # postings without a source have nothing to be joined with, and would all meet in one partition
+    joined = jobs.where("sourceId is not null").join(known, "sourceId", "left").withColumn("effective_region", F.coalesce("regionId", "employer_region")).drop("employer_region")
+    return joined.unionByName(jobs.where("sourceId is null").withColumn("effective_region", F.col("regionId")))
 
 
 def without_disabled(jobs: DataFrame, employers: DataFrame) -> DataFrame:
     """Postings whose source is not switched off; postings without a source stay."""
-    return jobs.join(employers.where("enabled = false").select(F.col("id").alias("sourceId")), "sourceId", "left_anti")
+    off = employers.where("enabled = false").select(F.col("id").alias("sourceId"))
+    return jobs.where("sourceId is not null").join(off, "sourceId", "left_anti").unionByName(jobs.where("sourceId is null"))
 
 
 def sources_with_counts(employers: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -43,18 +46,32 @@ def employer_profile(jobs: DataFrame, employers: DataFrame) -> DataFrame:
 def similar_jobs(wanted: DataFrame, jobs: DataFrame, k: int = 6) -> DataFrame:
     """The k most similar postings of each wanted one: 2 for the region, 2 for the category, 1 for the source; ties by id.
 
-    Only the k smallest ids of a (region, category, source) cell can be among the k best of any posting, since all of a cell score alike;
-    so the postings are cut to k + 1 of each cell before the wanted ones meet the cells. No posting meets all others."""
+    Postings of one (region, category, source) cell have the same best ones but for themselves, so the best k + 1 are found once for each cell that is wanted. A posting that is
+    among them agrees with the cell in some of the three, and is among the k + 1 least ids of all that agree in these: any lesser id there scores as high or higher.
+    So each combination of the three gives k + 1 ids a group, found from the k + 1 least ids of each cell; no posting meets all others, and no cell all cells."""
     cell = ["regionId", "categoryId", "sourceId"]
-    best = jobs.select("id", *cell).withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy("id"))).where(F.col("place") <= k + 1)
-    cells = best.groupBy(*cell).agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
-    w = wanted.select(F.col("id").alias("of"), *[F.col(c).alias(f"w_{c}") for c in cell])
-    points = sum(F.when(F.col(f"w_{c}") == F.col(c), F.lit(p)).otherwise(F.lit(0)) for c, p in zip(cell, (2, 2, 1), strict=True))
-    # three equi-joins over cells instead of one over all pairs; a pair of cells may be found thrice
-    hits = [w.join(cells, F.col(f"w_{c}") == F.col(c)).select("of", points.alias("score"), F.explode("ids").alias("id")) for c in cell]
-    every = hits[0].union(hits[1]).union(hits[2]).where("id <> of").distinct()
-    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.col("score").desc(), "id"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+    points = dict(zip(cell, (2, 2, 1), strict=True))
+
+    def least(rows: DataFrame, by: list[str]) -> DataFrame:
+        ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
+        return ranked.where(F.col("place") <= k + 1).drop("place")
+
+    heads = least(jobs.select("id", *cell), cell)
+    cells = wanted.select(*[F.col(c).alias(f"w_{c}") for c in cell]).distinct()
+    hits = None
+    for n in range(1, 8):
+        by = [c for i, c in enumerate(cell) if n >> i & 1]
+        known = heads.where(" and ".join(f"{c} is not null" for c in by))
+        found = cells.join(least(known, by) if len(by) < 3 else known, [F.col(f"w_{c}") == F.col(c) for c in by])
+        hits = found if hits is None else hits.unionByName(found)
+    score = sum(F.when(F.col(f"w_{c}") == F.col(c), F.lit(p)).otherwise(F.lit(0)) for c, p in points.items())
+    w = [f"w_{c}" for c in cell]
+    every = hits.select(*w, score.alias("score"), "id").distinct()
+    rank = F.row_number().over(Window.partitionBy(*w).orderBy(F.col("score").desc(), "id"))
+    best = every.withColumn("place", rank).where(F.col("place") <= k + 1).groupBy(*w).agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("best"))  # k + 1 at most
+    joined = wanted.select(F.col("id").alias("of"), *cell).join(best, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in cell])
+    others = F.slice(F.filter("best", lambda x: x["id"] != F.col("of")), 1, k)
+    return joined.select("of", F.posexplode(others).alias("pos", "x")).select("of", "x.id", "x.score", (F.col("pos") + 1).alias("rank"))
 
 
 def favorites_found(jobs: DataFrame, favorites: DataFrame) -> DataFrame:

@@ -32,11 +32,19 @@ def parse_json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+#: Keys that share a payload.
+BLOCK = 200
+
+
+def _block(key):
+    return F.floor(F.col(key) / BLOCK)
+
+
 def _supplier_payload(spark, sf_dir, item, wrap=None):
-    """One payload for each nation, with one item for each of its suppliers."""
-    rows = read(spark, sf_dir, "supplier").withColumn("kind", dealt(TYPES, "s_suppkey")).groupBy("s_nationkey").agg(F.collect_list(item).alias("items"))
+    """One payload for each nation and block of BLOCK keys, with one item for each supplier: their number grows with the table, their size doesn't."""
+    rows = read(spark, sf_dir, "supplier").withColumn("kind", dealt(TYPES, "s_suppkey")).groupBy("s_nationkey", _block("s_suppkey").alias("block")).agg(F.collect_list(item).alias("items"))
     body = F.to_json(F.struct(F.col("items").alias(wrap)) if wrap else F.col("items"))
-    return rows.select(F.col("s_nationkey").cast("string").alias("source_id"), F.lit("Acme").alias("company"), F.concat(F.lit("h"), F.col("s_nationkey").cast("string")).alias("handle"), body.alias("payload"))
+    return rows.select(F.concat_ws("-", "s_nationkey", "block").alias("source_id"), F.lit("Acme").alias("company"), F.concat(F.lit("h"), F.col("s_nationkey").cast("string")).alias("handle"), body.alias("payload"))
 
 
 def _key():
@@ -52,38 +60,38 @@ _KIND_SQL = f"{sql_first_match('lower(kind)', R.EMPLOYMENT_RULES)}"
 _SUPPLIERS = f"(SELECT *, {sql_dealt(TYPES, 's_suppkey')} AS kind FROM supplier)"
 
 
-@query("ats_greenhouse", "SELECT s_nationkey::VARCHAR AS source_id, 'https://g/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 3 <> 0 THEN 'Laval' END AS location FROM supplier WHERE s_suppkey % 7 <> 0", views=False)
+@query("ats_greenhouse", "SELECT s_nationkey || '-' || (s_suppkey // 200) AS source_id, 'https://g/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 3 <> 0 THEN 'Laval' END AS location FROM supplier WHERE s_suppkey % 7 <> 0", views=False)
 def ats_greenhouse(spark, sf_dir):
     item = F.struct(_name().alias("title"), F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("https://g/"), _key())).alias("absolute_url"), F.struct(F.when(F.col("s_suppkey") % 3 != 0, " Laval ").alias("name")).alias("location"))
     return payloads.parse_ats(_supplier_payload(spark, sf_dir, item, "jobs"), "greenhouse").select("source_id", "url", "title", "location")
 
 
-@query("ats_lever", f'SELECT s_nationkey::VARCHAR AS source_id, \'https://l/\' || s_suppkey AS url, s_name AS title, {_KIND_SQL} AS "employmentType" FROM {_SUPPLIERS}', views=False)
+@query("ats_lever", f'SELECT s_nationkey || \'-\' || (s_suppkey // 200) AS source_id, \'https://l/\' || s_suppkey AS url, s_name AS title, {_KIND_SQL} AS "employmentType" FROM {_SUPPLIERS}', views=False)
 def ats_lever(spark, sf_dir):
     item = F.struct(_name().alias("text"), F.concat(F.lit("https://l/"), _key()).alias("hostedUrl"), F.struct(F.lit("Laval").alias("location"), F.col("kind").alias("commitment")).alias("categories"))
     return payloads.parse_ats(_supplier_payload(spark, sf_dir, item), "lever").select("source_id", "url", "title", "employmentType")
 
 
-@query("ats_recruitee", f"SELECT s_nationkey::VARCHAR AS source_id, 'https://r/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'L' ELSE 'C' END AS location, {_KIND_SQL} AS \"employmentType\" FROM {_SUPPLIERS}", views=False)
+@query("ats_recruitee", f"SELECT s_nationkey || '-' || (s_suppkey // 200) AS source_id, 'https://r/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'L' ELSE 'C' END AS location, {_KIND_SQL} AS \"employmentType\" FROM {_SUPPLIERS}", views=False)
 def ats_recruitee(spark, sf_dir):
     item = F.struct(_name().alias("title"), F.concat(F.lit("https://r/"), _key()).alias("careers_url"), F.when(F.col("s_suppkey") % 2 == 0, "L").otherwise("").alias("location"), F.lit("C").alias("city"), F.col("kind").alias("employment_type_code"))
     return payloads.parse_ats(_supplier_payload(spark, sf_dir, item, "offers"), "recruitee").select("source_id", "url", "title", "location", "employmentType")
 
 
-@query("ats_smartrecruiters", "SELECT s_nationkey::VARCHAR AS source_id, 'https://jobs.smartrecruiters.com/h' || s_nationkey || '/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'Laval, QC' ELSE 'QC' END AS location FROM supplier WHERE s_suppkey % 5 <> 0", views=False)
+@query("ats_smartrecruiters", "SELECT s_nationkey || '-' || (s_suppkey // 200) AS source_id, 'https://jobs.smartrecruiters.com/h' || s_nationkey || '/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'Laval, QC' ELSE 'QC' END AS location FROM supplier WHERE s_suppkey % 5 <> 0", views=False)
 def ats_smartrecruiters(spark, sf_dir):
     item = F.struct(_name().alias("name"), F.when(F.col("s_suppkey") % 5 != 0, _key()).alias("id"), F.struct(F.when(F.col("s_suppkey") % 2 == 0, "Laval").otherwise("").alias("city"), F.lit("QC").alias("region")).alias("location"))
     return payloads.parse_ats(_supplier_payload(spark, sf_dir, item, "content"), "smartrecruiters").select("source_id", "url", "title", "location")
 
 
-@query("bamboo_list", f"SELECT s_nationkey::VARCHAR AS source_id, 'b/careers/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 4 = 0 THEN 'teletravail' END AS remote, {_KIND_SQL} AS \"employmentType\", CASE WHEN s_suppkey % 3 = 0 THEN 'Civil' ELSE '' END AS tags FROM {_SUPPLIERS}", views=False)
+@query("bamboo_list", f"SELECT s_nationkey || '-' || (s_suppkey // 200) AS source_id, 'b/careers/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 4 = 0 THEN 'teletravail' END AS remote, {_KIND_SQL} AS \"employmentType\", CASE WHEN s_suppkey % 3 = 0 THEN 'Civil' ELSE '' END AS tags FROM {_SUPPLIERS}", views=False)
 def bamboo_list(spark, sf_dir):
     item = F.struct(F.col("s_suppkey").alias("id"), _name().alias("jobOpeningName"), F.when(F.col("s_suppkey") % 3 == 0, "Civil").otherwise("").alias("departmentLabel"), F.col("kind").alias("employmentStatusLabel"), (F.col("s_suppkey") % 4 == 0).alias("isRemote"))
     rows = _supplier_payload(spark, sf_dir, item, "result").withColumn("base", F.lit("b"))
     return payloads.parse_bamboo(rows).select("source_id", "url", "title", "remote", "employmentType", F.array_join("tags", ",").alias("tags"))
 
 
-@query("ultipro_search", """SELECT s_nationkey::VARCHAR AS source_id, 'https://recruiting.ultipro.ca/t/JobBoard/g/OpportunityDetail?opportunityId=' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'temps-plein' WHEN s_suppkey % 3 = 1 THEN 'temps-partiel' END AS "employmentType", CASE WHEN s_suppkey % 2 = 0 THEN 'Alma, QC' ELSE 'Amos' END AS location, '2001-05-06 00:00:00' AS posted FROM supplier""", views=False)
+@query("ultipro_search", """SELECT s_nationkey || '-' || (s_suppkey // 200) AS source_id, 'https://recruiting.ultipro.ca/t/JobBoard/g/OpportunityDetail?opportunityId=' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'temps-plein' WHEN s_suppkey % 3 = 1 THEN 'temps-partiel' END AS "employmentType", CASE WHEN s_suppkey % 2 = 0 THEN 'Alma, QC' ELSE 'Amos' END AS location, '2001-05-06 00:00:00' AS posted FROM supplier""", views=False)
 def ultipro_search(spark, sf_dir):
     key = F.col("s_suppkey")
     near = F.array(F.struct(F.when(key % 2 == 0, "Alma").alias("City"), F.struct(F.when(key % 2 == 0, "QC").alias("Code")).alias("State"), F.struct(F.lit("Amos").alias("City")).alias("Address")))
@@ -92,7 +100,7 @@ def ultipro_search(spark, sf_dir):
     return payloads.parse_ultipro(rows).select("source_id", "url", "title", "employmentType", "location", stamp("postedAt").alias("posted"))
 
 
-@query("zoho_embedded", """SELECT s_nationkey::VARCHAR AS source_id, 'https://z/' || s_suppkey || '/' || regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') AS url, s_name AS title, 'Laval, QC' AS location FROM supplier WHERE s_suppkey % 6 <> 0""", views=False)
+@query("zoho_embedded", """SELECT s_nationkey || '-' || (s_suppkey // 200) AS source_id, 'https://z/' || s_suppkey || '/' || regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') AS url, s_name AS title, 'Laval, QC' AS location FROM supplier WHERE s_suppkey % 6 <> 0""", views=False)
 def zoho_embedded(spark, sf_dir):
     item = F.struct(_key().alias("id"), F.when(F.col("s_suppkey") % 6 == 0, "Candidature spontanée").otherwise(_name()).alias("Posting_Title"), F.lit("Laval").alias("City"), F.lit("QC").alias("State"))
     rows = _supplier_payload(spark, sf_dir, item).withColumn("careers_url", F.lit("https://z//"))
@@ -100,7 +108,7 @@ def zoho_embedded(spark, sf_dir):
     return payloads.parse_zoho_json(rows.withColumn("payload", page)).select("source_id", "url", "title", "location")
 
 
-@query("site_api", "SELECT s_nationkey::VARCHAR AS source_id, 'https://s/carriere/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'Bon poste' END AS description FROM supplier WHERE s_suppkey % 3 <> 1", views=False)
+@query("site_api", "SELECT s_nationkey || '-' || (s_suppkey // 200) AS source_id, 'https://s/carriere/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'Bon poste' END AS description FROM supplier WHERE s_suppkey % 3 <> 1", views=False)
 def site_api(spark, sf_dir):
     key = F.col("s_suppkey")
     text = F.when(key % 2 == 0, F.to_json(F.struct(F.lit(" Bon poste ").alias("text")))).otherwise("pas du JSON")
@@ -109,34 +117,35 @@ def site_api(spark, sf_dir):
 
 
 def _feed(spark, sf_dir):
-    """One feed for each brand, with an item for each part."""
+    """One feed for each brand and block of keys, with an item for each part."""
     key = F.col("p_partkey").cast("string")
     item = F.concat(
         F.lit("<item><title><![CDATA["), "p_name", F.lit(" & fils]]></title><link>https://w/"), key, F.lit("?utm=1</link><category>"), F.when(F.col("p_size") % 2 == 0, "Montréal").otherwise("Civil"), F.lit("</category><category>Temps plein</category><description>Lieu : Alma &lt;br&gt; Catégorie : "),
         F.col("p_type"), F.lit(" &lt;br&gt;</description><pubDate>Mon, 06 May 2001 10:00:00 +0000</pubDate></item>"),
     )
-    rows = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat_ws("\n", F.collect_list(item)).alias("items"))
-    return rows.select(F.col("p_brand").alias("source_id"), F.lit("Acme").alias("company"), F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("payload"))
+    rows = read(spark, sf_dir, "part").groupBy("p_brand", _block("p_partkey").alias("block")).agg(F.concat_ws("\n", F.collect_list(item)).alias("items"))
+    return rows.select(F.concat_ws("-", "p_brand", "block").alias("source_id"), F.lit("Acme").alias("company"), F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("payload"))
 
 
-@query("job_feed_rss", """SELECT p_brand AS source_id, 'https://w/' || p_partkey AS url, p_name || ' & fils' AS title, CASE WHEN p_size % 2 = 0 THEN 'Montréal' END AS location, 'temps-plein' AS "employmentType", '2001-05-06 10:00:00' AS posted, CASE WHEN p_size % 2 = 0 THEN 'Montréal' ELSE 'Civil' END || ',Temps plein' AS tags FROM part""", views=False)
+@query("job_feed_rss", """SELECT p_brand || '-' || (p_partkey // 200) AS source_id, 'https://w/' || p_partkey AS url, p_name || ' & fils' AS title, CASE WHEN p_size % 2 = 0 THEN 'Montréal' END AS location, 'temps-plein' AS "employmentType", '2001-05-06 10:00:00' AS posted, CASE WHEN p_size % 2 = 0 THEN 'Montréal' ELSE 'Civil' END || ',Temps plein' AS tags FROM part""", views=False)
 def job_feed_rss(spark, sf_dir):
     return feeds.parse_job_feed(_feed(spark, sf_dir), orders_now()).select("source_id", "url", "title", "location", "employmentType", stamp("postedAt").alias("posted"), F.array_join("tags", ",").alias("tags"))
 
 
-@query("zoho_rss", "SELECT p_brand AS source_id, 'https://w/' || p_partkey || '?utm=1' AS url, p_name || ' & fils' AS title, 'Alma' AS location, p_type AS tags FROM part", views=False)
+@query("zoho_rss", "SELECT p_brand || '-' || (p_partkey // 200) AS source_id, 'https://w/' || p_partkey || '?utm=1' AS url, p_name || ' & fils' AS title, 'Alma' AS location, p_type AS tags FROM part", views=False)
 def zoho_rss(spark, sf_dir):
     return feeds.parse_zoho_rss(_feed(spark, sf_dir)).select("source_id", "url", "title", "location", F.array_join("tags", ",").alias("tags"))
 
 
 @query(
     "category_list",
-    """SELECT source_id, 'https://c/#' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS url, title FROM (SELECT source_id, title, slug, row_number() OVER (PARTITION BY source_id, slug ORDER BY p_type, p_partkey) AS n FROM (SELECT p_brand AS source_id, p_type, p_partkey,
+    """SELECT source_id, 'https://c/#' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS url, title FROM (SELECT source_id, title, slug, row_number() OVER (PARTITION BY source_id, slug ORDER BY p_type, p_partkey) AS n FROM (SELECT p_brand || '-' || (p_partkey // 200) AS source_id, p_type, p_partkey,
     upper(p_type[1]) || lower(p_type[2:]) || ' — ' || upper(p_name[1]) || lower(p_name[2:]) AS title, replace(lower(p_type) || '-' || lower(p_name), ' ', '-') AS slug FROM part))""",
     views=False,
 )
 def category_list(spark, sf_dir):
     part = read(spark, sf_dir, "part").select("p_brand", "p_type", "p_name", "p_partkey")
+    part = part.withColumn("p_brand", F.concat_ws("-", "p_brand", _block("p_partkey")))
     lines = part.groupBy("p_brand", "p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: F.concat(F.lit("-- "), F.upper(x["p_name"]))), "\n").alias("jobs"))
     text = lines.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", "jobs"))), lambda x: F.concat(F.lit("** 3 POSTES DE "), x["p_type"], F.lit(" **\n"), x["jobs"])), "\n").alias("body"))
     rows = text.select(F.col("p_brand").alias("source_id"), F.lit("Acme").alias("company"), F.lit("https://c/").alias("base"), F.concat(F.lit("Bienvenue\n-- intro\nEMPLOIS DISPONIBLES:\n"), "body").alias("text"))
@@ -146,7 +155,7 @@ def category_list(spark, sf_dir):
 @query(
     "json_ld_postings",
     """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 'https://j/' || o_orderkey ELSE 'https://p/' || o_orderkey || '#poste-' || o_orderkey END AS url, 'Poste ' || o_orderkey AS title, 'Ciment d''ici' AS company, CASE WHEN o_orderkey % 3 = 0 THEN 'Alma, QC' ELSE 'QC' END AS location,
-    CASE WHEN o_orderkey % 4 = 0 THEN 'teletravail' END AS remote, 'temps-plein' AS "employmentType", 20.0 AS "salaryMin", CASE WHEN o_orderkey % 5 = 0 THEN 20.0 ELSE 30.0 END AS "salaryMax", 'heure' AS "salaryPeriod", 'Un bon poste' AS description FROM orders WHERE o_orderkey < 3000""",
+    CASE WHEN o_orderkey % 4 = 0 THEN 'teletravail' END AS remote, 'temps-plein' AS "employmentType", 20.0 AS "salaryMin", CASE WHEN o_orderkey % 5 = 0 THEN 20.0 ELSE 30.0 END AS "salaryMax", 'heure' AS "salaryPeriod", 'Un bon poste' AS description FROM orders""",
     views=False,
 )
 def json_ld_postings(spark, sf_dir):
@@ -158,7 +167,7 @@ def json_ld_postings(spark, sf_dir):
         F.when(key % 3 == 0, "Alma").otherwise(""), F.lit('","addressRegion":"QC"}}'), F.when(key % 2 == 0, F.concat(F.lit(',"url":"https://j/'), text, F.lit('"'))).otherwise(""), F.when(key % 4 == 0, ',"jobLocationType":"TELECOMMUTE"').otherwise(""), F.lit("}"),
     )
     html = F.concat(F.lit('<html><script type="application/ld+json">{"@graph":[{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":'), node, F.lit('}]}]}</script><script type="application/ld+json">{bad</script></html>'))
-    made = read(spark, sf_dir, "orders").where("o_orderkey < 3000").select(key.alias("page_id"), F.concat(F.lit("https://p/"), text).alias("url"), html.alias("html"))
+    made = read(spark, sf_dir, "orders").select(key.alias("page_id"), F.concat(F.lit("https://p/"), text).alias("url"), html.alias("html"))
     return pages.parse_json_ld(made).select("page_id", "url", "title", "company", "location", "remote", "employmentType", "salaryMin", "salaryMax", "salaryPeriod", "description")
 
 

@@ -18,8 +18,8 @@ def _target(spark, sf_dir):
 
 
 def _batch(spark, sf_dir):
-    """Incoming postings with repeated urls; sources above 40 send little or nothing."""
-    line = read(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0 and (l_suppkey < 40 or (l_suppkey < 80 and l_partkey % 5 = 0))")
+    """Incoming postings with repeated urls; of five sources two send all, two little and one nothing."""
+    line = read(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0 and (l_suppkey % 5 < 2 or (l_suppkey % 5 < 4 and l_partkey % 5 = 0))")
     return line.select(
         F.concat_ws("-", "l_suppkey", "l_partkey").alias("url"), F.concat_ws("|", "l_suppkey", "l_partkey").alias("id"), F.col("l_suppkey").cast("string").alias("sourceId"), F.concat(F.lit("new "), F.col("l_orderkey").cast("string")).alias("title"),
         F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("ord"),
@@ -33,7 +33,7 @@ def _signals(spark, sf_dir):
 
 _TARGET = "target AS (SELECT l_suppkey || '-' || l_partkey AS url, l_suppkey || '|' || l_partkey AS id, l_suppkey::VARCHAR AS \"sourceId\", 'old ' || max(l_orderkey) AS title FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_suppkey, l_partkey)"
 _BATCH = """batch AS (SELECT l_suppkey || '-' || l_partkey AS url, l_suppkey || '|' || l_partkey AS id, l_suppkey::VARCHAR AS "sourceId", 'new ' || l_orderkey AS title, l_orderkey, l_linenumber, l_extendedprice FROM lineitem
-WHERE l_orderkey % 3 = 0 AND (l_suppkey < 40 OR (l_suppkey < 80 AND l_partkey % 5 = 0)))"""
+WHERE l_orderkey % 3 = 0 AND (l_suppkey % 5 < 2 OR (l_suppkey % 5 < 4 AND l_partkey % 5 = 0)))"""
 _LAST = "last_batch AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY url ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1)"
 _SIGNALS = 'signals AS (SELECT s_suppkey::VARCHAR AS "sourceId", s_suppkey % 2 = 0 AS reachable_empty, s_suppkey % 7 = 0 AS explicit_empty, s_suppkey % 5 = 0 AS force FROM supplier)'
 _POLICY = """policy AS (SELECT s."sourceId", coalesce(n, 0) AS n, coalesce(e, 0) AS e, CASE WHEN coalesce(n, 0) = 0 THEN CASE WHEN explicit_empty OR (reachable_empty AND coalesce(e, 0) <= 10) THEN 'purge' ELSE 'keep' END
@@ -133,7 +133,7 @@ def _registry(spark, sf_dir):
     name = F.concat(F.lit("SUPPLIER#"), F.lpad((key % 120).cast("string"), 9, "0"), F.when(key % 2 == 0, " Inc.").otherwise(" ltée - Laval"))
     from tamarack.sources.adapters import places
 
-    return read(spark, sf_dir, "customer").where("c_custkey < 300").join(F.broadcast(places(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return read(spark, sf_dir, "customer").join(F.broadcast(places(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.when(key % 13 == 0, "bad").otherwise(licence).alias("licence"), F.when(key % 11 == 0, "Inactive").otherwise("Active").alias("status"), name.alias("name"), F.when(key % 3 == 0, F.concat(F.lit("Other "), key.cast("string"))).alias("other_name"),
         F.col("n_name").alias("municipality"), F.col("r_name").alias("region"), key.alias("ord"),
     )
@@ -143,7 +143,7 @@ _KEYED = "trim(regexp_replace(regexp_replace(regexp_replace(lower(%s), '\\s[-–
 _RESOLVED = f"""
 registry AS (SELECT CASE WHEN c_custkey % 13 = 0 THEN 'bad' ELSE lpad((c_custkey % 10000)::VARCHAR, 4, '0') || '-' || lpad((c_custkey * 7 % 10000)::VARCHAR, 4, '0') || '-' || lpad((c_custkey % 100)::VARCHAR, 2, '0') END AS licence,
   CASE WHEN c_custkey % 11 = 0 THEN 'Inactive' ELSE 'Active' END AS status, 'SUPPLIER#' || lpad((c_custkey % 120)::VARCHAR, 9, '0') || CASE WHEN c_custkey % 2 = 0 THEN ' Inc.' ELSE ' ltee - Laval' END AS name,
-  CASE WHEN c_custkey % 3 = 0 THEN 'Other ' || c_custkey END AS other_name, lower(r_name) AS region, c_custkey FROM customer JOIN place ON c_nationkey = n_nationkey WHERE c_custkey < 300),
+  CASE WHEN c_custkey % 3 = 0 THEN 'Other ' || c_custkey END AS other_name, lower(r_name) AS region, c_custkey FROM customer JOIN place ON c_nationkey = n_nationkey),
 idx AS (SELECT name_key, licence, arg_min(region, c_custkey) AS region FROM (SELECT {_KEYED % "unnest([name, other_name])"} AS name_key, licence, region, c_custkey FROM registry WHERE status = 'Active' AND licence <> 'bad') WHERE length(name_key) >= 3 GROUP BY 1, 2),
 hits AS (SELECT e.id, count(i.licence) AS hits, max(i.licence) AS only_one, count_if(e.region IS NOT NULL AND (contains(i.region, lower(e.region)) OR contains(lower(e.region), i.region))) AS near,
   max(CASE WHEN contains(i.region, lower(e.region)) OR contains(lower(e.region), i.region) THEN i.licence END) AS near_one FROM employer e LEFT JOIN idx i ON {_KEYED % "e.name"} = i.name_key GROUP BY e.id)"""
@@ -213,3 +213,44 @@ def alert_cutoffs(spark, sf_dir):
 @query("alert_oldest_cutoff", "SELECT '1999-01-01 00:00:00' AS oldest", views=False)
 def alert_oldest_cutoff(spark, sf_dir):
     return A.oldest_cutoff(alert_table(spark), orders_now()).select(stamp("oldest").alias("oldest"))
+
+
+@query(
+    "merge_result_pages",
+    """WITH hit AS (SELECT l_suppkey::VARCHAR AS source_id, l_linenumber AS page, l_orderkey AS pos, 'https://r/' || l_partkey AS url FROM lineitem), ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY page, pos) AS n FROM hit),
+    stops AS (SELECT source_id, min(page) AS stop FROM (SELECT source_id, page, count_if(n = 1) AS new FROM ranked GROUP BY 1, 2) WHERE new = 0 GROUP BY 1)
+    SELECT r.source_id, r.page::BIGINT AS page, r.url FROM ranked r LEFT JOIN stops s USING (source_id) WHERE n = 1 AND (stop IS NULL OR r.page < stop)""",
+    views=False,
+)
+def merge_result_pages(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_id"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("pos"), F.concat(F.lit("https://r/"), F.col("l_partkey").cast("string")).alias("url"))
+    return I.merge_result_pages(rows).select("source_id", F.col("page").cast("bigint").alias("page"), "url")
+
+
+@query(
+    "run_reports",
+    f"""WITH {_TARGET}, {_BATCH}, wanted AS (SELECT s_suppkey::VARCHAR AS "sourceId" FROM supplier UNION SELECT 'x' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0), f AS (SELECT b."sourceId", count(DISTINCT b.url) AS found, count(DISTINCT CASE WHEN t.url IS NULL THEN b.url END) AS inserted FROM batch b LEFT JOIN target t ON t.url = b.url GROUP BY 1)
+    SELECT w."sourceId", CASE WHEN w."sourceId" LIKE 'x%' THEN 'unknown' WHEN w."sourceId"::BIGINT % 8 = 3 THEN 'error' ELSE 'success' END AS status, CASE WHEN w."sourceId" LIKE 'x%' OR w."sourceId"::BIGINT % 8 = 3 THEN 0 ELSE coalesce(found, 0) END AS found,
+    CASE WHEN w."sourceId" LIKE 'x%' OR w."sourceId"::BIGINT % 8 = 3 THEN 0 ELSE coalesce(inserted, 0) END AS inserted, CASE WHEN w."sourceId" LIKE 'x%' OR w."sourceId"::BIGINT % 8 = 3 THEN 0 ELSE coalesce(found - inserted, 0) END AS updated,
+    CASE WHEN w."sourceId" LIKE 'x%' THEN 'unknown source: ' || w."sourceId" WHEN w."sourceId"::BIGINT % 8 = 3 THEN 'timeout' END AS error FROM wanted w LEFT JOIN f USING ("sourceId")""",
+    views=False,
+)
+def run_reports(spark, sf_dir):
+    key = F.col("s_suppkey")
+    known = read(spark, sf_dir, "supplier").select(key.cast("string").alias("sourceId"), key)
+    requested = known.select("sourceId").union(known.where(key % 10 == 0).select(F.concat(F.lit("x"), "sourceId")))
+    return I.run_reports(requested, known, _batch(spark, sf_dir), _target(spark, sf_dir), known.where(key % 8 == 3).select("sourceId", F.lit("timeout").alias("error")))
+
+
+@query(
+    "alert_changes",
+    """SELECT id, user_id, cut FROM (SELECT c_custkey::VARCHAR AS id, 'u' || (c_custkey % 9) AS user_id, 'old' AS cut FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey::VARCHAR, 'u' || (c_custkey % 9), 'none' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1)
+    WHERE NOT (id::BIGINT % 5 = 0 AND user_id = 'u4')""",
+    views=False,
+)
+def alert_changes(spark, sf_dir):
+    key = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select(key, key.cast("string").alias("id"), F.concat(F.lit("u"), (key % 9).cast("string")).alias("user_id"), F.lit("l").alias("label"), F.lit("2001-01-01").cast("timestamp").alias("created_at"), F.lit("2001-02-01").cast("timestamp").alias("last_notified_at"))
+    made = A.create_alerts(rows.where(key % 2 == 0).drop("c_custkey"), rows.where(key % 3 == 0).drop("c_custkey"))
+    left = A.delete_alerts(made, rows.where(key % 5 == 0).select("id", F.lit("u4").alias("user_id")))
+    return left.select("id", "user_id", F.when(F.col("last_notified_at").isNull(), "none").otherwise("old").alias("cut"))
