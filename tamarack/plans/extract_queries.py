@@ -210,3 +210,60 @@ def route_employers(spark, sf_dir):
 
     url = F.when(F.col("id").cast("bigint") % 5 == 0, "https://www.Jobillico.com/fr/voir-entreprise/x").otherwise(F.col("careersUrl"))
     return employer(spark, sf_dir).select("id", pages.route(url, F.col("method")).alias("parser"))
+
+
+#: A page of each site, with # for the supplier's key: two postings, and what is none.
+_SITE_PAGES = {
+    "avature": "<article class='x article--result'><h3 class='article__header__text__title'><a class='link' href='https://a/Job/#?x=1'>Soudeur #</a></h3><span class='list-item-location'>Alma</span></article><article class='article--result'><h3><a class='link' href='https://a/Job/#'>Encore</a></h3></article>",
+    "canam": "<a class='c-card-job' href='/emploi/m-#?p=2'><h3 class='c-card-job__title'>Monteur #<svg><text>x</text></svg></h3><span class='c-btn--tag'>Laval</span><span class='c-btn--tag'>Amos</span></a><a class='c-card-job' href='/autre/#'><h3 class='c-card-job__title'>Rien</h3></a>",
+    "guay": "<div class='card-position'><h3>Grutier #</h3><div class='content'><p>Alma</p><p>Temps plein | jour</p></div><a href='https://g/p/#?a#b'>Voir</a></div><div class='card-position'><h3>Sans lien</h3><a href='/relatif'>Voir</a></div>",
+    "charpentistes": "<div class='sqs-html-content'><p>Actuellement</p><a href='/poste-#'>Charpentier # recherché</a><a href='/contact'>Contact</a><a href='mailto:x@y'>x@y</a></div>",
+    "drolet": "<div class='w-dyn-item'><h4>Estimateur #</h4><a href='/postes-disponible/e-#'>Voir</a></div><div class='w-dyn-item'><a href='/postes-disponible/chef-equipe-#'></a></div>",
+    "revenco": "<div id='emplois'><div class='row emploi'><h3>Commis #</h3><p>Temps partiel</p><a href='https://r/emplois/c-#'>Voir</a></div></div>",
+    "electricitemc2": "<h3 class='elementor-image-box-title'>Plombier #</h3><h3 class='elementor-image-box-title'>Plombier #</h3><h3 class='elementor-image-box-title'>Candidature spontanée</h3>",
+    "excavationsrsr": "<div class='elementor-accordion-title'>Foreur #</div><div class='elementor-accordion-title'>FAQ</div>",
+    "galilee": "<h3>Nos valeurs</h3><h3>Peintre #</h3><h3>Peintre #</h3>",
+    "jackstaff": "<a href='/fr/opportunite-d-emploi/acme/agent-securite/#1'>Voir l’offre</a><a href='/fr/autre/#'>Autre</a>",
+    "jobillico": "<div class='card__content'><a href='https://j/fr/offre-d-emploi/acme/soudeur/9000#?s=1'>Soudeur # Job Details | Acme</a><p class='mb0'>Acme</p><p>Laval, QC</p></div><div class='card__content'><a href='https://j/fr/offre-d-emploi/acme/x/12'>Trop court</a></div>",
+    "jobs-listing": "<ul class='jobs-listing'><li><a href='/acme/7#?l=fr'>Magasinier #</a><span>Granby</span></li><li><a href='/x'>En savoir plus</a></li><li><a href='#haut'>Journalier du haut</a></li></ul>",
+    "wix": "<div class='wixui-repeater'><div class='wixui-repeater__item'><h2>Dessinateur #</h2><h3>Sherbrooke</h3><h3>Temps plein</h3><a href='https://w/d-#'>Voir</a></div><div class='wixui-repeater__item'><h2>Un avantage</h2><h3>Des repas</h3></div></div>",
+}
+#: What they hold: site, address, title, place, kind.
+_SITE_POSTINGS = [
+    ("avature", "https://a/Job/#", "Soudeur #", "Alma", None), ("canam", "https://s/emploi/m-#", "Monteur #", "Laval, Amos", None), ("guay", "https://g/p/#", "Grutier #", "Alma", "temps-plein"), ("charpentistes", "https://s/poste-#", "Charpentier #", None, None), ("drolet", "https://s/postes-disponible/e-#", "Estimateur #", None, None),
+    ("drolet", "https://s/postes-disponible/chef-equipe-#", "Chef Equipe #", None, None), ("revenco", "https://r/emplois/c-#", "Commis #", None, "temps-partiel"), ("electricitemc2", "https://s/carrieres/#plombier-#", "Plombier #", None, None), ("excavationsrsr", "https://s/carrieres/#foreur-#", "Foreur #", None, None),
+    ("galilee", "https://s/carrieres#peintre-#", "Peintre #", None, None), ("jackstaff", "https://s/fr/opportunite-d-emploi/acme/agent-securite/#1", "Agent Securite", None, None), ("jobillico", "https://j/fr/offre-d-emploi/acme/soudeur/9000#", "Soudeur #", "Laval, QC", None), ("jobs-listing", "https://s/acme/7#?l=fr", "Magasinier #", "Granby", None), ("wix", "https://w/d-#", "Dessinateur #", "Sherbrooke", "temps-plein"),
+]
+
+
+def _site_sql():
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = ", ".join(f"({list(_SITE_PAGES).index(s)}, '{s}', {', '.join(map(text, rest))})" for s, *rest in _SITE_POSTINGS)
+    # the sign that follows a path's slash in a fragment stays
+    key = lambda c: f"replace(replace(replace({c}, '/#p', '/@p'), '/#f', '/@f'), 's#p', 's@p')"
+    return f"SELECT s_suppkey AS page_id, site, replace(replace({key('url')}, '#', s_suppkey::VARCHAR), '@', '#') AS url, replace(title, '#', s_suppkey::VARCHAR) AS title, location, kind AS \"employmentType\" FROM supplier JOIN (VALUES {rows}) v(k, site, url, title, location, kind) ON s_suppkey % {len(_SITE_PAGES)} = k"
+
+
+@query("site_cards", _site_sql(), views=False)
+def site_cards(spark, sf_dir):
+    from tamarack.operators.extract import cards
+
+    key = F.col("s_suppkey")
+    n, text = key % len(_SITE_PAGES), key.cast("string")
+    html = F.element_at(F.array(*[F.lit(x) for x in _SITE_PAGES.values()]), (n + 1).cast("int"))
+    site = F.element_at(F.array(*[F.lit(x) for x in _SITE_PAGES]), (n + 1).cast("int"))
+    # the key stands for each # that begins no fragment
+    filled = F.replace(F.replace(F.replace(F.replace(html, F.lit("#b"), F.lit("@b")), F.lit("'#h"), F.lit("'@h")), F.lit("#"), text), F.lit("@b"), F.lit("#b"))
+    made = read(spark, sf_dir, "supplier").select(key.alias("page_id"), site.alias("site"), F.lit("https://s/carrieres").alias("url"), F.replace(filled, F.lit("'@h"), F.lit("'#h")).alias("html"))
+    return cards.parse_all(made).select("page_id", "site", "url", "title", "location", "employmentType")
+
+
+@query("board_item_list", "SELECT s_suppkey AS page_id, 'https://j/offre-d-emploi/' || s_suppkey AS url, s_name AS name FROM supplier WHERE s_suppkey % 4 <> 0", views=False)
+def board_item_list(spark, sf_dir):
+    from tamarack.operators.extract import cards
+
+    key = F.col("s_suppkey").cast("string")
+    kind = F.when(F.col("s_suppkey") % 4 == 0, "autre").otherwise("offre-d-emploi")
+    data = F.concat(F.lit('[{"@type":"ItemList","itemListElement":[{"url":"https://j/'), kind, F.lit("/"), key, F.lit('?x=1","name":"old"},{"url":"https://j/'), kind, F.lit("/"), key, F.lit('","name":" '), "s_name", F.lit(' "},{"name":"none"}]}]'))
+    made = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("<script type='application/ld+json'>"), data, F.lit("</script><script type='application/ld+json'>ItemList{</script>")).alias("html"))
+    return cards.item_list(made)

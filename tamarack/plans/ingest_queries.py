@@ -230,9 +230,9 @@ def merge_result_pages(spark, sf_dir):
 @query(
     "run_reports",
     f"""WITH {_TARGET}, {_BATCH}, wanted AS (SELECT s_suppkey::VARCHAR AS "sourceId" FROM supplier UNION SELECT 'x' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0), f AS (SELECT b."sourceId", count(DISTINCT b.url) AS found, count(DISTINCT CASE WHEN t.url IS NULL THEN b.url END) AS inserted FROM batch b LEFT JOIN target t ON t.url = b.url GROUP BY 1)
-    SELECT w."sourceId", CASE WHEN w."sourceId" LIKE 'x%' THEN 'unknown' WHEN w."sourceId"::BIGINT % 8 = 3 THEN 'error' ELSE 'success' END AS status, CASE WHEN w."sourceId" LIKE 'x%' OR w."sourceId"::BIGINT % 8 = 3 THEN 0 ELSE coalesce(found, 0) END AS found,
-    CASE WHEN w."sourceId" LIKE 'x%' OR w."sourceId"::BIGINT % 8 = 3 THEN 0 ELSE coalesce(inserted, 0) END AS inserted, CASE WHEN w."sourceId" LIKE 'x%' OR w."sourceId"::BIGINT % 8 = 3 THEN 0 ELSE coalesce(found - inserted, 0) END AS updated,
-    CASE WHEN w."sourceId" LIKE 'x%' THEN 'unknown source: ' || w."sourceId" WHEN w."sourceId"::BIGINT % 8 = 3 THEN 'timeout' END AS error FROM wanted w LEFT JOIN f USING ("sourceId")""",
+    SELECT w."sourceId", CASE WHEN w."sourceId" LIKE 'x%' THEN 'unknown' WHEN TRY_CAST(w."sourceId" AS BIGINT) % 8 = 3 THEN 'error' ELSE 'success' END AS status, CASE WHEN w."sourceId" LIKE 'x%' OR TRY_CAST(w."sourceId" AS BIGINT) % 8 = 3 THEN 0 ELSE coalesce(found, 0) END AS found,
+    CASE WHEN w."sourceId" LIKE 'x%' OR TRY_CAST(w."sourceId" AS BIGINT) % 8 = 3 THEN 0 ELSE coalesce(inserted, 0) END AS inserted, CASE WHEN w."sourceId" LIKE 'x%' OR TRY_CAST(w."sourceId" AS BIGINT) % 8 = 3 THEN 0 ELSE coalesce(found - inserted, 0) END AS updated,
+    CASE WHEN w."sourceId" LIKE 'x%' THEN 'unknown source: ' || w."sourceId" WHEN TRY_CAST(w."sourceId" AS BIGINT) % 8 = 3 THEN 'timeout' END AS error FROM wanted w LEFT JOIN f USING ("sourceId")""",
     views=False,
 )
 def run_reports(spark, sf_dir):

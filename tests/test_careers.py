@@ -1,0 +1,58 @@
+"""Career pages: labels, slogans and services one by one, links with their headings."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tamarack.functions.rules import has
+from tamarack.operators.extract import pages as P
+
+LABELS = (
+    "carrières|carrieres|carrière|postuler|postuler maintenant|postuler ici|postulez ici|postulez|postulez maintenant|postule|je postule|description|description du poste|description de poste|description de l'emploi|en savoir plus|en savoir +|voir|voir l'offre|voir l'emploi|voir ce poste|voir le poste"
+    "|voir les postes|voir les postes disponibles|voir tous les postes|voir toutes les offres|voir toutes les offres disponibles|voir les offres|voir les offres d'emploi|voir les détails|voir les détails du poste|voir plus|voir tout|voir détail|détails|détails du poste|plus de détails|consulter|lire|lire la suite"
+    "|lire plus|accueil|contact|nous joindre|nous rejoindre|contactez-nous|rejoignez-nous|joindre l'équipe|emplois|emploi|poste|postes|english|anglais|français|home|apply|apply now|view|view job|view details|read more|learn more|more|à propos|a propos|services|blogue|soumission|équipe|equipe|réalisations"
+    "|realisations|site|plan du site|travaux|projets|candidature spontanée|jobillico|indeed|linkedin|workday|glassdoor|neuvoo|monster|talentup|retour|retour à la liste|retour aux offres|« précédent|suivant »|postes disponibles|poste à combler|postes actuellement ouverts|postes en recrutement continu|recrutement continu"
+    "|postes à pourvoir|partager|partage|partagez|share|équipements|produits|nos produits|emplois temps plein|emploi étudiant|emplois télétravail|guide carrière|eoe|eeo|faq|eng"
+).split("|")
+SLOGANS = ["Nous recherchons un opérateur", "Un emploi de plombier à échelle humaine", "Pourquoi nous rejoindre", "Deviens soudeur", "Votre avenir", "Apply for welder", "Zone de soudeur", "Pour nous contacter", "Tu aimes la mécanique", "Je veux travailler", "Candidature spontanée soudeur", "Voir tous nos monteurs"]
+SERVICES = ["Déneigement", "Charpente", "Maintenance industrielle", "Aménagement paysager", "Entretien d'espaces verts", "Construction résidentielle", "Déneigement de voies publiques", "Réparation et modifications", "Débosselage de véhicules", "Forage du sol", "Remorquage pour tous"]
+TITLES = ["Opérateur de déneigement", "Soudeur", "Manœuvre en excavation", "Contremaître", "Foreuse", "Technicien en maintenance industrielle"]
+
+
+def flags(spark, texts, column):
+    return [r.x for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(column.alias("x")).collect()]
+
+
+def test_each_label_slogan_and_service(spark):
+    t = F.col("t")
+    assert [x for x, y in zip(LABELS, flags(spark, LABELS, has(t, P.NAV_LABELS)), strict=True) if not y] == []
+    assert [x for x, y in zip(SLOGANS, flags(spark, SLOGANS, has(t, P.MARKETING_PREFIX)), strict=True) if not y] == []
+    assert [x for x, y in zip(SERVICES, flags(spark, SERVICES, has(t, P.SERVICE_ONLY) | has(t, P.SERVICE_LED)), strict=True) if not y] == []
+    assert all(flags(spark, TITLES, P.is_job_title(t))) and not any(flags(spark, LABELS + SLOGANS + SERVICES, P.is_job_title(t)))
+
+
+CASES = [
+    ("<a href='/emplois/operateur-de-pelle-mecanique'>En savoir plus</a><h3>Opérateur de pelle mécanique</h3>", [("https://e/emplois/operateur-de-pelle-mecanique", "Opérateur de pelle mécanique")]),  # the heading of the slug
+    ("<a href='/emplois/chef-de-chantier'>nous rejoindre</a>", [("https://e/emplois/chef-de-chantier", "Chef de Chantier")]),
+    ("<a href='/emplois/x-1'>Nous recherchons un opérateur</a>", []),
+    ("<a href='/nos-offres'>Soudeur haute pression</a><a href='/blogue/soudeur'>Soudeur</a>", [("https://e/nos-offres", "Soudeur haute pression")]),
+    ("<a href='/offre/a/'>Monteur Voir le poste</a><a href='/offre/a'>Monteur</a>", [("https://e/offre/a/", "Monteur")]),
+    ("<a href='mailto:emploi@x.ca'>Soudeur</a><a href='/candidature-spontanee-emploi'>Soudeur</a><a href='/carrieres/'>Soudeur</a>", []),
+    ("<a href='/emplois/b?poste=Ferblantier#contact'>Postuler</a>", [("https://e/emplois/b?poste=Ferblantier", "Ferblantier")]),
+    ("<a href='/emplois/comptes'>Commis aux comptes recevablesSherbrooke, Qc</a>", [("https://e/emplois/comptes", "Commis aux comptes recevables")]),
+    ("<a href='/emplois/d'>Déneigement de voies</a><a href='/emplois/e'>Soudeur (poste comblé)</a><a href='/emplois/f'>Envie de bouger ?</a>", []),
+]
+
+
+@pytest.mark.parametrize("k", range(len(CASES)))
+def test_job_links(spark, k):
+    made = spark.createDataFrame([(k, "https://e/carrieres", CASES[k][0])], "page_id long, url string, html string")
+    out = P.job_links(P.page_elements(made), made).orderBy("pos").collect()
+    assert [(r.url, r.title) for r in out] == CASES[k][1]
+
+
+def test_postings_at_any_depth(spark):
+    node = '{"@type":"JobPosting","title":"T","hiringOrganization":{"name":"C"}}'
+    for _ in range(40):
+        node = f'{{"@graph":[{node}]}}'
+    made = spark.createDataFrame([(1, "https://e/", f"<script type='application/ld+json'>{node}</script><script type='application/ld+json'>{'[' * 200000}</script>")], "page_id long, url string, html string")
+    assert [(r.title, r.company) for r in P.parse_json_ld(made).collect()] == [("T", "C")]
