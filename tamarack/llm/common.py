@@ -51,10 +51,12 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch |
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the folder that the session names, or one of our own where none is set (as in tests)."""
+    """Make checkpoint() usable: the folder that the session names, or on a local master, where none is set (as in tests), one of our own. A cluster must name one that all machines share."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; the machines of a cluster need a folder that they share")
         context.setCheckpointDir(named or os.path.join(os.getcwd(), ".checkpoints"))
 
 

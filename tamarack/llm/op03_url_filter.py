@@ -1,6 +1,6 @@
 """URL filters: a sorted array of 64-bit digests, memory-mapped and probed by binary search.
 
-The rule list is compiled once into two files: the sorted XXH64 keys of the rules (`host` + `path`) and the
+The rule list, which the driver holds while it compiles it, is compiled once into two files: the sorted XXH64 keys of the rules (`host` + `path`) and the
 rules' full strings in the same order. SparkContext.addFile ships both to every executor (a replacement executor
 fetches them again), where the key file is memory-mapped. A url yields its candidate keys: each suffix of its host
 at a label boundary, joined with each prefix of its path that has the length of some rule's path. All candidates of
@@ -9,7 +9,7 @@ keys of different rules lie side by side, so a collision costs a comparison, nev
 
 Defined results: null url, or one without `://`: host and path empty, no rule. Rows repeat as they come; an empty
 table gives an empty result; columns beyond page_id and url are ignored. A rule's host fits itself and subdomains; the longest
-rule wins (ties cannot be: two fitting rules of equal length are the same string). Where no rule fits, the list is
+rule wins, and of two as long the one with the longer host (rules `x.net` + `` and `net` + `/a` both fit x.net/a). Where no rule fits, the list is
 silent and the verdict is `allow`.
 """
 
@@ -28,10 +28,6 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import slices
 
-#: The rule list is held by the driver while it is compiled; longer lists are refused.
-MAX_RULES = 20_000_000
-
-
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path as columns; both empty without `://`."""
     url = F.coalesce(url, F.lit(""))
@@ -48,8 +44,6 @@ _SHIPPED: set[tuple[str, str]] = set()
 def compile_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
     """Write the digest array of (verdict, host, path) rules and ship it; returns its name on the executors, made from its contents."""
     rows = sorted((xxhash.xxh64_intdigest(host + path), host + path, len(host), verdict) for verdict, host, path in rules)
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"{len(rows)} rules; at most {MAX_RULES} can be compiled")
     name = f"url_rules_{xxhash.xxh64_hexdigest(repr(rows))}"
     if (spark.sparkContext.applicationId, name) in _SHIPPED:
         return name
@@ -77,7 +71,7 @@ class DigestArray:
 
     def match(self, hosts: list[str], paths: list[str]) -> np.ndarray:
         """The index of the longest fitting rule of each url, or -1."""
-        best, length = np.full(len(hosts), -1, np.int64), np.full(len(hosts), -1, np.int64)
+        best, length = np.full(len(hosts), -1, np.int64), [(-1, -1)] * len(hosts)
         candidate: dict[tuple[str, str], int] = {}
         owner, which = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
@@ -99,7 +93,7 @@ class DigestArray:
                     found[k] = j
                     break
                 j += 1
-        lengths = np.array([len(x) for x in wanted])
+        lengths = [(len(host) + len(path), len(host)) for host, path in candidate]
         for i, k in zip(owner, which, strict=True):
             if found[k] >= 0 and lengths[k] > length[i]:
                 best[i], length[i] = found[k], lengths[k]

@@ -178,15 +178,30 @@ def links(distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[owner])], names=["key", "fp"])
 
     def verify(batches):
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        def edges(key: np.ndarray, fp: np.ndarray):
+            found = bucket_edges(key, fp)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+        held_key, held = None, []  # the last bucket may go on in the next batches; its parts are joined once
         for batch in batches:
-            key, fp = np.concatenate([held_key, batch["key"].to_numpy()]), np.concatenate([held_fp, batch["fp"].to_numpy()])
-            whole = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last bucket may go on
-            if len(edges := bucket_edges(key[:whole], fp[:whole])):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
-            held_key, held_fp = key[whole:], fp[whole:]
-        if len(edges := bucket_edges(held_key, held_fp)):
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+            key, fp = batch["key"].to_numpy(), batch["fp"].to_numpy()
+            if not len(key):
+                continue
+            more = int(np.searchsorted(key, held_key, "right")) if held and key[0] == held_key else 0
+            if more:
+                held.append(fp[:more])
+            if more == len(key):
+                continue
+            if held:
+                fps = np.concatenate(held)
+                yield from edges(np.zeros(len(fps), np.int64), fps)
+            last = int(np.searchsorted(key, key[-1], "left"))
+            yield from edges(key[more:last], fp[more:last])
+            held_key, held = key[-1], [fp[last:]]
+        if held:
+            fps = np.concatenate(held)
+            yield from edges(np.zeros(len(fps), np.int64), fps)
 
     keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(verify, "u long, v long").distinct()

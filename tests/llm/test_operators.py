@@ -146,6 +146,16 @@ def test_url_rules_match_brute_force(spark):
     assert {r.verdict for r in urls.filter_urls(spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string"), []).collect()} == {"allow"}
 
 
+def test_rules_as_long_as_each_other(spark):
+    rows = spark.createDataFrame([(1, "http://x.net/a")], "page_id long, url string")
+    for given in ([("block", "x.net", ""), ("allow", "net", "/a")], [("allow", "net", "/a"), ("block", "x.net", "")]):
+        assert [tuple(r) for r in urls.filter_urls(rows, given).select("rule", "verdict").collect()] == [("x.net", "block")]
+
+
+def test_media_of_an_empty_table(spark):
+    assert media.digest(media.read_media(media.store_media(table(spark, [])))).count() == 0
+
+
 def test_colliding_digests_are_told_apart(tmp_path):
     import pyarrow as pa
 
