@@ -184,3 +184,8 @@ def normalize_raw_job(raw, as_of):
         F.coalesce("salaryMin", F.col("__salary.salaryMin")).alias("salaryMin"), F.coalesce("salaryMax", F.col("__salary.salaryMax")).alias("salaryMax"), F.coalesce("salaryPeriod", F.col("__salary.salaryPeriod")).alias("salaryPeriod"),
         F.lit("CAD").alias("currency"), trim(F.col("description")).alias("description"), tags.alias("tags"), detect_languages(text).alias("languages"), parse_date(F.col("postedAt")).alias("postedAt"), as_of.alias("scrapedAt"),
     )
+
+
+def source_method(method: Column) -> Column:
+    """How a catalogue names an employer's way of publishing: pages are html, feeds rss, all else an api."""
+    return F.when(method.isin("html", "jsonld", "jobillico"), "html").when(method == "zoho", "rss").when(method.isNotNull(), "api")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.dates import days_since
 from tamarack.functions.text import escape_html, norm, words
 from tamarack.operators.search import annual, haystack
+from tamarack.taxonomy import label
 
 DIGEST = 30
 #: Alerts without a list to be joined by are broadcast up to so many; beyond, they meet the postings in slices of this size.
@@ -66,6 +68,19 @@ def match_alerts(jobs: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame
     return reduce(DataFrame.unionByName, parts).drop("hay", "company_folded", "city_folded", "query", "cutoff", "by")
 
 
+def describe(source_name: Callable[[Column], Column] | None = None) -> Column:
+    """The criteria of the alert in column `query` in words; source_name maps an id to a name (default: the id)."""
+    q = lambda name: F.col(f"query.{name}")
+    each = lambda name, text: F.coalesce(F.transform(q(name), text), F.array().cast("array<string>"))
+    one = lambda value, text: F.when(value.isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
+    cities = F.nullif(F.array_join(q("cities"), ", "), F.lit(""))
+    parts = F.concat(
+        one(F.nullif(q("q"), F.lit("")), F.concat(F.lit("« "), q("q"), F.lit(" »"))), one(cities, cities), each("regions", lambda x: label("region", x)), each("categories", lambda x: label("category", x)), each("employmentTypes", lambda x: label("employment", x)), each("remote", lambda x: label("remote", x)),
+        each("languages", F.upper), each("sources", source_name or (lambda x: x)), one(q("salaryMin"), F.concat(F.lit("≥ "), F.format_string("%.0f", "query.salaryMin"), F.lit(" $/an"))),
+    )
+    return F.coalesce(F.nullif(F.array_join(parts, " · "), F.lit("")), F.lit("Toutes les nouvelles offres"))
+
+
 def create_alerts(alerts: DataFrame, new: DataFrame) -> DataFrame:
     """alerts with those of new whose id isn't there; a new alert has nothing notified yet, so its cut-off is its creation. A repeated new id counts once, by its latest creation, then its label."""
     columns = [c for c in alerts.columns if c != "id"]

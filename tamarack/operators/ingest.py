@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.functions.rules import normalize_raw_job
+
 #: Fixed by the policy: an unconfirmed empty read clears at most so many rows; a read is suspicious below this share of at least so many.
 SMALL_SOURCE, SUSPICIOUS_FROM, SUSPICIOUS_SHARE = 10, 10, 0.4
 #: Columns that an update leaves as they are.
@@ -119,6 +121,16 @@ def numbered_slugs(rows: DataFrame, slug: str, order: str) -> DataFrame:
     return rows.withColumn("n", n).withColumn(slug, F.when(F.col("n") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("n").cast("string")))).drop("n")
 
 
+def seed_jobs(seeds: DataFrame, as_of: Column) -> DataFrame:
+    """Sample postings as normalised ones: what a seed states (regionId, city, categoryId, remote, languages) stands, the rest is read from its texts; postedDaysAgo counts from as_of."""
+    posted = F.date_format(F.timestamp_micros(F.unix_micros(as_of) - F.col("postedDaysAgo").cast("long") * 86_400_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    base = normalize_raw_job(seeds.withColumn("postedAt", posted), as_of)
+    stated = ["regionId", "city", "categoryId", "remote", "languages"]
+    own = seeds.select("sourceId", "url", *[F.col(c).alias(f"own_{c}") for c in stated])
+    joined = base.join(own, ["sourceId", "url"])
+    return joined.withColumns({c: F.coalesce(f"own_{c}", c) for c in stated}).select(*base.columns)
+
+
 def merge_result_pages(rows: DataFrame) -> DataFrame:
     """Result pages (source_id, page, pos, url, ...) as reading them one by one would give: a page without a new address ends its source; the first place of an address counts."""
     first = rows.groupBy("source_id", "url").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("source_id", "url")]), F.struct("page", "pos")).alias("r")).select("source_id", "url", "r.*")

@@ -267,3 +267,24 @@ def board_item_list(spark, sf_dir):
     data = F.concat(F.lit('[{"@type":"ItemList","itemListElement":[{"url":"https://j/'), kind, F.lit("/"), key, F.lit('?x=1","name":"old"},{"url":"https://j/'), kind, F.lit("/"), key, F.lit('","name":" '), "s_name", F.lit(' "},{"name":"none"}]}]'))
     made = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("<script type='application/ld+json'>"), data, F.lit("</script><script type='application/ld+json'>ItemList{</script>")).alias("html"))
     return cards.item_list(made)
+
+
+@query("first_source", "SELECT s_nationkey::VARCHAR AS source_id, CASE WHEN s_nationkey % 3 = 0 THEN 'b' ELSE 'a' END AS of, count(*) AS n FROM supplier GROUP BY 1, 2", views=False)
+def first_source(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey"), F.col("s_nationkey").cast("string").alias("source_id"))
+    found = payloads.first_source_with_rows(rows.where("s_nationkey % 3 <> 0").withColumn("of", F.lit("a")), rows.withColumn("of", F.lit("b")))
+    return found.groupBy("source_id", "of").agg(F.count("*").alias("n"))
+
+
+@query("ats_handles", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'acme' || s_suppkey WHEN 1 THEN 'lev-' || s_suppkey WHEN 2 THEN 'Smart' || s_suppkey WHEN 3 THEN 'rec' || s_suppkey ELSE 'id' || s_suppkey END AS handle FROM supplier", views=False)
+def ats_handles(spark, sf_dir):
+    key, text = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    url = F.when(key % 5 == 0, F.concat(F.lit("https://boards.greenhouse.io/acme"), text)).when(key % 5 == 1, F.concat(F.lit("https://jobs.lever.co/lev-"), text, F.lit("/x"))).when(key % 5 == 2, F.concat(F.lit("https://careers.smartrecruiters.com/Smart"), text)).when(key % 5 == 3, F.concat(F.lit("https://rec"), text, F.lit(".recruitee.com/o"))).otherwise("https://own.example/")
+    return read(spark, sf_dir, "supplier").select("s_suppkey", pages.ats_handle(url, F.concat(F.lit("id"), text)).alias("handle"))
+
+
+@query("parse_page_sql", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"'))::BIGINT AS links FROM pages", views=False)
+def parse_page_sql(spark, sf_dir):
+    pages.register_page_function(spark)
+    read(spark, sf_dir, "pages").createOrReplaceTempView("tamarack_pages")
+    return spark.sql("SELECT page_id, count_if(e.tag = 'a') AS links FROM tamarack_pages, LATERAL parse_page(html, url) e GROUP BY page_id")

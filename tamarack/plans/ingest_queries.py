@@ -254,3 +254,32 @@ def alert_changes(spark, sf_dir):
     made = A.create_alerts(rows.where(key % 2 == 0).drop("c_custkey"), rows.where(key % 3 == 0).drop("c_custkey"))
     left = A.delete_alerts(made, rows.where(key % 5 == 0).select("id", F.lit("u4").alias("user_id")))
     return left.select("id", "user_id", F.when(F.col("last_notified_at").isNull(), "none").otherwise("old").alias("cut"))
+
+
+@query("source_methods", "SELECT id, CASE method WHEN 'jsonld' THEN 'html' ELSE 'api' END AS source_method FROM employer")
+def source_methods(spark, sf_dir):
+    from tamarack.functions.rules import source_method
+
+    return employer(spark, sf_dir).select("id", source_method(F.col("method")).alias("source_method"))
+
+
+@query("alert_labels", "SELECT * FROM (VALUES ('a1', 'EUROPE'), ('a2', '« red widget »'), ('a3', 'BUILDING · MACHINERY · BILINGUE'), ('a4', '≥ 400000 $/an'), ('a5', '« économy » · tion_1 · FR · EN · ≥ 100000 $/an'), ('a6', '« no such words »'), ('a7', 'ASIA · AFRICA'), ('a8', 'Montréal · Informatique et TI · Toutes'), ('a9', 'Toutes les nouvelles offres')) t(id, label) WHERE id <> 'a8'", views=False)
+def alert_labels(spark, sf_dir):
+    rows = alert_table(spark)
+    none = rows.where("id = 'a1'").withColumn("id", F.lit("a9")).withColumn("query", F.lit(None).cast(rows.schema["query"].dataType))
+    return rows.unionByName(none).select("id", A.describe().alias("label"))
+
+
+@query(
+    "seed_jobs",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'laval' ELSE 'montreal' END AS region, CASE WHEN o_orderkey % 3 = 0 THEN 'ti' ELSE 'construction' END AS category, CASE WHEN o_orderkey % 5 = 0 THEN 'hybride' END AS remote, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(TIMESTAMP '2001-08-02' - INTERVAL 1 DAY * (o_orderkey % 7), '%Y-%m-%d') END AS posted FROM orders""",
+    views=False,
+)
+def seed_jobs(spark, sf_dir):
+    key, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    seeds = read(spark, sf_dir, "orders").select(
+        F.lit("s1").alias("sourceId"), F.concat(F.lit("https://x.example/"), key.cast("string")).alias("url"), F.lit("Soudeur").alias("title"), F.lit("Acme").alias("company"), none.alias("companyLogoUrl"), F.lit("Montréal, Québec").alias("location"), F.when(key % 5 == 0, "hybride").alias("remote"),
+        none.alias("employmentType"), F.lit(None).cast("double").alias("salaryMin"), F.lit(None).cast("double").alias("salaryMax"), none.alias("salaryPeriod"), F.lit("Un poste").alias("description"), F.array().cast("array<string>").alias("tags"), F.when(key % 2 == 0, "laval").alias("regionId"), none.alias("city"),
+        F.when(key % 3 == 0, "ti").alias("categoryId"), F.lit(None).cast("array<string>").alias("languages"), F.when(key % 7 != 0, key % 7).alias("postedDaysAgo"),
+    )
+    return I.seed_jobs(seeds, orders_now()).select(F.substring_index("url", "/", -1).cast("bigint").alias("o_orderkey"), F.col("regionId").alias("region"), F.col("categoryId").alias("category"), "remote", F.date_format("postedAt", "yyyy-MM-dd").alias("posted"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import alerts as A
 from tamarack.plans.base import query, stamp
-from tamarack.plans.ingest_queries import _MATCHES, _stored, alert_table
+from tamarack import registry
+from tamarack.plans.ingest_queries import _MATCHES, _batch, _signals, _stored, _target, alert_table
 from tamarack.sources.adapters import orders_now, read
 from tamarack.streaming import increments as T
 
@@ -18,6 +19,8 @@ from tamarack.streaming import increments as T
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under the checkpoint folder of the session, or our own where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; the machines of a cluster need a folder that they share")
     return f"{named or os.path.join(os.getcwd(), '.checkpoints')}/stream-{uuid.uuid4().hex}"
 
 
@@ -65,3 +68,39 @@ def alerts_incremental(spark, sf_dir):
 
     T.run_available(stream, each, f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").select("alert_id", "id")
+
+
+@query("stream_alert_cutoffs", f"SELECT alert_id AS id, strftime(max(\"scrapedAt\"), '%Y-%m-%d %H:%M:%S') AS last_notified_at FROM ({_MATCHES}) GROUP BY 1")
+def stream_alert_cutoffs(spark, sf_dir):
+    """Increments of postings by age, each digest sent: an alert's cut-off ends at its newest match."""
+    folder = shared_folder(spark)
+    jobs = _stored(spark, sf_dir)
+    edges = [F.lit(f"{y}-01-01").cast("timestamp") for y in (1996, 2000)]
+    for k, part in enumerate([jobs.where(F.col("createdAt") < edges[0]), jobs.where((F.col("createdAt") >= edges[0]) & (F.col("createdAt") < edges[1])), jobs.where(F.col("createdAt") >= edges[1])]):
+        part.write.parquet(f"{folder}/jobs/part={k}")
+    state = {"at": f"{folder}/alerts-0"}
+    alert_table(spark).write.parquet(state["at"])
+
+    def save(rows: DataFrame) -> None:
+        new = f"{folder}/alerts-{int(state['at'].rsplit('-', 1)[1]) + 1}"
+        rows.write.parquet(new)
+        state["at"] = new
+
+    for k in range(3):  # oldest first
+        stream = spark.readStream.schema(jobs.schema).parquet(f"{folder}/jobs/part={k}")
+        T.alert_increments(stream, lambda: spark.read.parquet(state["at"]), save, lambda newest: newest.select(F.col("alert_id").alias("id")).distinct(), orders_now(), f"{folder}/state-{k}")
+    first = alert_table(spark).select("id", F.col("last_notified_at").alias("before"))
+    done = spark.read.parquet(state["at"]).join(first, "id").where("last_notified_at > before")
+    return done.select("id", stamp("last_notified_at").alias("last_notified_at"))
+
+
+@query("stream_guarded_sync", registry.ORACLES["sync_result"], views=False)
+def stream_guarded_sync(spark, sf_dir):
+    """One read of all sources through the stream gives what the batch query gives."""
+    folder = shared_folder(spark)
+    batch = _batch(spark, sf_dir)
+    batch.write.parquet(f"{folder}/batch")
+    _target(spark, sf_dir).write.parquet(f"{folder}/stored-0")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/batch")
+    T.guarded_sync(stream, lambda: spark.read.parquet(f"{folder}/stored-0"), lambda rows: rows.write.mode("overwrite").parquet(f"{folder}/stored-1"), lambda: _signals(spark, sf_dir), "ord", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/stored-1")
