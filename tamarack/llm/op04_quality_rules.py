@@ -180,51 +180,68 @@ def measured(docs: DataFrame, ids: DataFrame, kernel: Callable[[list[str]], list
     return checkpointed(found.groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "quality", "s.*"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict | None, float]:
-    """The forest and its threshold."""
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, COUNTS and EXTRA of every row."""
     names = COUNTS + EXTRA
-    rows = measured(docs, labelled_ids(labels), lambda given: [rule_statistics(x) for x in given], names, "long").where(F.col("n_words") >= MIN_WORDS)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.array([rule_statistics(x) for x in batch["text"].to_pylist()], np.int64)
+        return pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, counts.T)], names=["doc_id", *names])
+
+    return map_arrow(texts(docs), kernel, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def fit(counts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict | None, float]:
+    """The forest and its threshold, from the counts of documents. Only counts meet the labels, never texts."""
+    names = COUNTS + EXTRA
+    once = counts.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= MIN_WORDS)).groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s"))  # repeats meet in partial sums
+    rows = checkpointed(once.join(labelled_ids(labels).hint("shuffle_hash"), "doc_id").select("doc_id", "quality", "s.*"))
     growing = (F.col("quality") == 1) & (F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0)
     points = rows.where(growing).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()  # fit_rows rows at most
     if not len(points):
         return None, 2.0
     forest = grow_forest(features(points[names].to_numpy()))
-    sent = docs.sparkSession.sparkContext.broadcast(forest)
+    sent = counts.sparkSession.sparkContext.broadcast(forest)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = np.stack([batch[n].to_numpy() for n in names], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.ceil(anomaly(sent.value, features(counts)) * GRID).astype(np.int64)), batch["good"]], names=["step", "good"])
+        given = np.stack([batch[n].to_numpy() for n in names], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ceil(anomaly(sent.value, features(given)) * GRID).astype(np.int64)), batch["good"]], names=["step", "good"])
 
     scores = map_arrow(rows.where(~growing).select((F.col("quality") == 1).alias("good"), *names), score, "step long, good boolean", 4096)
-    counted = scores.groupBy("step", "good").count().toPandas()  # two labels of GRID steps at most
+    by_step = scores.groupBy("step", "good").count().toPandas()  # two labels of GRID steps at most
     sent.unpersist()
-    return forest, calibrate(counted["step"].to_numpy(np.int64), counted["good"].to_numpy(bool), counted["count"].to_numpy(np.int64))
+    return forest, calibrate(by_step["step"].to_numpy(np.int64), by_step["good"].to_numpy(bool), by_step["count"].to_numpy(np.int64))
 
 
-def judge(docs: DataFrame, model: tuple[dict | None, float], carry: list[str] | None = None) -> DataFrame:
-    """doc_id, COUNTS, base_failed, anomaly and kept; then the columns of docs named in carry."""
-    carry = carry or []
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by TREES, LEAF_SAMPLE and HEIGHT
+def verdicts(model: tuple[dict | None, float], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, anomaly and kept of rows of COUNTS + EXTRA."""
+    forest, threshold = model
+    score = anomaly(forest, features(counts)) if forest else np.zeros(len(counts))
+    failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
+    return failed, score, ~failed & (score <= threshold)
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        forest, threshold = sent.value
-        counts = np.array([rule_statistics(x) for x in batch["__text"].to_pylist()], np.int64)
-        score = anomaly(forest, features(counts)) if forest else np.zeros(len(counts))
-        failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
-        own = [*[pa.array(counts[:, i]) for i in range(len(COUNTS))], pa.array(failed), pa.array(score), pa.array(~failed & (score <= threshold))]
-        return pa.RecordBatch.from_arrays([batch["__id"], *own, *[batch[f"__{i}"] for i in range(len(carry))]], names=["__id", *COUNTS, "base_failed", "anomaly", "kept", *[f"__{i}" for i in range(len(carry))]])
 
-    given = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(carry)])
-    kinds = dict(docs.dtypes)
-    schema = f"__id {kinds['doc_id']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean" + "".join(f", __{i} {kinds[c]}" for i, c in enumerate(carry))
-    return map_arrow(given, kernel, schema)
+def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, COUNTS, base_failed, anomaly and kept of every row. Texts are read once."""
+    names, counts = COUNTS + EXTRA, checkpointed(counted(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(counts, labels, fit_rows))  # its size is bounded by TREES, LEAF_SAMPLE and HEIGHT
 
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = verdicts(sent.value, np.stack([batch[n].to_numpy() for n in names], axis=1))
+        return pa.RecordBatch.from_arrays([batch["doc_id"], *[batch[n] for n in COUNTS], *map(pa.array, own)], names=["doc_id", *COUNTS, "base_failed", "anomaly", "kept"])
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    return judge(docs, fit(docs, labels, fit_rows)).withColumnRenamed("__id", "doc_id")
+    return map_arrow(counts, kernel, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean", 4096)
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    judged = judge(docs, fit(docs, labels, fit_rows), docs.columns).where("kept")
-    return judged.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names, kinds = [f"__{i}" for i in range(len(docs.columns))], dict(docs.dtypes)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(counted(docs), labels, fit_rows))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.array([rule_statistics(x) for x in batch["__text"].to_pylist()], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(verdicts(sent.value, counts)[2]), *[batch[n] for n in names]], names=["__kept", *names])
+
+    given = docs.select(F.coalesce("text", F.lit("")).alias("__text"), *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    judged = map_arrow(given, kernel, "__kept boolean" + "".join(f", {n} {kinds[c]}" for c, n in zip(docs.columns, names, strict=True)))
+    return judged.where("__kept").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -228,12 +228,11 @@ def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     Rows are told apart by doc_id and text together, so a doc_id that stands on different texts loses none that has no near copy. Of rows equal in both, the one whose columns make the least JSON text stays."""
     found = classes(docs) if found is None else found
     rows = found.groupBy("key").agg(F.min("root").alias("root"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    winners = checkpointed(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "copies")).alias("w")).select(F.col("w.key").alias("__key"), F.col("w.copies").alias("copies")))
-    keyed = docs.withColumn("__key", row_key())
-    kept = keyed.join(winners.where("copies = 1").select("__key"), "__key", "left_semi").select(*docs.columns)
-    again = winners.where("copies > 1").select("__key")
+    winners = checkpointed(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "copies")).alias("w")).select("w.key", "w.copies"))
+    keyed = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row"))  # names of the caller's columns can't clash with ours
+    kept = keyed.join(winners.where("copies = 1").select("key"), "key", "left_semi").select("row.*")
+    again = winners.where("copies > 1").select("key")
     if again.isEmpty():
         return kept
-    row = F.struct(*docs.columns)
-    once = keyed.join(again, "__key", "left_semi").groupBy("__key").agg(F.min_by(row, F.to_json(row)).alias("row"))  # copies meet in partial sums, not in one task
-    return kept.unionByName(once.select("row.*").select(*docs.columns))
+    once = keyed.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))  # copies meet in partial sums, not in one task
+    return kept.unionByName(once.select("row.*"))

@@ -27,7 +27,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     model = classifier.fit(docs, labels)
     kept = [r for r in docs.collect() if classifier.score_texts(model, [r.text or ""])[0] >= 0.3]
     left = spark.createDataFrame(kept, docs.schema)
-    forest, cut = rules.fit(left, labels)
+    forest, cut = rules.fit(rules.counted(left), labels)
     counts = np.array([rules.rule_statistics(r.text or "") for r in kept])
     score = rules.anomaly(forest, rules.features(counts))
     kept = [r for r, c, s in zip(kept, counts, score, strict=True) if c[0] >= 50 and 100 * c[4] <= 50 * c[0] and s <= cut]
@@ -54,6 +54,25 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Long and empty texts, nulls, repeated rows, and columns with the names that stages use themselves."""
+    docs, labels = labelled(spark, 120)
+    long = " ".join(prose(300 + k, 200) for k in range(150))
+    more = table(spark, [(5000, long), (5000, long), (5001, None), (None, prose(477, 120)), (5002, ""), (5003, prose(478, 120) + " Mail x.y@z.org now.")])
+    names = ["key", "row", "root", "sid", "band", "n", "n_entities", "__key", "__0", "quality", "length", "bucket"]
+    docs = docs.union(more).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), *[F.lit(n).alias(n) for n in names])
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[5:] == names, name
+        assert docs.where(" or ".join(f"{n} <> '{n}'" for n in names)).count() == 0, name
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert rows[5000].text == long and docs.where("doc_id = 5000").count() == 1 and not {5001, 5002} & set(rows)
+    assert None in rows and "x.y@z.org" not in rows[5003].text and rows[5003].n_chars == len(rows[5003].text)
+    packed = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(rows) and sum(r.length for r in packed if r.doc_id == 5000) > 30_000
+
+
 def test_registration():
     names = entry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
