@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import checkpointed, map_arrow, texts
 
 FIT_ROWS = 20_000
-TREES, LEAF_SAMPLE, HEIGHT, MARGIN, GRID = 100, 256, 24, 2.0, 20_000
+TREES, LEAF_SAMPLE, HEIGHT, MARGIN, GRID = 100, 512, 24, 2.0, 20_000
 KEEP_GOOD = 0.995
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Fixed by the contract: the symbols that are counted, and ASCII white space.
