@@ -168,8 +168,10 @@ def one_facet(rows: DataFrame, column: str, dimension: str) -> DataFrame:
 
 
 def search(rows: DataFrame, query: JobQuery, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, facets, paging) of a query: facets count all that is filtered, a dimension's own filter included."""
-    found = rows.where(matches(query, as_of)).cache()
+    """(items, facets, paging) of a query: facets count all that is filtered, a dimension's own filter included.
+
+    The total is counted at once, items and facets when they are read, each by a pass that reads the columns it needs. Nothing is cached here: give rows persisted, and release them, where they are dear to make."""
+    found = rows.where(matches(query, as_of))
     total = found.count()
     page, pages, offset = paging(total, query.page, query.page_size)
     items = found.orderBy(*order(query.sort, query.q, as_of)).offset(offset).limit(query.page_size)

@@ -66,7 +66,9 @@ def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The licence registry's CSV by position: quoted commas, doubled quotes, line breaks inside quotes."""
+    """The licence registry's CSV by position: quoted commas, doubled quotes, line breaks inside quotes.
+
+    Line breaks inside quotes keep a file from being split: a file is read by one task, so a registry of more than some gigabytes should come in several files. ord follows the lines of a file, and the files in the order of their reading."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     at = {0: "licence", 1: "status", 14: "name", 16: "municipality", 19: "region", 23: "other_name"}
     return raw.select(*[F.col(f"`{raw.columns[k]}`").alias(v) for k, v in at.items()], F.monotonically_increasing_id().alias("ord"))
