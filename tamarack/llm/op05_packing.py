@@ -128,18 +128,20 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROW
     totals = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     buckets = spark.createDataFrame([(length, -(-n // bucket_rows)) for length, n in totals.items()], "length long, buckets long")
     own = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), "buckets").cast("int"))  # capacity rows at most
-    counts = np.zeros((capacity + 1, max([-(-n // bucket_rows) for n in totals.values()], default=1)), np.int64)
+    of_length = np.array([totals.get(length, 0) for length in range(capacity + 1)], np.int64)
+    first = np.concatenate(([0], np.cumsum(-(-of_length // bucket_rows))))  # the buckets of all lengths, laid end to end
+    counts = np.zeros(first[-1], np.int64)
     for length, bucket, n in own.groupBy("length", "bucket").count().collect():
-        counts[length, bucket] = n
-    before = np.cumsum(counts, axis=1) - counts
-    sent = spark.sparkContext.broadcast((plan(counts.sum(axis=1), capacity, **rules), before))
+        counts[first[length] + bucket] = n
+    before = np.cumsum(counts) - counts - (np.cumsum(of_length) - of_length).repeat(np.diff(first))
+    sent = spark.sparkContext.broadcast((plan(of_length, capacity, **rules), first, before))
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")))
 
     def kernel(batches):
-        rows, earlier = sent.value
+        rows, first, earlier = sent.value
         for batch in slices(batches, 65536):
             length = batch["length"].to_numpy()
-            rank = earlier[length, batch["bucket"].to_numpy()] + batch["rank"].to_numpy() - 1
+            rank = earlier[first[length] + batch["bucket"].to_numpy()] + batch["rank"].to_numpy() - 1
             sequence, offset = place(rows, length, rank)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
