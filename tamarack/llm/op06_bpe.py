@@ -23,6 +23,8 @@ from tamarack.llm.segments import Joined, Memory, matcher
 
 #: Longer matches have a tree of their own.
 TOGETHER = 64
+#: Bytes of each of a worker's three memories.
+MEMORY = 96 << 20
 _NONE = np.int64(1) << 62
 
 
@@ -154,8 +156,8 @@ class Codec:
     """Encoding and decoding of whole texts by one vocabulary and pattern."""
 
     def __init__(self, path: str, pattern: str):
-        self.vocabulary, self.matches, self.words = Vocabulary(path), matcher(pattern), Memory()
-        self.joined = Joined(self._each, self._each)
+        self.vocabulary, self.matches, self.words = Vocabulary(path), matcher(pattern), Memory(MEMORY)
+        self.joined = Joined(self._each, self._each, MEMORY)
 
     def _words(self, words: list[str]) -> list[bytes]:
         raw = [w.encode() for w in words]

@@ -61,8 +61,8 @@ class Memory(dict):
 class Joined:
     """The joined values of a text's stretches. `plain` computes values of whole stretches from the list of their texts, `whole` the value of an uneven text."""
 
-    def __init__(self, plain: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]]):
-        self.heads, self.rest, self.plain, self.whole = Memory(), Memory(), plain, whole
+    def __init__(self, plain: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], limit: int = 48 << 20):
+        self.heads, self.rest, self.plain, self.whole = Memory(limit), Memory(limit), plain, whole
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") if even(x) else None for x in texts]
