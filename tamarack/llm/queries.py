@@ -18,6 +18,9 @@ from tamarack.llm import op07_pii as pii
 from tamarack.llm import op08_token_counts as counts
 from tamarack.llm import op09_simhash as simhash
 from tamarack.llm import op10_quality_classifier as classifier
+from tamarack.llm import op11_periodic_runs as runs
+from tamarack.llm import op12_secret_scan as secrets
+from tamarack.llm import op13_divergence as divergence
 from tamarack.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,7 +72,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {"op1_html": op1_html, "op2_media": op2_media, "op3_url_filter": op3_url_filter, "op4_quality_rules": op4_quality_rules, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op10_quality_classifier": op10_quality_classifier}
+QUERIES |= {"op11_periodic_runs": op11_periodic_runs, "op12_secret_scan": op12_secret_scan, "op13_divergence": op13_divergence}
 
 ORACLES["op3_url_filter"] = r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
@@ -80,3 +96,22 @@ fits AS (SELECT p.host, p.path, arg_max(r.host || r.path, length(r.host || r.pat
          FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY 1, 2)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path
 """
+
+ORACLES["op13_divergence"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+total AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM grp g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v.v) AS p
+      FROM total g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+lc AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2), lt AS (SELECT lang, sum(n)::HUGEINT AS total FROM lc GROUP BY 1),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q FROM lc JOIN lt USING (lang) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source),
+dist AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+parts AS (SELECT pairs.lang, pairs.source, 'pair' AS part, pairs.item, coalesce(dist.value, 0)::BIGINT AS value FROM pairs LEFT JOIN dist ON pairs.lang = dist.lang AND pairs.source = dist.source AND pairs.item = dist.item
+          UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM parts) WHERE part = 'pair' OR rank <= 50
+"""
