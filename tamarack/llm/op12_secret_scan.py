@@ -1,7 +1,7 @@
 """Secret scans: patterns of known forms, and a randomness test battery for secrets of unknown form.
 
 The patterns (`known_spans`) find assignments, access keys and hexadecimal keys. Every other stretch of at least `LEAST` characters of the base-64 alphabets is a candidate. `encoding` infers its alphabet, the smallest of
-ALPHABETS that holds it; digits alone are numbers and never keys. Three tests then ask whether it could be drawn at random from that alphabet: chi-squared uniformity of its symbols, runs above and below the alphabet's middle, and
+ALPHABETS that holds it; a key has letters and digits, for letters alone are words and digits alone numbers. Three tests then ask whether it could be drawn at random from that alphabet: chi-squared uniformity of its symbols, runs above and below the alphabet's middle, and
 serial correlation of neighbouring symbols; Fisher's method combines them, and what chance would do with probability below `REJECT` is no random key (counted-up alphabets, repeated digits, words).
 
 Short words can look random too. So a candidate is also held against its null hypothesis, text: symbols drawn by the frequencies that the alphabet has in the whole corpus. Under it the number of coinciding pairs of symbols of a stretch of n
@@ -38,7 +38,7 @@ LEAST, REJECT, RATE, STEPS = 20, 0.001, 0.01, 400
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Alphabets in their own order of symbols, smallest first.
 ALPHABETS = {
-    "decimal": DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "lower": LOWER, "upper": UPPER, "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER, "letters": UPPER + LOWER,
+    "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER,
     "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
@@ -58,8 +58,10 @@ def known_spans(text: str, raw: bytes, stretch: bool) -> list[tuple[int, int, in
 
 
 def encoding(key: str) -> str | None:
-    """The smallest alphabet that holds all of key (padding left out)."""
+    """The smallest alphabet that holds all of key; none for words and numbers."""
     own = set(key)
+    if own.isdisjoint(DIGITS) or own.isdisjoint(UPPER + LOWER):
+        return None
     return next((name for name, symbols in ALPHABETS.items() if own <= set(symbols)), None)
 
 
@@ -118,7 +120,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
         name = encoding(m[0])
-        if name in (None, "decimal") or any(s < end and start < e for s, e, _ in spans):
+        if name is None or any(s < end and start < e for s, e, _ in spans):
             continue
         if battery(m[0], ALPHABETS[name]) >= REJECT:
             counts = np.unique(list(m[0]), return_counts=True)[1]
@@ -209,6 +211,7 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, numbers of the known kinds, base_sha256 over their spans, and all spans as text."""
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    number = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    held = F.transform("spans", lambda s: s["kind"])
+    number = [F.size(F.filter(held, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
     return found.select("doc_id", *number, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
