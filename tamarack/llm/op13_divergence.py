@@ -1,9 +1,12 @@
 """Source divergence audit: how the sources of a language differ in their words, by chunk factorization.
 
-A text's white-space chunks are counted, not its terms: `chunk_counts` counts the chunks of each document and sums them by (lang, source, chunk) before anything is
-shuffled. Each globally distinct chunk is tokenized once (`chunk_terms`), and its terms are joined back to the chunk's sums, which gives occurrences. Numbers of distinct documents don't add
-up over chunks, for a document may hold a term in several of them ("word", "word,"). But they are bounded: a term has at least as many documents as its most widespread chunk, and at most as many as all of its chunks
-together. Only where the least number asked for lies between the two are documents joined, chunk by chunk, and counted exactly (`exact_documents`).
+A text's white-space chunks are counted, not its terms: the chunks of each document are counted in its task, and summed by (lang, chunk), later by (lang, source, chunk), before anything is shuffled. Each globally distinct
+chunk is tokenized once (`tokenized`), and its terms are joined back to the chunk's sums. Numbers of distinct documents don't add up over chunks, for a document may hold a term in several of them ("word", "word,"). But they
+are bounded: a term has at least as many documents as its most widespread chunk, and at most as many as all of its chunks together. Only where the least number asked for lies between the two are documents themselves joined
+to the term's chunks and counted (`exact_documents`).
+
+Most distinct chunks are rare and hold no kept term. So texts are read a second time for the occurrences by source, and a Bloom filter of the wanted chunks, of bounded size, holds the others back in their tasks; what it lets
+through by chance goes in the join, and where it is too small for the vocabulary it only saves less.
 
 A group's smoothed shares are compared in blocks of terms: a block is a matrix of sources by terms, whose sums of differences for each pair of sources are added up over blocks.
 
@@ -14,50 +17,70 @@ values of 0; an empty table gives an empty result. Texts and chunks of any lengt
 from __future__ import annotations
 
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import checkpointed, slices
+from tamarack.llm.common import checkpointed, slices, stored
 
 #: Fixed by the contract: what a term is; only A-Z are lower-cased.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACES = r"[\x20\x09-\x0D]+"
 SCALE, PRIOR = 1_000_000_000, 5
 
-#: A task's counters are handed on after so many bytes of text. Cells of a block of shares, at least. Chunks that may be broadcast (some 100 bytes each).
-FLUSH_BYTES, CELLS, BROADCAST_ROWS = 16 << 20, 1 << 16, 100_000
+#: A task's counters are handed on after so many bytes of text. Cells of a block of shares, at least. Bits of a Bloom filter: so many for each chunk, and at most (8 MB).
+FLUSH_BYTES, CELLS, BITS_A_CHUNK, MOST_BITS = 16 << 20, 1 << 16, 16, 1 << 26
+#: Where in a chunk's digest the filter's three numbers begin.
+SHIFTS = (0, 19, 38)
 
 
 def grouped_texts(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, chunk, n (occurrences), n_docs (documents). Each group also has a row of chunk '' with zeros, so that a group without chunks is known."""
+def bloom_filter(chunks: DataFrame):
+    """A broadcast filter of the column `chunk`: its words of 64 bits, of which the driver sees MOST_BITS / 64 at most."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_A_CHUNK * chunks.count()).bit_length()))
+    places = F.array(*[F.shiftrightunsigned(F.xxhash64("chunk"), n).bitwiseAND(F.lit(bits - 1)) for n in SHIFTS])
+    place = chunks.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("word"), F.col("place").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    found = place.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    words = np.zeros(bits // 64, np.uint64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return chunks.sparkSession.sparkContext.broadcast(words)
+
+
+def passing(words: np.ndarray, chunks: list[bytes]) -> list[bytes]:
+    """The chunks that the filter lets through, in their order."""
+    digests = np.fromiter((xxhash.xxh64_intdigest(c, 42) for c in chunks), np.uint64, len(chunks))
+    through = np.ones(len(chunks), bool)
+    for n in SHIFTS:
+        place = (digests >> np.uint64(n)) & np.uint64(len(words) * 64 - 1)
+        through &= (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return list(compress(chunks, through))
+
 
-    def rows(groups: dict[tuple, tuple[Counter, Counter]]) -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
-        for (lang, source), (times, held) in groups.items():
-            for column, values in zip(columns, ([lang] * len(times), [source] * len(times), times.keys(), times.values(), map(held.__getitem__, times)), strict=True):
+def chunk_counts(docs: DataFrame, by: list[str], once: bool, wanted=None) -> DataFrame:
+    """Columns `by`, chunk, n: occurrences, or documents if `once`, of the chunks that `wanted` (a Bloom filter) lets through."""
+
+    def rows(groups: dict[tuple, Counter]) -> pa.RecordBatch:
+        columns: list[list] = [[] for _ in [*by, "chunk", "n"]]
+        for key, times in groups.items():
+            chunks = list(times) if wanted is None else passing(wanted.value, list(times))
+            for column, values in zip(columns, [*[[k] * len(chunks) for k in key], chunks, map(times.__getitem__, chunks)], strict=True):
                 column.extend(values)
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        lang, source, chunk, n, n_docs = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
-        return pa.RecordBatch.from_arrays([lang, source, chunk.cast(pa.string()), n, n_docs], names=["lang", "source", "chunk", "n", "n_docs"])
+        *keys, chunk, n = columns
+        return pa.RecordBatch.from_arrays([*[pa.array(k, pa.string()) for k in keys], pa.array(chunk, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=[*by, "chunk", "n"])
 
     def kernel(batches):
         groups, size = {}, 0
         for batch in slices(batches):
-            for lang, source, text in zip(*(batch[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
-                if (lang, source) not in groups:
-                    groups[lang, source] = (Counter({b"": 0}), Counter())
-                times, held = groups[lang, source]
+            for *key, text in zip(*(batch[c].to_pylist() for c in [*by, "text"]), strict=True):
                 chunks = text.encode().split()  # of bytes: at ASCII white space
-                times.update(chunks)
-                held.update(set(chunks))
+                groups.setdefault(tuple(key), Counter()).update(set(chunks) if once else chunks)
                 size += len(text) + 64
             if size > FLUSH_BYTES:
                 yield rows(groups)
@@ -65,35 +88,46 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
         if groups:
             yield rows(groups)
 
-    counted = grouped_texts(docs).mapInArrow(kernel, "lang string, source string, chunk string, n long, n_docs long")
-    return counted.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    return grouped_texts(docs).select(*by, "text").mapInArrow(kernel, ", ".join(f"{c} string" for c in [*by, "chunk"]) + ", n long")
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """chunk, term, times of each distinct chunk: tokenized once."""
+def tokenized(docs: DataFrame) -> DataFrame:
+    """lang, chunk, n_docs, term, times of each chunk of each language. All rows of a chunk meet in one place, where it is tokenized once."""
+    counts = chunk_counts(docs, ["lang"], once=True).repartition("chunk").groupBy("chunk", "lang").agg(F.sum("n").alias("n_docs"))  # a task hands on a chunk once or twice
+    once = counts.groupBy("chunk").agg(F.collect_list(F.struct("lang", "n_docs")).alias("langs"))  # as many as there are languages
     terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0)
-    return chunks.select("chunk").distinct().select("chunk", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"))
+    held = once.select("chunk", "langs", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"), F.first("langs").alias("langs"))
+    return held.select(F.explode("langs").alias("of"), "chunk", "term", "times").select("of.lang", "chunk", "of.n_docs", "term", "times")
 
 
 def exact_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """lang, term, n_docs for the terms of `wanted` (lang, chunk, term): documents are joined to its chunks, whole texts again."""
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    words = F.array_distinct(F.split("text", SPACES))
-    numbered = grouped_texts(docs).select("lang", words.alias("words"), F.monotonically_increasing_id().alias("row"))  # before the explode, so one number a document
-    rows = numbered.select("row", "lang", F.explode("words").alias("chunk"))
-    met = rows.join(F.broadcast(wanted) if few else wanted, ["lang", "chunk"])
+    sent = bloom_filter(wanted)
+
+    def kernel(batches):
+        for batch in slices(batches):
+            held = [set(text.encode().split()) for text in batch["text"].to_pylist()]
+            through = set(passing(sent.value, list(set().union(*held))))
+            rows, chunks = [], []
+            for k, own in enumerate(held):
+                found = own & through
+                rows += [k] * len(found)
+                chunks += found
+            picked = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["row"].take(picked), batch["lang"].take(picked), pa.array(chunks, pa.binary()).cast(pa.string())], names=["row", "lang", "chunk"])
+
+    met = grouped_texts(docs).select("lang", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(kernel, "row long, lang string, chunk string").join(wanted, ["lang", "chunk"])
     return met.select("lang", "term", "row").distinct().groupBy("lang", "term").agg(F.count("*").alias("n_docs"))
 
 
-def kept_terms(docs: DataFrame, counts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+def kept_terms(docs: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lang, term) of terms in at least `least_docs` documents of the language, and (lang, chunk, term, times) of the chunks that hold them."""
-    by_lang = counts.where("chunk <> ''").groupBy("lang", "chunk").agg(F.sum("n_docs").alias("n_docs"))
-    held = checkpointed(by_lang.join(chunk_terms(by_lang).hint("merge"), "chunk"))
+    held = stored(tokenized(docs), "chunks")
     bounds = checkpointed(held.groupBy("lang", "term").agg(F.max("n_docs").alias("least"), F.sum("n_docs").alias("most")).where(F.col("most") >= least_docs))
-    open_ = checkpointed(held.join(bounds.where(F.col("least") < least_docs).select("lang", "term").hint("shuffle_hash"), ["lang", "term"], "left_semi").select("lang", "chunk", "term"))
-    settled = exact_documents(docs, open_).where(F.col("n_docs") >= least_docs).select("lang", "term")
+    possible = stored(held.join(bounds.hint("shuffle_hash"), ["lang", "term"]).select("lang", "chunk", "term", "times", "least"), "possible")
+    settled = exact_documents(docs, possible.where(F.col("least") < least_docs).select("lang", "chunk", "term")).where(F.col("n_docs") >= least_docs).select("lang", "term")
     kept = checkpointed(bounds.where(F.col("least") >= least_docs).select("lang", "term").union(settled))
-    return kept, held.join(kept.hint("shuffle_hash"), ["lang", "term"], "left_semi").select("lang", "chunk", "term", "times")
+    return kept, possible.join(kept.hint("shuffle_hash"), ["lang", "term"], "left_semi").select("lang", "chunk", "term", "times")
 
 
 def share(count: str, total: str, terms: str) -> Column:
@@ -131,10 +165,11 @@ def pair_distances(shares: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     """lang, source, part, item, value, rank. Part `pair`: the distance of a source to each other one of its language. Part `term`: the `top` terms that it has more than its language."""
-    counts = checkpointed(chunk_counts(docs))
-    kept, chunks = kept_terms(docs, counts, least_docs)
+    kept, chunks = kept_terms(docs, least_docs)
+    chunks = checkpointed(chunks)
+    counts = chunk_counts(docs, ["lang", "source"], once=False, wanted=bloom_filter(chunks)).groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
     of_group = checkpointed(counts.join(chunks, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count")))
-    sources = counts.where("chunk = ''").select("lang", "source")
+    sources = grouped_texts(docs).select("lang", "source").distinct()
     n_terms = kept.groupBy("lang").agg(F.count("*").alias("n_terms"))
     n_sources = sources.groupBy("lang").agg(F.count("*").alias("n_sources"))
     totals = of_group.groupBy("lang", "source").agg(F.sum("count").alias("total"))

@@ -184,9 +184,9 @@ def plain_audit(docs, least, top):
 
 @pytest.mark.parametrize("blocks", [False, True])
 def test_audit_matches_plain(spark, blocks, monkeypatch):
-    if blocks:  # many blocks of few terms, and no broadcast
+    if blocks:  # many blocks of few terms, and a filter that lets much through
         monkeypatch.setattr(divergence, "CELLS", 4)
-        monkeypatch.setattr(divergence, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(divergence, "MOST_BITS", 64)
         monkeypatch.setattr(divergence, "FLUSH_BYTES", 300)
     r = random.Random(7)
     words = ["Mot", "mot", "mot,", "d'eau", "été", "Été", "x_y", "a1b", "…fin", "ÉTÉ", "zut", "rare", "...", "12", "中文。", "b\x00c"]
