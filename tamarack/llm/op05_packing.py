@@ -34,6 +34,10 @@ CAPACITY, END, BUCKET_ROWS = 1024, 2, 100_000
 _READY: dict[str, Joined] = {}
 
 
+#: Bytes that remembered stretches may take, and characters that are encoded as one text.
+MEMORY, TOGETHER = 192 << 20, 1 << 14
+
+
 def _encoder(path: str) -> Joined:
     """Text → its ids as little-endian unsigned 32-bit bytes, by the tokenizers library."""
     if path not in _READY:
@@ -42,11 +46,37 @@ def _encoder(path: str) -> Joined:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        width = np.zeros(tokenizer.get_vocab_size(), np.int64)  # bytes of each id: a byte is one character of the vocabulary
+        for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+            width[number] = len(token)
 
         def encode(given: list[str]) -> list[bytes]:
             return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(given, add_special_tokens=False)] if given else []
 
-        _READY[path] = Joined(encode, encode)
+        def encode_stretches(given: list[str]) -> list[bytes]:
+            """Stretches that begin with a blank don't depend on each other: many are encoded as one text, whose ids their numbers of bytes divide."""
+            groups, size = [[]], 0
+            for stretch in given:
+                if size > TOGETHER:
+                    groups.append([])
+                    size = 0
+                groups[-1].append(stretch)
+                size += len(stretch)
+            out = []
+            for group, ids in zip(groups, encode(["".join(g) for g in groups]), strict=True):
+                ends = np.cumsum(width[np.frombuffer(ids, np.uint32)])
+                wanted = np.cumsum([len(x.encode()) for x in group])
+                cut = np.searchsorted(ends, wanted)
+                if group and (cut[-1] >= len(ends) or (ends[cut] != wanted).any()):  # an added token
+                    out += encode(group)
+                    continue
+                at = 0
+                for stop in (4 * (cut + 1)).tolist():
+                    out.append(ids[at:stop])
+                    at = stop
+            return out
+
+        _READY[path] = Joined(encode, encode, MEMORY, encode_stretches)
     return _READY[path]
 
 

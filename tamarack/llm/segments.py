@@ -59,15 +59,15 @@ class Memory(dict):
 
 
 class Joined:
-    """The joined values of a text's stretches. `plain` computes values of whole stretches from the list of their texts, `whole` the value of an uneven text."""
+    """The joined values of a text's stretches. `plain` computes values of whole stretches from the list of their texts, `whole` the value of an uneven text, `blank` those of stretches that begin with a blank (or else `plain` does)."""
 
-    def __init__(self, plain: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], limit: int = 48 << 20):
-        self.heads, self.rest, self.plain, self.whole = Memory(limit), Memory(limit), plain, whole
+    def __init__(self, plain: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], limit: int = 48 << 20, blank: Callable[[list[str]], list[bytes]] | None = None):
+        self.heads, self.rest, self.plain, self.whole, self.blank = Memory(limit), Memory(limit), plain, whole, blank or plain
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") if even(x) else None for x in texts]
         self.heads.learn({s[0] for s in split if s}, self.plain)
-        self.rest.learn({x for s in split if s for x in s[1:]}, lambda new: self.plain([" " + x for x in new]))
+        self.rest.learn({x for s in split if s for x in s[1:]}, lambda new: self.blank([" " + x for x in new]))
         odd = iter(self.whole([x for x, s in zip(texts, split, strict=True) if s is None]))
         get, head = self.rest.__getitem__, self.heads.__getitem__
         return [next(odd) if s is None else head(s[0]) + b"".join(map(get, s[1:])) for s in split]
