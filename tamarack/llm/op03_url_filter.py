@@ -67,14 +67,20 @@ class DigestArray:
         self.rule, self.verdict = strings["rule"].combine_chunks(), strings["verdict"].combine_chunks()
         host_len = strings["host_len"].to_numpy()
         lengths = np.asarray(pa.compute.utf8_length(self.rule).to_numpy(zero_copy_only=False)) if len(self.keys) else np.empty(0, int)
+        self.longest_host = int(host_len.max()) if len(host_len) else -1
         self.path_lengths = sorted({int(x) for x in lengths - host_len}, reverse=True)
 
+    def within(self, host: str) -> str:
+        """The longest suffix of host, at a label boundary, that a rule's host can fill: what is longer fits none, so a host's length doesn't count."""
+        return host if len(host) <= self.longest_host else host[-self.longest_host - 1 :].partition(".")[2]
+
     def match(self, hosts: list[str], paths: list[str]) -> np.ndarray:
         """The index of the longest fitting rule of each url, or -1."""
         best, length = np.full(len(hosts), -1, np.int64), [(-1, -1)] * len(hosts)
         candidate: dict[tuple[str, str], int] = {}
         owner, which = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
+            host = self.within(host)
             while host:
                 for n in self.path_lengths:
                     if n <= len(path):

@@ -6,7 +6,7 @@ from. It is grown from labelled documents of quality 1, so that anomalous means
 the usual forest, in which nothing lies outside the range of the sample and an unseen kind of document is no easier to isolate than an outlying good one.
 
 Growing reads a bounded sample, the FIT_ROWS good rows of smallest hash of doc_id among two thirds of them. The threshold is calibrated from all other labelled rows, by counts of
-scores (GRID steps) that Spark groups: the score that best separates the two labels by balanced accuracy, among those that keep at least `KEEP_GOOD` of the good rows.
+scores (GRID steps) that Spark groups: the score that best separates the two labels by balanced accuracy, among those that keep at least `KEEP_GOOD` of the good rows, or all but one, where that is fewer (so that one outlier among few rows decides nothing).
 A labelled doc_id that stands on several rows counts once (the least statistics hold). Every document is scored by its own counts, so scoring has no shuffle.
 
 Defined results: null or empty text has no words (all counts 0, base_failed true, kept false); equal texts, equal
@@ -98,6 +98,12 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.stack([chars / w, symbols / w, dup / np.maximum(lines, 1), rep / w, upper / c, digits / c, marks / w, np.log1p(distinct) / np.log1p(w), np.minimum(lines / w, 1)], axis=1)
 
 
+def forest_features(counts: np.ndarray) -> np.ndarray:
+    """The rates that the forest splits: without digits and marks, for good documents hold dates, prices and telephone numbers; and roots of those that most texts have next to none of, whose long tails random splits would else cut apart among the good rows, too."""
+    x = features(counts)
+    return np.concatenate([x[:, :1], np.sqrt(x[:, 1:5]), x[:, 7:]], axis=1)
+
+
 def grow_forest(points: np.ndarray, trees: int = TREES, size: int = LEAF_SAMPLE, height: int = HEIGHT, margin: float = MARGIN, seed: int = 7) -> dict:
     """Nodes of all trees in flat arrays: split feature (-1: leaf), split value, left child (the right one follows it), path length at leaves.
 
@@ -153,14 +159,16 @@ def anomaly(forest: dict, points: np.ndarray) -> np.ndarray:
 
 
 def calibrate(step: np.ndarray, good: np.ndarray, n: np.ndarray, keep: float = KEEP_GOOD) -> float:
-    """From numbers of rows by score, rounded up to `step` / GRID, and label: the threshold of best balanced accuracy among those that keep at least `keep` of the good rows; above it is anomalous."""
+    """From numbers of rows by score, rounded up to `step` / GRID, and label: the threshold of best balanced accuracy among those that keep at least `keep` of the good rows; above it is anomalous.
+
+    A share of few rows would mean every one of them, and a single outlier would then set the threshold: one good row may always be lost."""
     at = np.unique(step)
     of = lambda label: np.array([n[(step <= t) & (good == label)].sum() for t in at])
     right, wrong = of(True), of(False)
     if not len(at) or not right[-1] or not wrong[-1]:
         return 2.0
     kept, caught = right / right[-1], 1 - wrong / wrong[-1]
-    fine = kept >= keep
+    fine = right[-1] - right <= max(1, (1 - keep) * right[-1])
     return float(at[fine][np.argmax((kept + caught)[fine])] / GRID)
 
 
@@ -200,12 +208,12 @@ def fit(counts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     points = rows.where(growing).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()  # fit_rows rows at most
     if not len(points):
         return None, 2.0
-    forest = grow_forest(features(points[names].to_numpy()))
+    forest = grow_forest(forest_features(points[names].to_numpy()))
     sent = counts.sparkSession.sparkContext.broadcast(forest)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         given = np.stack([batch[n].to_numpy() for n in names], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.ceil(anomaly(sent.value, features(given)) * GRID).astype(np.int64)), batch["good"]], names=["step", "good"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ceil(anomaly(sent.value, forest_features(given)) * GRID).astype(np.int64)), batch["good"]], names=["step", "good"])
 
     scores = map_arrow(rows.where(~growing).select((F.col("quality") == 1).alias("good"), *names), score, "step long, good boolean", 4096)
     by_step = scores.groupBy("step", "good").count().toPandas()  # two labels of GRID steps at most
@@ -216,7 +224,7 @@ def fit(counts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
 def verdicts(model: tuple[dict | None, float], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """base_failed, anomaly and kept of rows of COUNTS + EXTRA."""
     forest, threshold = model
-    score = anomaly(forest, features(counts)) if forest else np.zeros(len(counts))
+    score = anomaly(forest, forest_features(counts)) if forest else np.zeros(len(counts))
     failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
     return failed, score, ~failed & (score <= threshold)
 

@@ -239,6 +239,54 @@ def test_threshold_matches_brute_force():
     assert rules.calibrate(step[:0, 0], step[:0, 1].astype(bool), n[:0]) == 2.0
 
 
+def test_one_outlier_does_not_set_the_threshold():
+    step, good = np.array([*range(100, 209), 9000, *range(3000, 3027)]), np.repeat([True, False], [110, 27])
+    assert rules.calibrate(step, good, np.ones(len(step), int)) == 208 / rules.GRID
+
+
+def test_the_forest_agrees_with_a_plain_one(spark):
+    rng = np.random.default_rng(8)
+    points, probes = rng.normal(size=(256, 3)), np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(20, 3)) * 0.3 + 9])
+
+    def plain_depth(rows, x, level, draw):
+        low, high = rows.min(axis=0), rows.max(axis=0)
+        if len(rows) < 2 or level == rules.HEIGHT or not (high > low).any():
+            return level + rules.expected_path(len(rows))
+        f = draw.choice(np.flatnonzero(high > low))
+        more = rules.MARGIN * (high[f] - low[f])
+        cut = draw.uniform(low[f] - more, high[f] + more)
+        rest = rows[(rows[:, f] < cut) == (x[f] < cut)]
+        return plain_depth(rest, x, level + 1, draw) if len(rest) else level + 1
+
+    plain = np.array([2 ** (-np.mean([plain_depth(points, x, 0, np.random.default_rng(t)) for t in range(60)]) / rules.expected_path(256)) for x in probes])
+    own = rules.anomaly(rules.grow_forest(points, size=256), probes)
+    assert np.corrcoef(plain, own)[0, 1] > 0.95 and own[60:].min() > own[:60].max() and plain[60:].min() > plain[:60].max()
+
+
+def test_urls_of_any_length(spark):
+    import time
+
+    array = urls.DigestArray(*_compiled(spark))
+    long = [("a." * 500_000 + "example.com", "/de/" + "x" * 1_000_000), ("x" * 1_000_000 + ".net", "/"), ("." * 1_000_000 + "net", "/"), ("b" * 1_000_000, "/"), ("a.net." * 200_000 + "org", "/fr/")]
+    began = time.perf_counter()
+    found = array.match([h for h, _ in long], [p for _, p in long])
+    assert time.perf_counter() - began < 1
+    assert [array.rule[int(k)].as_py() if k >= 0 else None for k in found] == ["example.com/de/", "net/", "net/", None, "org/fr/"]
+    pages = spark.createDataFrame([(k, f"https://{h}{p}?q=" + "y" * 100_000) for k, (h, p) in enumerate(long)], "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in urls.filter_urls(pages, _RULES).collect()}
+    assert got == {k: (h, p, r) for k, ((h, p), r) in enumerate(zip(long, ["example.com/de/", "net/", "net/", None, "org/fr/"], strict=True))}
+
+
+_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def _compiled(spark):
+    from pyspark import SparkFiles
+
+    name = urls.compile_rules(spark, _RULES)
+    return SparkFiles.get(f"{name}.keys"), SparkFiles.get(f"{name}.arrow")
+
+
 def test_a_repeated_id_counts_once(spark):
     docs, labels = labelled(spark, 200)
     again = docs.where("doc_id = 5").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("copy")
