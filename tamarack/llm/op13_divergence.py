@@ -33,7 +33,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE, PRIOR = 1_000_000_000, 5
 
 #: A task's counters are handed on after so many bytes of text. Cells of a block of shares, at least. Bits of a Bloom filter: so many for each chunk, and at most (8 MB).
-FLUSH_BYTES, CELLS, BITS_A_CHUNK, MOST_BITS = 16 << 20, 1 << 16, 16, 1 << 26
+FLUSH_BYTES, CELLS, BITS_A_CHUNK, MOST_BITS = 32 << 20, 1 << 16, 16, 1 << 26
 #: Where in a chunk's digest the filter's three numbers begin.
 SHIFTS = (0, 19, 38)
 
@@ -47,9 +47,9 @@ def bloom_filter(chunks: DataFrame):
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_A_CHUNK * chunks.count()).bit_length()))
     places = F.array(*[F.shiftrightunsigned(F.xxhash64("chunk"), n).bitwiseAND(F.lit(bits - 1)) for n in SHIFTS])
     place = chunks.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("word"), F.col("place").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    found = place.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    found = place.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
-    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return chunks.sparkSession.sparkContext.broadcast(words)
 
 
@@ -93,11 +93,10 @@ def chunk_counts(docs: DataFrame, by: list[str], once: bool, wanted=None) -> Dat
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """lang, chunk, n_docs, term, times of each chunk of each language. All rows of a chunk meet in one place, where it is tokenized once."""
-    counts = chunk_counts(docs, ["lang"], once=True).repartition("chunk").groupBy("chunk", "lang").agg(F.sum("n").alias("n_docs"))  # a task hands on a chunk once or twice
-    once = counts.groupBy("chunk").agg(F.collect_list(F.struct("lang", "n_docs")).alias("langs"))  # as many as there are languages
+    counts = chunk_counts(docs, ["lang"], once=True).repartition("chunk").groupBy("chunk", "lang").agg(F.sum("n").alias("n_docs"))  # a task hands on a chunk once or twice, so sums before the shuffle would save nothing
     terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0)
-    held = once.select("chunk", "langs", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"), F.first("langs").alias("langs"))
-    return held.select(F.explode("langs").alias("of"), "chunk", "term", "times").select("of.lang", "chunk", "of.n_docs", "term", "times")
+    once = counts.select("chunk").distinct().select("chunk", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"))
+    return counts.hint("shuffle_hash").join(once, "chunk").select("lang", "chunk", "n_docs", "term", "times")
 
 
 def exact_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     """lang, source, part, item, value, rank. Part `pair`: the distance of a source to each other one of its language. Part `term`: the `top` terms that it has more than its language."""
     kept, chunks = kept_terms(docs, least_docs)
     chunks = checkpointed(chunks)
-    counts = chunk_counts(docs, ["lang", "source"], once=False, wanted=bloom_filter(chunks)).groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
+    counts = chunk_counts(docs, ["lang", "source"], once=False, wanted=bloom_filter(chunks)).repartition("lang", "source", "chunk").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
     of_group = checkpointed(counts.join(chunks, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count")))
     sources = grouped_texts(docs).select("lang", "source").distinct()
     n_terms = kept.groupBy("lang").agg(F.count("*").alias("n_terms"))
