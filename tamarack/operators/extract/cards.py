@@ -8,7 +8,6 @@ import json
 import re
 from dataclasses import dataclass
 from functools import reduce
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,10 +16,10 @@ from pyspark.sql import functions as F
 from tamarack.functions.dates import parse_french_date
 from tamarack.functions.rules import has, map_employment_type
 from tamarack.functions.text import clean_text, deslugify, slugify
-from tamarack.operators.extract.pages import MARKETING_PREFIX, NAV_LABELS, _absolute, clean_board_title
+from tamarack.operators.extract import dom
+from tamarack.operators.extract.pages import MARKETING_PREFIX, NAV_LABELS, clean_board_title
 
 HEADING = r"^h[1-6] "
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 @dataclass(frozen=True)
@@ -58,6 +57,7 @@ SITES = {
     "electricitemc2": Site(card=r"\.elementor-image-box-title ", title=r"\.elementor-image-box-title ", not_title=r"candidature\s+spontan", join_slash=True),
     "excavationsrsr": Site(card=r"\.e-n-accordion-item-title-text |\.e-n-accordion-item-title |\.elementor-accordion-title |\.elementor-tab-title ", title=".", not_title=r"^(faq|questions?|nos\s+valeurs|avantages?|pourquoi|à\s+propos|contact|candidature\s+spontan)", longest=90, join_slash=True),
     "galilee": Site(card=r"^h3 ", title=r"^h3 ", not_title=r"^(emplois?\s+disponibles?|carri[èe]res?|nos\s+valeurs|flexibilit|environnement|apprentissage|avantages?|navigation|nous\s+joindre)", longest=90),
+    "stefetmax": Site(card=r"^h3 ", title=r"^h3 ", not_title=r"postes?\s+suivants?|recherche de candidatur|candidature spontan|expansion|nous joindre|vos designers|heures d['’]ouverture|que ce soit|foire aux questions|^faq$|^.{71,}", drop_title=r"[.\s]+$", longest=70),
     "jackstaff": Site(card=r"^a ", title=r"^a ", link=r"(?i)/opportunite-d-emploi/[^/]+/[^/]+/\d+", slug_title=r"(?i)/opportunite-d-emploi/[^/]+/([^/]+)/\d+", slug_first=True, keep_query=True),
     "jobillico": Site(card=r"\.card__content |^li |\.card ", title=r"^a ", link=r"/offre-d-emploi/.*/\d{4,}(?:\?|$)", place=r"^p (?!.*\.mb0 )(?!.*\.date )"),
     "jobs-listing": Site(card=r"^li .*in~jobs-listing ", title=r"^a ", link=r"^(?!#)", not_title=NAV_LABELS + "|" + MARKETING_PREFIX, place=r"^span (?!.*ina )", keep_query=True),
@@ -67,71 +67,54 @@ SITES = {
 JOB_TYPE = SITES["wix"].needs
 
 
-class _Cards(HTMLParser):
-    """Elements in page order, with the number of the innermost card they stand in."""
+#: Texts of more characters are not listed: a card holds less.
+LONGEST_CARD = 5_000
 
-    def __init__(self, card: re.Pattern, kept: re.Pattern):
-        super().__init__(convert_charrefs=True)
-        self.card, self.kept, self.stack, self.found, self.cards, self.skip = card, kept, [], [], 0, 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "svg"):
-            self.skip += 1
-            return
-        if self.skip:
-            return
-        a = {k: v or "" for k, v in attrs}
+def page_cards(html: str, url: str | None, card: re.Pattern, kept: re.Pattern, around: frozenset[str]) -> list[tuple]:
+    """(card, pos, signature, href, raw_href, text) of the elements that `kept` or `card` finds inside cards, in page order; card: the number of the innermost card. `around`: the classes that patterns ask of ancestors."""
+    page = dom.Page(html)
+    texts = page.texts(LONGEST_CARD)
+    inside: list[frozenset] = []
+    number, cards, found = [], 0, []
+    linked: list[bool] = []
+    for k, (tag, a, up) in enumerate(zip(page.tag, page.attributes, page.parent, strict=True)):
+        above, in_link = (inside[up], linked[up]) if up >= 0 else (frozenset(), False)
         classes = a.get("class", "").split()
-        around = {c for e in self.stack for c in e["classes"]}
-        signature = " ".join([tag, *([f"#{a['id']}"] if a.get("id") else []), *(f".{c}" for c in classes), *(["rolelistitem"] if a.get("role") == "listitem" else []), *sorted(f"in~{c}" for c in around), *(["ina"] if any(e["tag"] == "a" for e in self.stack) else [])]) + " "
-        card = self.stack[-1]["card"] if self.stack else 0
-        if self.card.search(signature):
-            self.cards += 1
-            card = self.cards
-        e = {"tag": tag, "classes": classes, "card": card, "text": []}
-        if card and (self.kept.search(signature) or self.card.search(signature)):
-            self.found.append((card, signature, a.get("href"), a.get("title"), e["text"]))
-        if tag not in _VOID:
-            self.stack.append(e)
-        elif tag == "br":
-            self.handle_data(" ")
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style", "svg"):
-            self.skip = max(0, self.skip - 1)
-        elif any(e["tag"] == tag for e in self.stack):
-            while self.stack.pop()["tag"] != tag:
-                pass
-
-    def handle_data(self, data):
-        if not self.skip:
-            for e in self.stack:
-                e["text"].append(data)
+        own = around.intersection(classes)
+        inside.append(above | own if own - above else above)
+        linked.append(in_link or tag == "a")
+        number.append(number[up] if up >= 0 else 0)
+        if page.hidden[k] or tag in dom.HIDDEN:
+            continue
+        parts = [tag, *([f"#{a['id']}"] if a.get("id") else []), *(f".{c}" for c in classes), *(["rolelistitem"] if a.get("role") == "listitem" else []), *sorted(f"in~{c}" for c in above), *(["ina"] if in_link else [])]
+        signature = " ".join(parts) + " "
+        if is_card := card.search(signature):
+            cards += 1
+            number[k] = cards
+        if number[k] and (is_card or kept.search(signature)):
+            found.append((number[k], len(found), signature, dom.absolute(url, a.get("href")), a.get("href"), (texts[k] or "") or a.get("title", "").strip()))
+    return found
 
 
 def card_elements(pages: DataFrame, site: Site) -> DataFrame:
     """(page_id, base, card, pos, signature, href, raw_href, text) of the elements that the site's settings name; pages: page_id, url, html."""
     kept = "|".join(x for x in (site.title, site.link_element if site.link else None, site.place, site.kind, site.posted) if x)
+    around = frozenset(re.findall(r"in~([\w-]+)", f"{site.card} {kept}"))
 
     def kernel(batches):
         card, wanted = re.compile(site.card), re.compile(kept)
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for page, url, source in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                reader = _Cards(card, wanted)
-                reader.feed(source or "")
-                for pos, (number, signature, href, title, text) in enumerate(reader.found):
-                    row = (page, url, number, pos, signature, _absolute(url, href), href, " ".join("".join(text).split()) or (title or "").strip())
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["page_id", "base", "card", "pos", "signature", "href", "raw_href", "text"])
+        for batch in dom.slices(batches):
+            rows = [(page, url, *row) for page, url, source in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True) for row in page_cards(source or "", url, card, wanted, around)]
+            if rows:
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "base", "card", "pos", "signature", "href", "raw_href", "text"])
 
     return pages.select("page_id", "url", "html").mapInArrow(kernel, "page_id long, base string, card long, pos long, signature string, href string, raw_href string, text string")
 
 
-def parse_cards(pages: DataFrame, site: Site | str) -> DataFrame:
-    """(page_id, url, title, location, employmentType, postedAt) of a site's pages; the first card of an address counts."""
+def parse_cards(pages: DataFrame, site: Site | str, as_of=None) -> DataFrame:
+    """(page_id, url, title, location, employmentType, postedAt) of a site's pages; the first card of an address counts. Relative dates count from `as_of` (a column or a text of a time); without it they are null."""
     s = SITES[site] if isinstance(site, str) else site
     rows = card_elements(pages, s)
     is_ = lambda pattern: F.col("signature").rlike(pattern)
@@ -168,26 +151,23 @@ def parse_cards(pages: DataFrame, site: Site | str) -> DataFrame:
         url = F.coalesce(address, url) if s is SITES["wix"] else address
     out = cards.where("has_needed").withColumn("title", title).withColumn("url", url).where(F.col("url").isNotNull() & F.length("title").between(3, s.longest))
     out = out.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("card"))).where("n = 1")
-    posted = parse_french_date(F.regexp_replace("posted", r"(?iu)^publi[ée]\s*", ""), F.current_timestamp())
+    posted = parse_french_date(F.regexp_replace("posted", r"(?iu)^publi[ée]\s*", ""), F.lit(as_of).cast("timestamp"))
     return out.select("page_id", "url", "title", "location", map_employment_type(F.col("kind")).alias("employmentType"), posted.alias("postedAt"))
 
 
-def parse_all(pages: DataFrame) -> DataFrame:
+def parse_all(pages: DataFrame, as_of=None) -> DataFrame:
     """parse_cards of every page (page_id, site, url, html) by its site's settings."""
-    return reduce(DataFrame.unionByName, [parse_cards(pages.where(F.col("site") == name), name).withColumn("site", F.lit(name)) for name in SITES])
-
-
-_SCRIPT = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", re.S | re.I)
+    return reduce(DataFrame.unionByName, [parse_cards(pages.where(F.col("site") == name), name, as_of).withColumn("site", F.lit(name)) for name in SITES])
 
 
 def item_list(pages: DataFrame) -> DataFrame:
     """(page_id, url, name) of the postings in a board page's ItemList; of an address that repeats the last name counts."""
 
     def kernel(batches):
-        for batch in batches:
+        for batch in dom.slices(batches):
             ids, places, urls, names = [], [], [], []
             for page, source in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                for block in _SCRIPT.findall(source or ""):
+                for block in dom.scripts(source, "application/ld+json") if source and "ItemList" in source else ():
                     try:
                         data = json.loads(block) if "ItemList" in block else []
                     except (ValueError, RecursionError):

@@ -27,6 +27,17 @@ def extract_headings(spark, sf_dir):
     return pages.page_elements(read(spark, sf_dir, "pages")).where("tag = 'h1'").select("page_id", F.col("text").alias("heading"))
 
 
+_PART = "regexp_extract(html, '(?s)<{0}>(.*?)</{0}>', 1)"
+
+
+@query("links_in_navigation", f"SELECT page_id, len(regexp_extract_all({_PART.format('nav')}, '<a href'))::BIGINT AS navigation, len(regexp_extract_all(html, '<a href'))::BIGINT AS links, len(regexp_extract_all({_PART.format('article')}, '<p>'))::BIGINT AS paragraphs FROM pages", views=False)
+def links_in_navigation(spark, sf_dir):
+    elements = pages.page_elements(read(spark, sf_dir, "pages"), frozenset(("nav", "article", "a", "p")))
+    held = lambda outer, inner, name: pages.inside(elements, outer, inner).groupBy("page_id").agg(F.count("*").alias(name))
+    links = elements.groupBy("page_id").agg(F.count_if(F.col("tag") == "a").alias("links"))
+    return links.join(held("nav", "a", "navigation"), "page_id", "left").join(held("article", "p", "paragraphs"), "page_id", "left").select("page_id", F.coalesce("navigation", F.lit(0)).alias("navigation"), "links", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"))
+
+
 @query("parse_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", views=False)
 def parse_json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

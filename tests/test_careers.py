@@ -46,7 +46,7 @@ CASES = [
 @pytest.mark.parametrize("k", range(len(CASES)))
 def test_job_links(spark, k):
     made = spark.createDataFrame([(k, "https://e/carrieres", CASES[k][0])], "page_id long, url string, html string")
-    out = P.job_links(P.page_elements(made), made).orderBy("pos").collect()
+    out = P.job_links(P.page_elements(made)).orderBy("pos").collect()
     assert [(r.url, r.title) for r in out] == CASES[k][1]
 
 
@@ -56,3 +56,72 @@ def test_postings_at_any_depth(spark):
         node = f'{{"@graph":[{node}]}}'
     made = spark.createDataFrame([(1, "https://e/", f"<script type='application/ld+json'>{node}</script><script type='application/ld+json'>{'[' * 200000}</script>")], "page_id long, url string, html string")
     assert [(r.title, r.company) for r in P.parse_json_ld(made).collect()] == [("T", "C")]
+
+
+CARD_CASES = [
+    ("<div class=c><h3>Grutier d'expérience</h3><p>Laval</p><a href='/emplois/x-1'>Voir le poste</a></div><h2>Autre</h2>", "Grutier d'expérience"),  # the card's heading, not the page's
+    ("<section><h2>Nos postes</h2><div><div><h4>Paveur</h4></div><div><a href='https://ats.x/offre/77'>Jobillico</a></div></div></section>", "Paveur"),  # the nearest ancestor that has one
+    ("<div><h3>Soudeur</h3><h3>Monteur d'acier</h3><a href='https://ats.x/offre/77'>Postuler</a></div>", "Monteur d'acier"),  # the last of it
+    ("<h3>Soudeur</h3><a href='https://ats.x/offre/77'>Postuler</a>", None),  # no card
+    ("<div><h3>Soudeur</h3>" + "<div>" * 6 + "<a href='https://ats.x/offre/77'>Postuler</a></div>", None),  # too far up
+    ("<div><h3>Commis</h3><a href='/offre/77'>" + "Commis de chantier à temps plein, poste permanent de jour, du lundi au vendredi, " * 1 + "horaire flexible et avantages</a></div>", "Commis"),  # over 90 characters
+    ("<a href='/carrieres/offre-9' title='Briqueteur-maçon'></a>", "Briqueteur-maçon"),
+    ("<div><a href='https://www.jobillico.com/fr/offre-d-emploi/acme/chef-equipe/9'>https://www.jobillico.com/fr/offre-d-emploi/acme/chef-equipe/9</a></div>", "Chef Equipe"),
+    ("<ul><li><a href='/emplois/foreur-1'>Foreur<li><a href='/emplois/paveur-2'>Paveur</ul>", "Foreur"),  # unclosed links and items
+]
+
+
+@pytest.mark.parametrize("k", range(len(CARD_CASES)))
+def test_nearest_heading(spark, k):
+    made = spark.createDataFrame([(k, "https://e/carrieres", CARD_CASES[k][0])], "page_id long, url string, html string")
+    out = P.job_links(P.page_elements(made)).orderBy("pos").collect()
+    assert (out[0].title if out else None) == CARD_CASES[k][1]
+
+
+REFUSED = [
+    "Soudeur contact@acme.ca", "Marie-Claude Dubé | Estimatrice, technicienne", "Métier : Cuisiniste", "Horaire : Opérateur de jour", "Opérateur CMMB_AS", "Installer et superviser les monteurs", "Opérateur afin de livrer", "Soudeurs recherchés", "Soudeur (poste comblé) poste comblé",
+    "Le soudeur travaille bien.", "Soudeur ?", "Soudeurs Tremblay inc.", "Un soudeur motivé de nuit dans notre équipe du nord lointain", "Nous recherchons un soudeur", "Actualiser les postes de soudeur", "Nos emplois de soudeur", "Déneigement", "Exigences et avantages",
+]
+ACCEPTED = ["Opérateur (H/F) (institutionnel et commercial, de jour ou de soir, à Laval)", "Frigoriste - Compagnon ou apprenti - Rive-Sud de Montréal", "Soudeur.", "Dessinateur en Conception 3D et Mise en Plan", "Chauffeur classe 1"]
+
+
+def test_each_rule_of_a_title(spark):
+    t = F.col("t")
+    assert [x for x, y in zip(REFUSED, flags(spark, REFUSED, P.is_job_title(t)), strict=True) if y] == []
+    assert [x for x, y in zip(ACCEPTED, flags(spark, ACCEPTED, P.is_job_title(t)), strict=True) if not y] == []
+
+
+HEADING_CASES = [
+    ("<h2>Contremaître - Charpentier - Manœuvre</h2>", ["Contremaître", "Charpentier", "Manœuvre"]),
+    ("<h2>Frigoriste - Compagnon - Rive-Sud</h2>", ["Frigoriste - Compagnon - Rive-Sud"]),
+    ("<ul><li>Soudeur<li>Plombier de chantier</ul><p>Bienvenue", ["Soudeur", "Plombier de chantier"]),
+    ("<ul><li>Mécanicien de machinerie : <ul><li>Effectuer les réparations</li></ul></li><li><ul><li>Grutier</li></ul></li></ul>", ["Mécanicien de machinerie", "Grutier"]),
+    ("<ul><li>Opérateur 3 ans</li><li>Opérateur type 2</li><li>Soudeur with ticket</li><li>Chauffeur, permis classe 1</li><li>Opérateur de pelle mécanique sur chenilles hydrauliques</li></ul>", ["Opérateur type 2"]),
+    ("<div><h3>Avantages</h3><div><ul><li>Contremaîtres accessibles</li></ul></div></div><div><strong>Postes</strong><ul><li>Soudeur</li></ul></div>", ["Soudeur"]),
+    ("<p><b>Exigences</b></p><div><b>Tâches</b><ul><li>Opérateur adjoint</li></ul></div>", []),
+    ("<div class='x elementor-tab-title'>Paveur</div><div class='elementor-tab-titles'>Mineur</div>", ["Paveur"]),
+    ("<nav><a href='#'>Soudeur</a></nav><a href='#a'>Grutier</a><a>Mineur</a><a href='/docs/fiche.PDF'>Peintre</a><a href='#'><p>Vitrier</p></a><a href='/page'>Monteur</a>", ["Grutier", "Mineur", "Peintre"]),
+    ("<strong>— Soudeur •</strong><b>Offre d'emploi : Grutier Postuler</b><h6>Mineur</h6>", ["Soudeur", "Grutier"]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(HEADING_CASES)))
+def test_heading_jobs(spark, k):
+    made = spark.createDataFrame([(k, "https://e/carrieres/#x", HEADING_CASES[k][0])], "page_id long, url string, html string")
+    out = {r.title: r.url for r in P.heading_jobs(P.page_elements(made)).collect()}
+    assert sorted(out) == sorted(HEADING_CASES[k][1])
+    assert out.get("Peintre", "https://e/docs/fiche.PDF") == "https://e/docs/fiche.PDF" and out.get("Grutier", "https://e/carrieres#grutier") == "https://e/carrieres#grutier"
+
+
+def test_wix_and_lists_come_before_a_single_offer(spark):
+    single = "<h1>Soudeur</h1><p>Responsabilités</p><p>Exigences</p>"
+    wix = "<div class='wixui-repeater__item'><h3>Grutier</h3><h4>Temps plein</h4><a href='https://x/1'>Voir</a></div>"
+    listing = "<ul class='jobs-listing'><li><a href='/acme/12?l=fr'>Peintre industriel</a> <span>Laval</span></li></ul>"
+    made = spark.createDataFrame([(1, "https://e/c", single), (2, "https://e/c", single + wix), (3, "https://e/c", single + listing)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.strategy, r.title) for r in P.career_postings(made).collect()) == [(1, "single", "Soudeur"), (2, "wix", "Grutier"), (3, "listing", "Peintre industriel")]
+
+
+def test_a_repeated_page_gives_its_postings_once_each(spark):
+    page = (1, "https://e/", '<script type="application/ld+json">{"@type":"JobPosting","title":"T","hiringOrganization":{"name":"C"}}</script>')
+    made = spark.createDataFrame([page, page, page], "page_id long, url string, html string")
+    assert P.parse_json_ld(made).count() == 3
