@@ -16,6 +16,8 @@ from tamarack.taxonomy import label
 DIGEST = 30
 #: Alerts without a list to be joined by are broadcast up to so many; beyond, they meet the postings in slices of this size.
 SLICE = 20_000
+#: Numbers to which three-letter stretches are hashed.
+BUCKETS = 1 << 16
 #: Lists of an alert by which it can be joined, the most selective first, and the postings' columns.
 INDEXED = {"sources": "sourceId", "categories": "categoryId", "regions": "regionId", "employmentTypes": "employmentType", "remote": "remote"}
 
@@ -41,15 +43,44 @@ def oldest_cutoff(alerts: DataFrame, as_of: Column) -> DataFrame:
     return alerts.agg(F.least(F.coalesce(F.min("last_notified_at"), as_of), as_of).alias("oldest"))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct three-letter stretches of a text; none of a shorter one."""
+    n = F.length(text)
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def _by_grams(prepared: DataFrame, alerts: DataFrame, fits: Column) -> DataFrame:
+    """Alerts that must find a text of three letters or more in a posting, by an inverted index: each stands under the rarest three-letter stretch that its words and company have (or under one for each of its cities, any of which may be found), and
+    meets the postings that have it. How rare a stretch is, is counted over the postings given; stretches that no alert has are held back by a broadcast set of at most BUCKETS numbers, before anything is shuffled."""
+    q = lambda name: F.col(f"query.{name}")
+    must = F.filter(F.concat(F.coalesce(words(q("q")), F.array().cast("array<string>")), F.when(q("company").isNotNull(), F.array(norm(q("company")))).otherwise(F.array().cast("array<string>"))), lambda w: F.length(w) >= 3)
+    needles = F.when(F.size(must) > 0, F.array(F.flatten(F.transform(must, _grams)))).otherwise(F.transform(q("cities"), lambda c: _grams(norm(c))))
+    listed = alerts.select("*", F.posexplode(needles).alias("needle", "grams"))
+    bucket = lambda gram: F.pmod(F.xxhash64(gram), F.lit(BUCKETS))
+    wanted = F.broadcast(listed.select(F.explode("grams").alias("gram")).select(bucket(F.col("gram")).alias("bucket")).distinct())  # BUCKETS numbers at most
+    postings = prepared.withColumn("found_in", F.concat_ws("\x01", "hay", "city_folded"))
+    held = postings.select(F.explode(_grams(F.col("found_in"))).alias("gram")).withColumn("bucket", bucket(F.col("gram"))).join(wanted, "bucket", "left_semi")
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = listed.select("alert_id", "needle", F.explode("grams").alias("gram")).join(counts, "gram", "left").groupBy("alert_id", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    keys = alerts.join(rare.groupBy("alert_id").agg(F.sort_array(F.collect_set("gram")).alias("keys")), "alert_id")  # as many as an alert has cities
+    own = keys.select("*", F.explode("keys").alias("gram"))
+    used = F.broadcast(own.select(bucket(F.col("gram")).alias("bucket")).distinct())  # the same bound
+    under = postings.select("*", F.explode(_grams(F.col("found_in"))).alias("gram")).withColumn("bucket", bucket(F.col("gram"))).join(used, "bucket", "left_semi").drop("bucket")
+    once = F.col("gram") == F.element_at(F.filter("keys", lambda g: F.contains(F.col("found_in"), g)), 1)  # a posting with several of an alert's cities counts once
+    return under.join(own, "gram").where(once & fits).drop("gram", "keys", "found_in")
+
+
 def match_alerts(jobs: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame:
     """(alert_id, job columns) of postings created after an alert's cut-off that fit it.
 
     The oldest cut-off of all alerts is a literal that prunes the scan of postings; the folded texts of a posting are computed
     once, not for each alert. An alert that names sources, categories, regions, contracts or modes of work stands under each value of the first of these lists, and meets
-    only postings of that value, by an equi-join; the rest of its predicate is tested there. Alerts of words, places, languages or pay alone have no such value: they are sent to
-    the postings' tasks, in slices whose size is bounded."""
+    only postings of that value, by an equi-join; the rest of its predicate is tested there. Alerts of words, companies or places alone are found by three-letter stretches (`_by_grams`). What is left, alerts of languages, pay, age or
+    of shorter words alone, fits a large part of the postings: these alerts are sent to the postings' tasks, in slices whose size is bounded."""
     has = lambda n: F.coalesce(F.size(f"query.{n}"), F.lit(0)) > 0
-    index = F.coalesce(*[F.when(has(n), F.lit(n)) for n in INDEXED])
+    needle = F.exists(F.concat(F.coalesce(words("query.q"), F.array().cast("array<string>")), F.array(F.coalesce(norm(F.col("query.company")), F.lit("")))), lambda w: F.length(w) >= 3)
+    towns = has("cities") & F.forall("query.cities", lambda c: F.length(norm(c)) >= 3)
+    index = F.coalesce(*[F.when(has(n), F.lit(n)) for n in INDEXED], F.when(needle | towns, F.lit("text")))
     a = alerts.select(F.col("id").alias("alert_id"), "query", F.coalesce("last_notified_at", "created_at").alias("cutoff"), index.alias("by"))
     kinds = {r["by"]: r for r in a.groupBy("by").agg(F.count("*").alias("n"), F.min("cutoff").alias("oldest")).collect()}  # one row for each list, and one without
     oldest = min((r["oldest"] for r in kinds.values() if r["oldest"] is not None), default=None)
@@ -60,6 +91,8 @@ def match_alerts(jobs: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame
     for name in (n for n in INDEXED if n in kinds):
         own = a.where(F.col("by") == name).select("*", F.explode(F.array_distinct(f"query.{name}")).alias("value"))
         parts.append(prepared.join(own, (F.col(INDEXED[name]) == F.col("value")) & fits).drop("value"))
+    if "text" in kinds:
+        parts.append(_by_grams(prepared, a.where(F.col("by") == "text"), fits))
     pieces = -(-kinds[None]["n"] // SLICE) if None in kinds else 0
     for k in range(pieces):
         own = a.where(F.col("by").isNull() & (F.pmod(F.xxhash64("alert_id"), F.lit(pieces)) == k))

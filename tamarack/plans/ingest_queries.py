@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tamarack.operators import alerts as A
 from tamarack.operators import ingest as I
 from tamarack.operators import resolve as R
-from tamarack.plans.base import ANNUAL, query, sql_norm, sql_stamp, stamp
+from tamarack.plans.base import ANNUAL, NOW, query, sql_norm, sql_stamp, stamp
 from tamarack.sources.adapters import employer, job, orders_now, read, scrape_run
 
 
@@ -210,9 +212,39 @@ def alert_cutoffs(spark, sf_dir):
     return A.advance(alerts, matches, alerts.where("id <> 'a1'")).select("id", stamp("last_notified_at").alias("last_notified_at"))
 
 
-@query("alert_oldest_cutoff", "SELECT '1999-01-01 00:00:00' AS oldest", views=False)
+def customer_alerts(spark, sf_dir):
+    """An alert of each customer: some look for a name among all words, some for a company; some also name regions, a category, languages or pay. Each was last notified on the day of the customer's first order."""
+    key = F.col("c_custkey")
+    some = lambda n, value: F.when(key % n == 0, value)
+    languages = some(4, F.array(F.lit("fr"), F.lit("en")))
+    fields = {
+        "q": F.when(key % 2 == 1, F.col("c_name")), "company": F.when(key % 2 == 0, F.upper("c_name")), "regions": some(3, F.array("c_mktsegment")), "cities": None, "categories": some(5, F.array(F.lit("x"), F.col("c_mktsegment"))), "employmentTypes": None, "remote": None, "sources": None,
+        "languages": languages, "salaryMin": some(7, F.floor("c_acctbal").cast("double")), "postedWithinDays": None,
+    }
+    kinds = dict(re.findall(r"(\w+): (string|array<string>|double|int)", _ALERT_KIND.partition("struct<")[2]))
+    query_of = F.struct(*[(F.lit(None) if v is None else v).cast(kinds[n]).alias(n) for n, v in fields.items()])
+    first = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("timestamp").alias("last_notified_at"))
+    rows = read(spark, sf_dir, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select(key.cast("string").alias("id"), F.lit("u").alias("user_id"), F.col("c_name").alias("label"), query_of.alias("query"), F.lit("2001-01-01").cast("timestamp").alias("created_at"), "last_notified_at")
+
+
+@query("alert_oldest_cutoff", f"SELECT {sql_stamp('least(min(o_orderdate), {})'.format(NOW))} AS oldest FROM orders", views=False)
 def alert_oldest_cutoff(spark, sf_dir):
-    return A.oldest_cutoff(alert_table(spark), orders_now()).select(stamp("oldest").alias("oldest"))
+    return A.oldest_cutoff(customer_alerts(spark, sf_dir), orders_now()).select(stamp("oldest").alias("oldest"))
+
+
+@query(
+    "alert_word_index",
+    """SELECT c_custkey::VARCHAR AS alert_id, id FROM customer JOIN (SELECT o_custkey, min(o_orderdate) AS first FROM orders GROUP BY 1) ON c_custkey = o_custkey
+    JOIN job ON contains(lower(job.company), lower(c_name)) AND "scrapedAt" > first WHERE (c_custkey % 4 <> 0 OR list_has_any(languages, ['fr', 'en']))""",
+)
+def alert_word_index(spark, sf_dir):
+    """Alerts of words and companies alone, as many as customers: found by three-letter stretches, without a nested loop."""
+    alerts = customer_alerts(spark, sf_dir)
+    words = alerts.withColumn("query", F.col("query").dropFields("regions", "categories", "salaryMin"))
+    for name, kind in (("regions", "array<string>"), ("categories", "array<string>"), ("salaryMin", "double")):
+        words = words.withColumn("query", F.col("query").withField(name, F.lit(None).cast(kind)))
+    return A.match_alerts(_stored(spark, sf_dir), words, orders_now()).select("alert_id", "id")
 
 
 @query(
@@ -263,11 +295,14 @@ def source_methods(spark, sf_dir):
     return employer(spark, sf_dir).select("id", source_method(F.col("method")).alias("source_method"))
 
 
-@query("alert_labels", "SELECT * FROM (VALUES ('a1', 'EUROPE'), ('a2', '« red widget »'), ('a3', 'BUILDING · MACHINERY · BILINGUE'), ('a4', '≥ 400000 $/an'), ('a5', '« économy » · tion_1 · FR · EN · ≥ 100000 $/an'), ('a6', '« no such words »'), ('a7', 'ASIA · AFRICA'), ('a8', 'Montréal · Informatique et TI · Toutes'), ('a9', 'Toutes les nouvelles offres')) t(id, label) WHERE id <> 'a8'", views=False)
+@query(
+    "alert_labels",
+    """SELECT id, CASE WHEN part = '' THEN 'Toutes les nouvelles offres' ELSE part END AS label FROM (SELECT c_custkey::VARCHAR AS id, array_to_string(list_filter([CASE WHEN c_custkey % 2 = 1 THEN '« ' || c_name || ' »' END, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 5 = 0 THEN 'x' END, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END,
+      CASE WHEN c_custkey % 4 = 0 THEN 'FR' END, CASE WHEN c_custkey % 4 = 0 THEN 'EN' END, CASE WHEN c_custkey % 7 = 0 THEN '≥ ' || floor(c_acctbal)::BIGINT || ' $/an' END], lambda x: x IS NOT NULL), ' · ') AS part FROM customer)""",
+    views=False,
+)
 def alert_labels(spark, sf_dir):
-    rows = alert_table(spark)
-    none = rows.where("id = 'a1'").withColumn("id", F.lit("a9")).withColumn("query", F.lit(None).cast(rows.schema["query"].dataType))
-    return rows.unionByName(none).select("id", A.describe().alias("label"))
+    return customer_alerts(spark, sf_dir).select("id", A.describe().alias("label"))
 
 
 @query(

@@ -1,6 +1,8 @@
 """Properties of search, roll-ups, ingestion, registry and exports."""
 
 import os
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +154,37 @@ def test_details_and_entities(spark):
     found = {r.url: (r.title, r.location, r.description) for r in pages.with_details(listed, details, cap=2).collect()}
     assert found == {"u0": ("detail", "Laval", "d"), "u3": ("t3", None, None)}
     assert pages.decode_entities(spark.createDataFrame([("l&#x27;&eacute;t&eacute;",), (None,)], "t string"), "t").collect()[0].t == "l'été"
+
+
+def test_word_alerts_have_no_nested_loop(spark):
+    from datetime import datetime
+
+    from tamarack.operators import alerts as A
+    from tamarack.plans.ingest_queries import _ALERT_KIND
+
+    day = datetime(2020, 1, 1)
+    kinds = "id string, title string, company string, description string, tags array<string>, city string, regionId string, categoryId string, employmentType string, remote string, sourceId string, languages array<string>, salaryMin double, salaryMax double, salaryPeriod string, postedAt timestamp, createdAt timestamp"
+    titles = ["Soudeur à Québec", "Électricien", "ab", "", None, "Peintre peintre", "Soudeuse industrielle", "x" * 5000 + " grutier"]
+    jobs = spark.createDataFrame([(str(k), t, "Acme Béton" if k % 2 else "Zut", None, ["jour"], ["Saint-Jérôme", "Laval", None][k % 3], None, None, None, None, None, ["fr"], None, None, None, None, datetime(2020, 2, 1)) for k, t in enumerate(titles)], kinds)
+
+    def alert(k, q=None, company=None, cities=None, languages=None):
+        return (f"a{k}", "u", "", (q, company, None, cities, None, None, None, None, languages, None, None), day, day)
+
+    cases = [alert(0, "soud"), alert(1, "QUEBEC sou"), alert(2, None, "béton"), alert(3, None, None, ["laval", "jérôme", "saint"]), alert(4, "ab"), alert(5, "de", None, ["laval"]), alert(6, "grutier xxx"), alert(7, "", "", []), alert(8, "zzz"), alert(9, "peintre", "acme", ["val"]), alert(10, None, None, ["la"]), alert(11, None, None, None, ["fr"]), alert(12, "acme jour")]
+    names = re.findall(r"(\w+): ", _ALERT_KIND.partition("struct<")[2])
+    order = {"q": 0, "company": 1, "cities": 3, "languages": 8}
+    alerts = spark.createDataFrame([(*c[:3], {n: (c[3][order[n]] if n in order else None) for n in names}, c[4], c[5]) for c in cases], _ALERT_KIND)
+    fold = lambda x: "".join(ch for ch in unicodedata.normalize("NFD", (x or "").lower()) if not unicodedata.combining(ch))
+    want = set()
+    for k, (_, _, _, (q, company, _, cities, *_rest), _, _) in enumerate(cases):
+        for job in jobs.collect():
+            hay = fold(" ".join(x for x in (job.title, job.company, job.description, *job.tags) if x))
+            if all(w in hay for w in fold(q).split()) and fold(company) in fold(job.company) and (not cities or any(fold(c) in fold(job.city) for c in cities)):
+                want.add((f"a{k}", job.id))
+    got = A.match_alerts(jobs, alerts, F.lit(datetime(2020, 3, 1))).select("alert_id", "id")
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    many = spark.range(100_000).select("id", F.lit("u").alias("user_id"), F.lit("").alias("label"), F.lit(day).alias("created_at"), F.lit(day).alias("last_notified_at"))
+    many = many.withColumn("query", F.struct(*[(F.concat(F.lit("mot"), "id") if n == "q" else F.lit(None).cast(alerts.schema["query"].dataType[n].dataType)).alias(n) for n in names]))
+    plan = A.match_alerts(jobs, many, F.lit(datetime(2020, 3, 1)))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
