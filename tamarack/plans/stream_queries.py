@@ -12,7 +12,9 @@ from tamarack.operators import alerts as A
 from tamarack.plans.base import query, stamp
 from tamarack import registry
 from tamarack.plans.ingest_queries import _MATCHES, _batch, _signals, _stored, _target, alert_table
-from tamarack.sources.adapters import orders_now, read
+from tamarack.operators import search as S
+from tamarack.sources import buckets as B
+from tamarack.sources.adapters import job, orders_now, read
 from tamarack.streaming import increments as T
 
 
@@ -104,3 +106,28 @@ def stream_guarded_sync(spark, sf_dir):
     stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/batch")
     T.guarded_sync(stream, lambda: spark.read.parquet(f"{folder}/stored-0"), lambda rows: rows.write.mode("overwrite").parquet(f"{folder}/stored-1"), lambda: _signals(spark, sf_dir), "ord", f"{folder}/state")
     return spark.read.parquet(f"{folder}/stored-1")
+
+
+@query("upsert_touched_buckets", registry.ORACLES["upsert_last_wins"], views=False)
+def upsert_touched_buckets(spark, sf_dir):
+    """Stored postings in folders; the batch rewrites those that its addresses fall in."""
+    folder, target = f"{shared_folder(spark)}/stored", _target(spark, sf_dir)
+    B.write_buckets(target, folder, buckets=32)
+    B.upsert_buckets(folder, _batch(spark, sf_dir), "ord", target.columns, buckets=32)
+    return B.read_buckets(spark, folder, target.columns)
+
+
+@query("upsert_written_counts", registry.ORACLES["upsert_counts"], views=False)
+def upsert_written_counts(spark, sf_dir):
+    """What the writing pass itself observed."""
+    folder, target = f"{shared_folder(spark)}/stored", _target(spark, sf_dir)
+    B.write_buckets(target, folder, buckets=32)
+    counts = B.upsert_buckets(folder, _batch(spark, sf_dir), "ord", target.columns, buckets=32)
+    return spark.createDataFrame([(counts["inserted"], counts["updated"])], "inserted long, updated long")
+
+
+@query("deep_page", """SELECT id, "sourceId" FROM (SELECT id, "sourceId", row_number() OVER (ORDER BY coalesce("postedAt", "scrapedAt") DESC NULLS LAST, id) AS k, count(*) OVER () AS n FROM job) WHERE k > (n // 40) * 20 AND k <= (n // 40) * 20 + 20""")
+def deep_page(spark, sf_dir):
+    """The page in the middle of all postings, from the one range of the order that holds it."""
+    pages = B.ranged_pages(job(spark, sf_dir).select("id", "sourceId", "postedAt", "scrapedAt"), S.order(), f"{shared_folder(spark)}/pages", 16)
+    return pages.page(spark, pages.before[-1] // 40 + 1, 20).select("id", "sourceId")

@@ -188,3 +188,36 @@ def test_word_alerts_have_no_nested_loop(spark):
     many = many.withColumn("query", F.struct(*[(F.concat(F.lit("mot"), "id") if n == "q" else F.lit(None).cast(alerts.schema["query"].dataType[n].dataType)).alias(n) for n in names]))
     plan = A.match_alerts(jobs, many, F.lit(datetime(2020, 3, 1)))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_only_touched_folders_are_rewritten(spark, tmp_path):
+    from tamarack.sources import buckets as B
+
+    rows = spark.createDataFrame([(f"u{k}", str(k), "s", f"old {k}") for k in range(200)], "url string, id string, sourceId string, title string")
+    path = str(tmp_path / "stored")
+    assert B.write_buckets(rows, path, buckets=16) == 200
+    files = lambda: {f.relative_to(path).as_posix(): f.stat().st_mtime_ns for f in (tmp_path / "stored").rglob("*.parquet")}
+    before = files()
+    batch = spark.createDataFrame([("u3", "x", "t", "new 3", 1), ("u3", "y", "t", "newer 3", 2), ("fresh", "z", "t", "new", 1)], "url string, id string, sourceId string, title string, ord int")
+    assert B.upsert_buckets(path, batch, "ord", rows.columns, buckets=16) == {"inserted": 1, "updated": 1}
+    after = files()
+    gone = {f.split("/")[0] for f in before.keys() - after.keys()}
+    assert 1 <= len(gone) <= 2 and {f.split("/")[0] for f in after.keys() - before.keys()} >= gone and all(after[f] == before[f] for f in before if f.split("/")[0] not in gone)
+    wanted = {tuple(r) for r in ingest.upsert_jobs(rows, batch, "ord").select(*rows.columns).collect()}
+    assert {tuple(r) for r in B.read_buckets(spark, path, rows.columns).collect()} == wanted and len(wanted) == 201
+    assert B.upsert_buckets(path, batch.limit(0), "ord", rows.columns, buckets=16) == {"inserted": 0, "updated": 0}
+
+
+def test_deep_pages_read_their_range_alone(spark, tmp_path):
+    from tamarack.sources import buckets as B
+
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 7 != 0, (F.col("id") * 37 % 100).cast("int")).alias("v"))
+    sort = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    pages = B.ranged_pages(rows, sort, str(tmp_path / "pages"), 8)
+    wanted = [tuple(r) for r in rows.orderBy(*sort).collect()]
+    for page in (1, 2, 17, 50, 51, 999):
+        k = min(page, 50)
+        assert [tuple(r) for r in pages.page(spark, page, 20).collect()] == wanted[(k - 1) * 20 : k * 20]
+    plan = pages.page(spark, 25, 20)._jdf.queryExecution().executedPlan().toString()
+    assert len([b for b in range(8) if pages.before[b] < 500 and pages.before[b + 1] > 480]) <= 2 and "PartitionFilters: [" in plan and "range" in plan.split("PartitionFilters: [")[1][:80]
+    assert B.ranged_pages(rows.limit(0), sort, str(tmp_path / "none"), 4).page(spark, 3, 20).count() == 0
