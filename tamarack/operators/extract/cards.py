@@ -7,7 +7,6 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,6 +43,7 @@ class Site:
     keep_query: bool = False
     absolute: bool = False  # only addresses that were absolute
     joined_places: bool = False
+    link_optional: bool = False  # without a link the address is the page's with the title's slug
 
 
 #: What the sites' pages look like.
@@ -61,7 +61,7 @@ SITES = {
     "jackstaff": Site(card=r"^a ", title=r"^a ", link=r"(?i)/opportunite-d-emploi/[^/]+/[^/]+/\d+", slug_title=r"(?i)/opportunite-d-emploi/[^/]+/([^/]+)/\d+", slug_first=True, keep_query=True),
     "jobillico": Site(card=r"\.card__content |^li |\.card ", title=r"^a ", link=r"/offre-d-emploi/.*/\d{4,}(?:\?|$)", place=r"^p (?!.*\.mb0 )(?!.*\.date )"),
     "jobs-listing": Site(card=r"^li .*in~jobs-listing ", title=r"^a ", link=r"^(?!#)", not_title=NAV_LABELS + "|" + MARKETING_PREFIX, place=r"^span (?!.*ina )", keep_query=True),
-    "wix": Site(card=r"\.wixui-repeater__item ", title=HEADING, link=r"^https?://(?!.*(?:facebook|instagram|linkedin\.com|youtube))", needs=r"temps\s*plein|temps\s*partiel|permanent|contractuel|contrat|saisonnier|temporaire|\d+\s*h\b|\d+\s*heures|\bstage\b|\bccq\b", place=HEADING, kind=HEADING, longest=140, keep_query=True),
+    "wix": Site(card=r"\.wixui-repeater__item ", title=HEADING, link=r"^https?://(?!.*(?:facebook|instagram|linkedin\.com|youtube))", needs=r"temps\s*plein|temps\s*partiel|permanent|contractuel|contrat|saisonnier|temporaire|\d+\s*h\b|\d+\s*heures|\bstage\b|\bccq\b", place=HEADING, kind=HEADING, longest=140, keep_query=True, link_optional=True),
 }
 #: Fixed value: what tells a kind of contract from a place among a card's headings.
 JOB_TYPE = SITES["wix"].needs
@@ -71,93 +71,117 @@ JOB_TYPE = SITES["wix"].needs
 LONGEST_CARD = 5_000
 
 
-def page_cards(html: str, url: str | None, card: re.Pattern, kept: re.Pattern, around: frozenset[str]) -> list[tuple]:
-    """(card, pos, signature, href, raw_href, text) of the elements that `kept` or `card` finds inside cards, in page order; card: the number of the innermost card. `around`: the classes that patterns ask of ancestors."""
-    page = dom.Page(html)
-    texts = page.texts(LONGEST_CARD)
-    inside: list[frozenset] = []
-    number, cards, found = [], 0, []
-    linked: list[bool] = []
-    for k, (tag, a, up) in enumerate(zip(page.tag, page.attributes, page.parent, strict=True)):
-        above, in_link = (inside[up], linked[up]) if up >= 0 else (frozenset(), False)
-        classes = a.get("class", "").split()
-        own = around.intersection(classes)
-        inside.append(above | own if own - above else above)
-        linked.append(in_link or tag == "a")
-        number.append(number[up] if up >= 0 else 0)
-        if page.hidden[k] or tag in dom.HIDDEN:
-            continue
-        parts = [tag, *([f"#{a['id']}"] if a.get("id") else []), *(f".{c}" for c in classes), *(["rolelistitem"] if a.get("role") == "listitem" else []), *sorted(f"in~{c}" for c in above), *(["ina"] if in_link else [])]
-        signature = " ".join(parts) + " "
-        if is_card := card.search(signature):
-            cards += 1
-            number[k] = cards
-        if number[k] and (is_card or kept.search(signature)):
-            found.append((number[k], len(found), signature, dom.absolute(url, a.get("href")), a.get("href"), (texts[k] or "") or a.get("title", "").strip()))
-    return found
-
-
-def card_elements(pages: DataFrame, site: Site) -> DataFrame:
-    """(page_id, base, card, pos, signature, href, raw_href, text) of the elements that the site's settings name; pages: page_id, url, html."""
-    kept = "|".join(x for x in (site.title, site.link_element if site.link else None, site.place, site.kind, site.posted) if x)
-    around = frozenset(re.findall(r"in~([\w-]+)", f"{site.card} {kept}"))
+class Reader:
+    """A site's settings, ready to be held against elements."""
+
+    def __init__(self, site: Site):
+        find = lambda pattern, flags=0: re.compile(pattern, flags).search if pattern else lambda x: None
+        self.card, self.title, self.link_element, self.place, self.kind, self.posted = map(find, (site.card, site.title, site.link_element if site.link else None, site.place, site.kind, site.posted))
+        self.link, self.not_link, self.not_title, self.needs = find(site.link), find(site.not_link, re.I), find(site.not_title, re.I), find(site.needs, re.I)
+        self.absolute, self.all_have = site.absolute, site.needs is None
+        self.around = frozenset(re.findall(r"in~([\w-]+)", " ".join(x for x in (site.card, site.title, site.link_element, site.place, site.kind, site.posted) if x)))
+
+    def rows(self, html: str, url: str | None) -> list[tuple]:
+        """(card, pos, href, text, is_title, is_link, is_place, is_kind, is_posted, has_needed) of the elements inside cards that the settings name, in page order; card: the number of the innermost card."""
+        page = dom.Page(html)
+        texts = page.texts(LONGEST_CARD)
+        inside: list[frozenset] = []
+        number, cards, found = [], 0, []
+        linked: list[bool] = []
+        for k, (tag, a, up) in enumerate(zip(page.tag, page.attributes, page.parent, strict=True)):
+            above, in_link = (inside[up], linked[up]) if up >= 0 else (frozenset(), False)
+            classes = a.get("class", "").split()
+            own = self.around.intersection(classes)
+            inside.append(above | own if own - above else above)
+            linked.append(in_link or tag == "a")
+            number.append(number[up] if up >= 0 else 0)
+            if page.hidden[k] or tag in dom.HIDDEN:
+                continue
+            parts = [tag, *([f"#{a['id']}"] if a.get("id") else []), *(f".{c}" for c in classes), *(["rolelistitem"] if a.get("role") == "listitem" else []), *sorted(f"in~{c}" for c in above), *(["ina"] if in_link else [])]
+            signature = " ".join(parts) + " "
+            if is_card := self.card(signature):
+                cards += 1
+                number[k] = cards
+            if not number[k]:
+                continue
+            flags = [bool(f(signature)) for f in (self.title, self.link_element, self.place, self.kind, self.posted)]
+            if is_card or any(flags):
+                text, raw = texts[k] or a.get("title", "").strip(), a.get("href")
+                href = dom.absolute(url, raw)
+                flags = [f and text != "" for f in flags]
+                title = flags[0] and not self.not_title(text)
+                link = bool(self.link_element(signature)) and raw is not None and bool(self.link(raw)) and (not self.absolute or raw.lower().startswith(("http://", "https://"))) and not self.not_link(href or "")
+                found.append((number[k], len(found), href, text, title, link, *flags[2:], self.all_have or bool(self.needs(text))))
+        return found
+
+
+_ROW = "site string, page_id long, base string, card long, pos long, href string, text string, is_title boolean, is_link boolean, is_place boolean, is_kind boolean, is_posted boolean, has_needed boolean"
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.bool_()] * 6]
+
+
+def card_elements(pages: DataFrame, sites: dict[str, Site]) -> DataFrame:
+    """Rows of _ROW of pages (page_id, site, url, html), each read by its site's settings; pages of other sites give none."""
 
     def kernel(batches):
-        card, wanted = re.compile(site.card), re.compile(kept)
+        readers = {name: Reader(site) for name, site in sites.items()}
         for batch in dom.slices(batches):
-            rows = [(page, url, *row) for page, url, source in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True) for row in page_cards(source or "", url, card, wanted, around)]
+            rows = []
+            for site, page, url, source in zip(*(batch[c].to_pylist() for c in ("site", "page_id", "url", "html")), strict=True):
+                rows += [(site, page, url, *row) for row in (readers[site].rows(source, url) if site in readers and source else ())]
             if rows:
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "base", "card", "pos", "signature", "href", "raw_href", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[c.split()[0] for c in _ROW.split(", ")])
 
-    return pages.select("page_id", "url", "html").mapInArrow(kernel, "page_id long, base string, card long, pos long, signature string, href string, raw_href string, text string")
+    return pages.select("site", "page_id", "url", "html").mapInArrow(kernel, _ROW)
 
 
-def parse_cards(pages: DataFrame, site: Site | str, as_of=None) -> DataFrame:
-    """(page_id, url, title, location, employmentType, postedAt) of a site's pages; the first card of an address counts. Relative dates count from `as_of` (a column or a text of a time); without it they are null."""
-    s = SITES[site] if isinstance(site, str) else site
-    rows = card_elements(pages, s)
-    is_ = lambda pattern: F.col("signature").rlike(pattern)
+def parse_sites(pages: DataFrame, sites: dict[str, Site], as_of=None) -> DataFrame:
+    """(site, page_id, url, title, location, employmentType, postedAt) of pages (page_id, site, url, html) of any of `sites`: one reading and one grouping for all. The first card of an address counts. Relative dates count from `as_of` (a column or
+    a text of a time); without it they are null."""
+    rows = card_elements(pages, sites)
+    of = lambda test: F.col("site").isin([n for n, s in sites.items() if test(s)]) if any(map(test, sites.values())) else F.lit(False)
+    keys = ["site", "page_id", "base", "card"]
     first = lambda value, where: F.min_by(F.when(where, value), F.when(where, F.col("pos")))
-    text = F.col("text") != ""
-    fine = text if s.not_title is None else text & ~has(F.col("text"), s.not_title)
-    kind_of = has(F.col("text"), JOB_TYPE)
-    same = s.place is not None and s.place == s.kind  # told apart by their words
-    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text & is_(s.place), F.struct("pos", "text")))), lambda x: x["text"]), ", ") if s.joined_places else None  # the elements of one card
-    after = F.col("pos") > F.col("title_pos")
-    titled = rows.withColumn("title_pos", F.min(F.when(fine & is_(s.title), F.col("pos"))).over(Window.partitionBy("page_id", "card")))
-    link = F.lit(False) if s.link is None else is_(s.link_element) & F.coalesce(F.col("raw_href").rlike(s.link), F.lit(False)) & (F.lit(True) if not s.absolute else F.col("raw_href").rlike("(?i)^https?://"))
-    if s.not_link:
-        link = link & ~has(F.col("href"), s.not_link)
-    none = F.lit(None).cast("string")
-    places = none if s.place is None else every if s.joined_places else first(F.col("text"), text & is_(s.place) & after & ~(kind_of if same else F.lit(False)))
-    cards = titled.groupBy("page_id", "base", "card").agg(
-        first(F.col("text"), F.col("pos") == F.col("title_pos")).alias("title"), first(F.col("href"), link).alias("href"), F.max(F.col("title_pos")).alias("pos"), F.nullif(places, F.lit("")).alias("location") if s.place else F.max(none).alias("location"),
-        (first(F.col("text"), text & is_(s.kind) & (kind_of if same else F.lit(True))) if s.kind else F.max(none)).alias("kind"), (first(F.col("text"), text & is_(s.posted)) if s.posted else F.max(none)).alias("posted"),
-        F.max(has(F.col("text"), s.needs) if s.needs else F.lit(True)).alias("has_needed"),
+    kind_of, same = has(F.col("text"), JOB_TYPE), of(lambda s: s.place is not None and s.place == s.kind)  # told apart by their words
+    titled = rows.withColumn("title_pos", F.min(F.when(F.col("is_title"), F.col("pos"))).over(Window.partitionBy(*keys)))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_place") & of(lambda s: s.joined_places), F.struct("pos", "text")))), lambda x: x["text"]), ", ")  # the elements of one card
+    place = F.col("is_place") & (F.col("pos") > F.col("title_pos")) & ~(same & kind_of)
+    cards = titled.groupBy(*keys).agg(
+        first(F.col("text"), F.col("pos") == F.col("title_pos")).alias("title"), first(F.col("href"), F.col("is_link")).alias("href"), first(F.col("text"), place).alias("place"), every.alias("places"),
+        first(F.col("text"), F.col("is_kind") & (~same | kind_of)).alias("kind"), first(F.col("text"), F.col("is_posted")).alias("posted"), F.max("has_needed").alias("has_needed"),
     )
     title = clean_text("title")
-    if s.slug_title:
-        slug = deslugify(F.try_url_decode(F.regexp_extract(F.regexp_replace("href", "[?#].*$", ""), s.slug_title, 1)))
-        good = F.length(slug) >= 4
-        title = F.when(good, slug).otherwise(title) if s.slug_first else F.coalesce(F.nullif(title, F.lit("")), F.when(good, slug))
-    if s.drop_title:
-        title = F.trim(F.regexp_replace(title, f"(?iu){s.drop_title}", ""))
-    title = clean_board_title(title)
+    for name, s in sites.items():
+        own = F.col("site") == name
+        if s.slug_title:
+            slug = deslugify(F.try_url_decode(F.regexp_extract(F.regexp_replace("href", "[?#].*$", ""), s.slug_title, 1)))
+            good = F.length(slug) >= 4
+            title = F.when(own, F.when(good, slug).otherwise(title) if s.slug_first else F.coalesce(F.nullif(title, F.lit("")), F.when(good, slug))).otherwise(title)
+        if s.drop_title:
+            title = F.when(own, F.trim(F.regexp_replace(title, f"(?iu){s.drop_title}", ""))).otherwise(title)
+    cards = cards.where("has_needed").withColumn("title", clean_board_title(title))
     base = F.regexp_replace(F.regexp_replace("base", "#.*$", ""), "/+$", "")
-    url = F.concat(base, F.lit("/#" if s.join_slash else "#"), slugify(F.col("title")))
-    if s.link:
-        address = F.regexp_replace("href", "#.*$" if s.keep_query else "[?#].*$", "")
-        url = F.coalesce(address, url) if s is SITES["wix"] else address
-    out = cards.where("has_needed").withColumn("title", title).withColumn("url", url).where(F.col("url").isNotNull() & F.length("title").between(3, s.longest))
-    out = out.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("card"))).where("n = 1")
+    fragment = F.concat(base, F.when(of(lambda s: s.join_slash), "/#").otherwise("#"), slugify(F.col("title")))
+    address = F.when(of(lambda s: s.keep_query), F.regexp_replace("href", "#.*$", "")).otherwise(F.regexp_replace("href", "[?#].*$", ""))
+    url = F.when(of(lambda s: s.link is None), fragment).when(of(lambda s: s.link_optional), F.coalesce(address, fragment)).otherwise(address)
+    longest = F.lit(120)
+    for length in {s.longest for s in sites.values()}:
+        longest = F.when(of(lambda s, n=length: s.longest == n), length).otherwise(longest)
+    out = cards.withColumn("url", url).where(F.col("url").isNotNull() & (F.length("title") >= 3) & (F.length("title") <= longest))
+    out = out.withColumn("n", F.row_number().over(Window.partitionBy("site", "page_id", "url").orderBy("card"))).where("n = 1")
     posted = parse_french_date(F.regexp_replace("posted", r"(?iu)^publi[ée]\s*", ""), F.lit(as_of).cast("timestamp"))
-    return out.select("page_id", "url", "title", "location", map_employment_type(F.col("kind")).alias("employmentType"), posted.alias("postedAt"))
+    location = F.nullif(F.when(of(lambda s: s.joined_places), F.col("places")).otherwise(F.col("place")), F.lit(""))
+    return out.select("site", "page_id", "url", "title", location.alias("location"), map_employment_type(F.col("kind")).alias("employmentType"), posted.alias("postedAt"))
+
+
+def parse_cards(pages: DataFrame, site: Site | str, as_of=None) -> DataFrame:
+    """parse_sites of pages (page_id, url, html) of one site, by its name or settings."""
+    name = site if isinstance(site, str) else "own"
+    return parse_sites(pages.select("page_id", F.lit(name).alias("site"), "url", "html"), {name: SITES[site] if isinstance(site, str) else site}, as_of).drop("site")
 
 
 def parse_all(pages: DataFrame, as_of=None) -> DataFrame:
-    """parse_cards of every page (page_id, site, url, html) by its site's settings."""
-    return reduce(DataFrame.unionByName, [parse_cards(pages.where(F.col("site") == name), name, as_of).withColumn("site", F.lit(name)) for name in SITES])
+    """parse_sites of pages (page_id, site, url, html) of all known sites."""
+    return parse_sites(pages, SITES, as_of)
 
 
 def item_list(pages: DataFrame) -> DataFrame:
