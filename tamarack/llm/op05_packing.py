@@ -35,7 +35,7 @@ _READY: dict[str, Joined] = {}
 
 
 #: Bytes that remembered stretches may take, and characters that are encoded as one text.
-MEMORY, TOGETHER = 192 << 20, 1 << 14
+MEMORY, TOGETHER = 144 << 20, 1 << 14
 
 
 def _encoder(path: str) -> Joined:

@@ -45,17 +45,18 @@ class Memory(dict):
 
     def learn(self, wanted: set, compute: Callable[[list], list]) -> None:
         """Makes wanted readable until the next call."""
-        new = sorted(wanted - self.keys())
-        self.once = dict(zip(new, compute(new), strict=True)) if new else {}
-        short = {k: v for k, v in self.once.items() if len(k) <= self.LONGEST}
-        added = sum(self._cost(k, v) for k, v in short.items())
+        new = list(wanted.difference(self))
+        values = compute(new) if new else []
+        self.once = dict(zip(new, values, strict=True))
+        short = self.once if max(map(len, new), default=0) <= self.LONGEST else {k: v for k, v in self.once.items() if len(k) <= self.LONGEST}
+        added = self.ENTRY * len(short) + sum(map(len, short)) + (sum(map(len, short.values())) if values and isinstance(values[0], bytes) else 0)
         if self.size + added > self.limit:
             for k in sorted(self.keys() - wanted, key=len)[len(self) // 2 :]:
                 self.size -= self._cost(k, self.pop(k))
         if self.size + added <= self.limit:
             self.update(short)
             self.size += added
-            self.once = {k: v for k, v in self.once.items() if k not in short}
+            self.once = {} if short is self.once else {k: v for k, v in self.once.items() if k not in short}
 
 
 class Joined:
