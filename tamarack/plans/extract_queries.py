@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarack.functions import rules as R
+from tamarack.functions.urls import resolve_url
 from tamarack.operators.extract import feeds, pages, payloads
 from tamarack.plans.base import query, sql_first_match, stamp
 from tamarack.plans.rule_queries import TYPES, dealt, sql_dealt
@@ -38,6 +39,21 @@ def links_in_navigation(spark, sf_dir):
     return links.join(held("nav", "a", "navigation"), "page_id", "left").join(held("article", "p", "paragraphs"), "page_id", "left").select("page_id", F.coalesce("navigation", F.lit(0)).alias("navigation"), "links", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"))
 
 
+_SITE, _DIR = "regexp_extract(url, '^[a-z]+://[^/?#]*')", "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '')"
+
+
+@query(
+    "resolved_links",
+    f"SELECT page_id, {_SITE} || href AS absolute, {_SITE} || {_DIR} || substr(href, 2) AS relative, {_SITE} || '/up' AS up FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)",
+    views=False,
+)
+def resolved_links(spark, sf_dir):
+    """Each link of each page as it is, as a reference beside the page, and as one that climbs beyond the root."""
+    links = pages.page_elements(read(spark, sf_dir, "pages"), frozenset("a"))
+    to = lambda href: resolve_url(F.col("base"), href)
+    return links.select("page_id", to(F.col("raw_href")).alias("absolute"), to(F.concat(F.lit("."), "raw_href")).alias("relative"), to(F.lit("../../../x/../up")).alias("up"))
+
+
 @query("parse_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", views=False)
 def parse_json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

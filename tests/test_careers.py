@@ -125,3 +125,24 @@ def test_a_repeated_page_gives_its_postings_once_each(spark):
     page = (1, "https://e/", '<script type="application/ld+json">{"@type":"JobPosting","title":"T","hiringOrganization":{"name":"C"}}</script>')
     made = spark.createDataFrame([page, page, page], "page_id long, url string, html string")
     assert P.parse_json_ld(made).count() == 3
+
+
+def test_configured_sources(spark):
+    from tamarack.operators.extract import configured as C
+
+    sources = C.configured_sources(spark)
+    assert sources.count() == 13 and sources.select("id").distinct().count() == 13
+    by_route = sources.where("address like 'http%'").where(P.route(F.col("address"), F.col("method")) != F.when(F.col("method") == "avature", "generic").otherwise(F.col("method")))
+    assert by_route.count() == 0
+    own = "<a href='/emploi-soudeur'>Soudeur</a><a href='/emploi-x'>Postuler</a><a href='/offre/grutier-2'>Grutier</a>"
+    made = spark.createDataFrame([(1, "leqel", "https://www.leqel.ca/carriere/", own), (2, "refrabec", "https://refrabec.qc.ca/carrieres/", own), (3, "ebc", "https://ebcinc.com/", own)], "page_id long, source_id string, url string, html string")
+    found = sorted((r.source_id, r.strategy, r.title) for r in C.generic_postings(made, sources).collect())
+    assert [f for f in found if f[2] != "X"] == [("leqel", "pattern", "Soudeur"), ("refrabec", "links", "Grutier"), ("refrabec", "links", "Soudeur")]
+
+
+def test_stefetmax(spark):
+    from tamarack.operators.extract import cards
+
+    html = "<h3>Soudeur monteur.</h3><h3>Les postes suivants</h3><h3>FAQ</h3><h3>" + "Opérateur " * 8 + "</h3><h3>Soudeur monteur</h3><h2>Grutier</h2>"
+    made = spark.createDataFrame([(1, "https://stefetmax.com/carrieres#x", html)], "page_id long, url string, html string")
+    assert [(r.url, r.title) for r in cards.parse_cards(made, "stefetmax").collect()] == [("https://stefetmax.com/carrieres#soudeur-monteur", "Soudeur monteur")]
