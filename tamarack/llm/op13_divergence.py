@@ -43,9 +43,9 @@ def grouped_texts(docs: DataFrame) -> DataFrame:
 
 
 def bloom_filter(chunks: DataFrame):
-    """A broadcast filter of the column `chunk`: its words of 64 bits, of which the driver sees MOST_BITS / 64 at most."""
+    """A broadcast filter of the columns `lang` and `chunk`: its words of 64 bits, of which the driver sees MOST_BITS / 64 at most."""
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_A_CHUNK * chunks.count()).bit_length()))
-    places = F.array(*[F.shiftrightunsigned(F.xxhash64("chunk"), n).bitwiseAND(F.lit(bits - 1)) for n in SHIFTS])
+    places = F.array(*[F.shiftrightunsigned(F.xxhash64(F.concat("lang", F.lit("\0"), "chunk")), n).bitwiseAND(F.lit(bits - 1)) for n in SHIFTS])
     place = chunks.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("word"), F.col("place").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
     found = place.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
@@ -53,9 +53,10 @@ def bloom_filter(chunks: DataFrame):
     return chunks.sparkSession.sparkContext.broadcast(words)
 
 
-def passing(words: np.ndarray, chunks: list[bytes]) -> list[bytes]:
-    """The chunks that the filter lets through, in their order."""
-    digests = np.fromiter((xxhash.xxh64_intdigest(c, 42) for c in chunks), np.uint64, len(chunks))
+def passing(words: np.ndarray, lang: str, chunks: list[bytes]) -> list[bytes]:
+    """The chunks of a language that the filter lets through, in their order."""
+    before = lang.encode() + b"\0"
+    digests = np.fromiter((xxhash.xxh64_intdigest(before + c, 42) for c in chunks), np.uint64, len(chunks))
     through = np.ones(len(chunks), bool)
     for n in SHIFTS:
         place = (digests >> np.uint64(n)) & np.uint64(len(words) * 64 - 1)
@@ -64,12 +65,12 @@ def passing(words: np.ndarray, chunks: list[bytes]) -> list[bytes]:
 
 
 def chunk_counts(docs: DataFrame, by: list[str], once: bool, wanted=None) -> DataFrame:
-    """Columns `by`, chunk, n: occurrences, or documents if `once`, of the chunks that `wanted` (a Bloom filter) lets through."""
+    """Columns `by` (the first is lang), chunk, n: occurrences, or documents if `once`, of the chunks that `wanted` (a Bloom filter) lets through."""
 
     def rows(groups: dict[tuple, Counter]) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in [*by, "chunk", "n"]]
         for key, times in groups.items():
-            chunks = list(times) if wanted is None else passing(wanted.value, list(times))
+            chunks = list(times) if wanted is None else passing(wanted.value, key[0], list(times))
             for column, values in zip(columns, [*[[k] * len(chunks) for k in key], chunks, map(times.__getitem__, chunks)], strict=True):
                 column.extend(values)
         *keys, chunk, n = columns
@@ -94,9 +95,10 @@ def chunk_counts(docs: DataFrame, by: list[str], once: bool, wanted=None) -> Dat
 def tokenized(docs: DataFrame) -> DataFrame:
     """lang, chunk, n_docs, term, times of each chunk of each language. All rows of a chunk meet in one place, where it is tokenized once."""
     counts = chunk_counts(docs, ["lang"], once=True).repartition("chunk").groupBy("chunk", "lang").agg(F.sum("n").alias("n_docs"))  # a task hands on a chunk once or twice, so sums before the shuffle would save nothing
+    once = counts.groupBy("chunk").agg(F.collect_list(F.struct("lang", "n_docs")).alias("langs"))  # as many as there are languages
     terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0)
-    once = counts.select("chunk").distinct().select("chunk", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"))
-    return counts.hint("shuffle_hash").join(once, "chunk").select("lang", "chunk", "n_docs", "term", "times")
+    held = once.select("chunk", "langs", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"), F.first("langs").alias("langs"))
+    return held.select(F.explode("langs").alias("of"), "chunk", "term", "times").select("of.lang", "chunk", "of.n_docs", "term", "times")
 
 
 def exact_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,11 +107,11 @@ def exact_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def kernel(batches):
         for batch in slices(batches):
-            held = [set(text.encode().split()) for text in batch["text"].to_pylist()]
-            through = set(passing(sent.value, list(set().union(*held))))
+            held, langs = [set(text.encode().split()) for text in batch["text"].to_pylist()], batch["lang"].to_pylist()
+            through = {lang: set(passing(sent.value, lang, list(set().union(*(own for own, x in zip(held, langs, strict=True) if x == lang))))) for lang in set(langs)}
             rows, chunks = [], []
-            for k, own in enumerate(held):
-                found = own & through
+            for k, (own, lang) in enumerate(zip(held, langs, strict=True)):
+                found = own & through[lang]
                 rows += [k] * len(found)
                 chunks += found
             picked = pa.array(rows, pa.int64())
