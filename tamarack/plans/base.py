@@ -39,6 +39,12 @@ def query(name: str, sql: str | None = None, views: bool = True):
     return add
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """A double rounded as the SQL does: the product with the power of ten is rounded, half away from zero (round() itself rounds the shortest decimal form, so 143238.895 goes another way)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def stamp(c: Column | str) -> Column:
     """A time as text, the same in both engines."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import search as S
 from tamarack.operators.rollups import facet_cut, top
-from tamarack.plans.base import ANNUAL, DAYS, NOW, query, sql_norm, sql_stamp, stamp
+from tamarack.plans.base import ANNUAL, DAYS, NOW, query, rounded, sql_norm, sql_stamp, stamp
 from tamarack.sources.adapters import job, orders_now
 
 RECENT = 'coalesce("postedAt", "scrapedAt") DESC NULLS LAST, id'
 
 
 def _show(df):
-    return df.select("id", "title", "company", "regionId", F.round(S.annual(), 2).alias("annual"), stamp("postedAt").alias("posted"))
+    return df.select("id", "title", "company", "regionId", rounded(S.annual(), 2).alias("annual"), stamp("postedAt").alias("posted"))
 
 
 SHOW = f'id, title, company, "regionId", round({ANNUAL}, 2) AS annual, {sql_stamp(chr(34) + "postedAt" + chr(34))} AS posted'
@@ -76,7 +76,7 @@ def relevance_topk(spark, sf_dir):
     now = orders_now()
     q = S.JobQuery(q="Réd  Widget", sort="relevance", page_size=50)
     rows = job(spark, sf_dir).where(S.matches(S.JobQuery(q=q.q), now)).withColumn("score", S.relevance("Réd Widget", now))
-    return rows.orderBy(F.col("score").desc(), "id").limit(q.page_size).select("id", "title", F.round("score", 6).alias("score"))
+    return rows.orderBy(F.col("score").desc(), "id").limit(q.page_size).select("id", "title", rounded("score", 6).alias("score"))
 
 
 _HAY = sql_norm("concat_ws(' ', title, company, description, array_to_string(tags, ' '))")
@@ -108,7 +108,7 @@ def city_any(spark, sf_dir):
 
 @query("salary_min", f"""SELECT id, round({ANNUAL}, 2) AS annual FROM job WHERE {ANNUAL} >= 300000""")
 def salary_min(spark, sf_dir):
-    return job(spark, sf_dir).where(S.matches(S.JobQuery(salary_min=300000), orders_now())).select("id", F.round(S.annual(), 2).alias("annual"))
+    return job(spark, sf_dir).where(S.matches(S.JobQuery(salary_min=300000), orders_now())).select("id", rounded(S.annual(), 2).alias("annual"))
 
 
 @query("posted_within", f"""SELECT days, count(*) AS n FROM job, (VALUES (1), (7), (14), (30), (365)) t(days) WHERE {DAYS} <= days GROUP BY days""")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tamarack import registry
+from tamarack.plans.base import rounded
 
 registry.load()
 SMALL = "/root/testdata/sf0.001"
@@ -24,3 +25,11 @@ def same_as_sql(spark, folder, name, tables):
 def test_headings_with_cut_references(spark, tmp_path, heading):
     spark.createDataFrame([(1, "http://a/b", f"<html><body><h1>{heading}</h1><p>t</p></body></html>")], "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
     same_as_sql(spark, tmp_path, "extract_headings", ["pages"])
+
+
+def test_amounts_are_rounded_as_in_sql(spark):
+    values = [143238.895, 139573.395, 142076.955, 2387.615, 9903.005, 1.005, -2.675, 0.125, 100.0, 12345678.115]
+    wanted = [duckdb.execute(f"SELECT round({v!r}::DOUBLE, 2)").fetchall()[0][0] for v in values]
+    got = [r.v for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(rounded("v", 2).alias("v")).collect()]
+    assert got == wanted
+    assert [r.v for r in spark.createDataFrame([(None,)], "v double").select(rounded("v", 2).alias("v")).collect()] == [None]
