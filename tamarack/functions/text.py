@@ -30,8 +30,10 @@ def unaccent(s: Column) -> Column:
 
 
 def norm(s: Column) -> Column:
-    """What searches compare: lower case, œ and æ spelled out, no marks."""
-    return unaccent(F.replace(F.replace(F.lower(s), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")))
+    """What searches compare: lower case, œ and æ spelled out, no marks. Plain ASCII has neither, and only changes its case."""
+    low = F.lower(s)
+    folded = unaccent(F.replace(F.replace(low, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(folded)
 
 
 def trim(s: Column) -> Column:

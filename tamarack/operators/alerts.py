@@ -9,15 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.dates import days_since
-from tamarack.functions.text import escape_html, norm, words
+from tamarack.functions.text import SPACE, escape_html, norm, words
+from tamarack.operators.extract.pages import read_once
 from tamarack.operators.search import annual, haystack
 from tamarack.taxonomy import label
 
 DIGEST = 30
-#: Alerts without a list to be joined by are broadcast up to so many; beyond, they meet the postings in slices of this size.
+#: Up to so many alerts of any kind meet the postings in one pass.
+FEW = 256
+#: Alerts of one kind are broadcast up to so many; beyond, those without a list to be joined by meet the postings in slices of this size.
 SLICE = 20_000
-#: Numbers to which three-letter stretches are hashed.
-BUCKETS = 1 << 16
+#: Numbers to which words are hashed.
+BUCKETS = 1 << 20
+#: Lengths of the stretches by which words are found in longer ones.
+STRETCHES = (3, 6, 12, 24)
 #: Lists of an alert by which it can be joined, the most selective first, and the postings' columns.
 INDEXED = {"sources": "sourceId", "categories": "categoryId", "regions": "regionId", "employmentTypes": "employmentType", "remote": "remote"}
 
@@ -26,79 +31,107 @@ def _any(column: str, wanted: Column) -> Column:
     return wanted.isNull() | (F.size(wanted) == 0) | F.coalesce(F.array_contains(wanted, F.col(column)), F.lit(False))
 
 
+def _folded(alerts: DataFrame) -> DataFrame:
+    """alerts with the texts of column `query` folded, once for each alert: q_words, q_company, q_cities."""
+    return alerts.withColumns({"q_words": words("query.q"), "q_company": norm(F.col("query.company")), "q_cities": F.transform("query.cities", norm)})
+
+
 def alert_predicate(as_of: Column) -> Column:
-    """Whether a posting fits the alert in column `query`; absent parameters fit all."""
+    """Whether a posting fits the alert in column `query`, whose texts `_folded` has prepared; absent parameters fit all."""
     q = lambda name: F.col(f"query.{name}")
-    text = q("q").isNull() | F.forall(words(q("q")), lambda w: F.contains(F.col("hay"), w))
-    company = q("company").isNull() | F.contains(F.col("company_folded"), norm(q("company")))
-    cities = q("cities").isNull() | (F.size(q("cities")) == 0) | F.exists(q("cities"), lambda c: F.contains(F.col("city_folded"), norm(c)))
+    text = q("q").isNull() | F.forall("q_words", lambda w: F.contains(F.col("hay"), w))
+    company = q("company").isNull() | F.contains(F.col("company_folded"), F.col("q_company"))
+    cities = q("cities").isNull() | (F.size(q("cities")) == 0) | F.exists("q_cities", lambda c: F.contains(F.col("city_folded"), c))
     languages = q("languages").isNull() | (F.size(q("languages")) == 0) | F.coalesce(F.arrays_overlap("languages", q("languages")), F.lit(False))
     salary = q("salaryMin").isNull() | F.coalesce(F.col("annual") >= q("salaryMin"), F.lit(False))
     fresh = q("postedWithinDays").isNull() | F.coalesce(days_since(F.col("postedAt"), as_of) <= q("postedWithinDays"), F.lit(False))
     lists = _any("regionId", q("regions")) & _any("categoryId", q("categories")) & _any("employmentType", q("employmentTypes")) & _any("remote", q("remote")) & _any("sourceId", q("sources"))
-    return lists & text & company & cities & languages & salary & fresh
+    return lists & salary & fresh & languages & text & company & cities
 
 
 def oldest_cutoff(alerts: DataFrame, as_of: Column) -> DataFrame:
     return alerts.agg(F.least(F.coalesce(F.min("last_notified_at"), as_of), as_of).alias("oldest"))
 
 
-def _grams(text: Column) -> Column:
-    """The distinct three-letter stretches of a text; none of a shorter one."""
-    n = F.length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column, size: int | Column) -> Column:
+    """The distinct stretches of a text of so many characters; none of a shorter one."""
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
 
+def _long_words(text: Column) -> Column:
+    return F.filter(F.coalesce(words(text), F.array().cast("array<string>")), lambda w: F.length(w) >= STRETCHES[0])
 
-def _by_grams(prepared: DataFrame, alerts: DataFrame, fits: Column) -> DataFrame:
-    """Alerts that must find a text of three letters or more in a posting, by an inverted index: each stands under the rarest three-letter stretch that its words and company have (or under one for each of its cities, any of which may be found), and
-    meets the postings that have it. How rare a stretch is, is counted over the postings given; stretches that no alert has are held back by a broadcast set of at most BUCKETS numbers, before anything is shuffled."""
+
+def _by_words(prepared: DataFrame, alerts: DataFrame, fits: Column) -> DataFrame:
+    """Alerts that must find a word of three letters or more in a posting: each stands under the one of its words (of its texts and company, or of each of its cities, any of which may be found) that the fewest postings have, and meets these alone.
+
+    A word lies within one of the words of a posting, so it is looked up among the distinct words of all postings, not in every posting: it is sent to the words that have its rarest stretch of 3, 6, 12 or 24 characters (the longest that it
+    has), and kept where it lies in them. So work grows with the postings' words and with the matches of the rarest words, not with alerts times postings. Words of postings that no alert needs are held back by a broadcast set of at most BUCKETS numbers."""
     q = lambda name: F.col(f"query.{name}")
-    must = F.filter(F.concat(F.coalesce(words(q("q")), F.array().cast("array<string>")), F.when(q("company").isNotNull(), F.array(norm(q("company")))).otherwise(F.array().cast("array<string>"))), lambda w: F.length(w) >= 3)
-    needles = F.when(F.size(must) > 0, F.array(F.flatten(F.transform(must, _grams)))).otherwise(F.transform(q("cities"), lambda c: _grams(norm(c))))
-    listed = alerts.select("*", F.posexplode(needles).alias("needle", "grams"))
-    bucket = lambda gram: F.pmod(F.xxhash64(gram), F.lit(BUCKETS))
-    wanted = F.broadcast(listed.select(F.explode("grams").alias("gram")).select(bucket(F.col("gram")).alias("bucket")).distinct())  # BUCKETS numbers at most
-    postings = prepared.withColumn("found_in", F.concat_ws("\x01", "hay", "city_folded"))
-    held = postings.select(F.explode(_grams(F.col("found_in"))).alias("gram")).withColumn("bucket", bucket(F.col("gram"))).join(wanted, "bucket", "left_semi")
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    rare = listed.select("alert_id", "needle", F.explode("grams").alias("gram")).join(counts, "gram", "left").groupBy("alert_id", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    keys = alerts.join(rare.groupBy("alert_id").agg(F.sort_array(F.collect_set("gram")).alias("keys")), "alert_id")  # as many as an alert has cities
-    own = keys.select("*", F.explode("keys").alias("gram"))
-    used = F.broadcast(own.select(bucket(F.col("gram")).alias("bucket")).distinct())  # the same bound
-    under = postings.select("*", F.explode(_grams(F.col("found_in"))).alias("gram")).withColumn("bucket", bucket(F.col("gram"))).join(used, "bucket", "left_semi").drop("bucket")
-    once = F.col("gram") == F.element_at(F.filter("keys", lambda g: F.contains(F.col("found_in"), g)), 1)  # a posting with several of an alert's cities counts once
-    return under.join(own, "gram").where(once & fits).drop("gram", "keys", "found_in")
+    must = F.concat(_long_words(q("q")), _long_words(q("company")))
+    needles = F.when(F.size(must) > 0, F.array(must)).otherwise(F.transform(q("cities"), _long_words))
+    listed = alerts.select("alert_id", F.posexplode(needles).alias("needle", "words")).select("alert_id", "needle", F.explode(F.array_distinct("words")).alias("word"))
+    has = F.array_distinct(F.filter(F.split(F.concat_ws(" ", "hay", "city_folded"), f"{SPACE}+"), lambda w: F.length(w) >= STRETCHES[0]))
+    postings = prepared.withColumn("has", has)
+
+    known = postings.select(F.explode("has").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    known = read_once(known).select("token", "n", F.explode(F.concat(*[_grams(F.col("token"), size) for size in STRETCHES])).alias("gram"))
+    size = F.element_at(F.filter(F.array(*map(F.lit, STRETCHES)), lambda x: x <= F.length("word")), -1)
+    wanted = listed.select("word").distinct().select("word", F.explode(_grams(F.col("word"), size)).alias("gram"))
+    held = read_once(known.join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("tokens"))
+    rare = wanted.join(counts, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), "gram"))["gram"].alias("gram"))
+    pairs = read_once(rare.join(held, "gram").where(F.contains("token", F.col("word"))).select("word", "token", "n"))
+
+    frequency = pairs.groupBy("word").agg(F.sum("n").alias("n"))
+    chosen = listed.join(frequency, "word", "left").groupBy("alert_id", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
+    keys = read_once(chosen.groupBy("alert_id").agg(F.sort_array(F.collect_set("word")).alias("keys")))  # as many as an alert has cities
+    own = alerts.join(keys, "alert_id").select("*", F.explode("keys").alias("word"))
+    pairs = pairs.select("word", "token").join(keys.select(F.explode("keys").alias("word")).distinct(), "word", "left_semi")
+    bucket = F.pmod(F.xxhash64("token"), F.lit(BUCKETS))
+    used = F.broadcast(pairs.select(bucket.alias("bucket")).distinct())  # BUCKETS numbers at most
+    under = postings.select("*", F.explode("has").alias("token")).withColumn("bucket", bucket).join(used, "bucket", "left_semi").drop("bucket")
+    # a posting that has a word in several of its own, or several of an alert's cities, counts once
+    met = under.join(pairs, "token").where(F.col("token") == F.element_at(F.filter("has", lambda t: F.contains(t, F.col("word"))), 1)).drop("token")
+    once = F.col("word") == F.element_at(F.filter("keys", lambda w: F.exists("has", lambda t: F.contains(t, w))), 1)
+    return met.join(own, "word").where(once & fits).drop("word", "keys", "has")
 
 
 def match_alerts(jobs: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame:
     """(alert_id, job columns) of postings created after an alert's cut-off that fit it.
 
-    The oldest cut-off of all alerts is a literal that prunes the scan of postings; the folded texts of a posting are computed
-    once, not for each alert. An alert that names sources, categories, regions, contracts or modes of work stands under each value of the first of these lists, and meets
-    only postings of that value, by an equi-join; the rest of its predicate is tested there. Alerts of words, companies or places alone are found by three-letter stretches (`_by_grams`). What is left, alerts of languages, pay, age or
-    of shorter words alone, fits a large part of the postings: these alerts are sent to the postings' tasks, in slices whose size is bounded."""
+    The oldest cut-off of all alerts is a literal that prunes the scan of postings; the folded texts of a posting are computed once, not for each alert. Up to FEW alerts of any kinds are sent to the postings' tasks, which pass over the postings once.
+
+    Of more, an alert that names sources, categories, regions, contracts or modes of work stands under each value of the first of these lists, and meets only postings of that value, by an equi-join; the rest of its predicate is tested there.
+    Alerts of words, companies or places alone are found by words (`_by_words`). What is left, alerts of languages, pay, age or of shorter words alone, fits a large part of the postings: these alerts are sent to the postings' tasks, in slices
+    whose size is bounded."""
     has = lambda n: F.coalesce(F.size(f"query.{n}"), F.lit(0)) > 0
-    needle = F.exists(F.concat(F.coalesce(words("query.q"), F.array().cast("array<string>")), F.array(F.coalesce(norm(F.col("query.company")), F.lit("")))), lambda w: F.length(w) >= 3)
-    towns = has("cities") & F.forall("query.cities", lambda c: F.length(norm(c)) >= 3)
+    needle = (F.size(_long_words(F.col("query.q"))) > 0) | (F.size(_long_words(F.col("query.company"))) > 0)
+    towns = has("cities") & F.forall("query.cities", lambda c: F.size(_long_words(c)) > 0)
     index = F.coalesce(*[F.when(has(n), F.lit(n)) for n in INDEXED], F.when(needle | towns, F.lit("text")))
-    a = alerts.select(F.col("id").alias("alert_id"), "query", F.coalesce("last_notified_at", "created_at").alias("cutoff"), index.alias("by"))
+    a = _folded(alerts.select(F.col("id").alias("alert_id"), "query", F.coalesce("last_notified_at", "created_at").alias("cutoff"), index.alias("by")))
     kinds = {r["by"]: r for r in a.groupBy("by").agg(F.count("*").alias("n"), F.min("cutoff").alias("oldest")).collect()}  # one row for each list, and one without
     oldest = min((r["oldest"] for r in kinds.values() if r["oldest"] is not None), default=None)
     fresh = jobs.where(F.col("createdAt") > F.lit(oldest)) if oldest is not None else jobs.limit(0)
     prepared = fresh.withColumns({"hay": haystack(), "company_folded": norm(F.col("company")), "city_folded": F.coalesce(norm(F.col("city")), F.lit("")), "annual": annual()})
     fits = (F.col("createdAt") > F.col("cutoff")) & alert_predicate(as_of)
     parts = []
+    if 0 < sum(r["n"] for r in kinds.values()) <= FEW:
+        parts, kinds = [prepared.join(F.broadcast(a), fits)], {}
     for name in (n for n in INDEXED if n in kinds):
         own = a.where(F.col("by") == name).select("*", F.explode(F.array_distinct(f"query.{name}")).alias("value"))
+        own = F.broadcast(own) if kinds[name]["n"] <= SLICE else own
         parts.append(prepared.join(own, (F.col(INDEXED[name]) == F.col("value")) & fits).drop("value"))
     if "text" in kinds:
-        parts.append(_by_grams(prepared, a.where(F.col("by") == "text"), fits))
+        parts.append(_by_words(prepared, a.where(F.col("by") == "text"), fits))
     pieces = -(-kinds[None]["n"] // SLICE) if None in kinds else 0
     for k in range(pieces):
         own = a.where(F.col("by").isNull() & (F.pmod(F.xxhash64("alert_id"), F.lit(pieces)) == k))
         parts.append(prepared.join(F.broadcast(own), fits))  # SLICE alerts or few more
     parts = parts or [prepared.join(a, F.lit(False))]
-    return reduce(DataFrame.unionByName, parts).drop("hay", "company_folded", "city_folded", "query", "cutoff", "by")
+    return reduce(DataFrame.unionByName, parts).drop("hay", "company_folded", "city_folded", "query", "cutoff", "by", "q_words", "q_company", "q_cities")
 
 
 def describe(source_name: Callable[[Column], Column] | None = None) -> Column:

@@ -45,3 +45,62 @@ def test_run_counts_by_whole_seconds(spark, tmp_path):
     for t in tables:
         (tmp_path / f"{t}.parquet").symlink_to(f"{SMALL}/{t}.parquet")
     same_as_sql(spark, tmp_path, "stream_run_counts", ["events", *tables])
+
+
+_JOB = "id string, title string, company string, description string, tags array<string>, city string, regionId string, categoryId string, employmentType string, remote string, sourceId string, languages array<string>, salaryMin double, salaryMax double, salaryPeriod string, postedAt timestamp, createdAt timestamp, scrapedAt timestamp"
+
+
+def _alerts(spark, given):
+    from datetime import datetime
+
+    from tamarack.plans.ingest_queries import _ALERT_KIND
+
+    names = ["q", "company", "regions", "cities", "categories", "employmentTypes", "remote", "sources", "languages", "salaryMin", "postedWithinDays"]
+    return spark.createDataFrame([(k, "u", "", tuple(q.get(n) for n in names), datetime(2020, 1, 1), None) for k, q in given.items()], _ALERT_KIND)
+
+
+def _jobs(spark, rows):
+    from datetime import datetime
+
+    day = datetime(2020, 2, 1)
+    return spark.createDataFrame([(str(k), title, company, None, ["jour"], city, region, None, None, None, "s1" if k % 2 else None, ["fr"], None, None, None, day, day, day) for k, (title, company, city, region) in enumerate(rows)], _JOB)
+
+
+def test_names_alike_meet_only_their_own_postings(spark):
+    """The fault was one key for all names with a common three-letter stretch: candidates grew with alerts times postings."""
+    from pyspark.sql import functions as F
+
+    from tamarack.functions.text import norm
+    from tamarack.operators import alerts as A
+
+    names = [f"Customer#{k:09d}" for k in range(0, 60_000, 100)]
+    jobs = _jobs(spark, [("Soudeur", n, "Laval", None) for n in names])
+    prepared = jobs.withColumns({"hay": A.haystack(), "company_folded": norm(F.col("company")), "city_folded": norm(F.col("city"))})
+    alerts = A._folded(_alerts(spark, {n: {"q" if k % 2 else "company": n} for k, n in enumerate(names)}).select(F.col("id").alias("alert_id"), "query"))
+    met = A._by_words(prepared, alerts, F.lit(True)).select("alert_id", "company").collect()
+    assert len(met) == len(names) and all(r.alert_id == r.company for r in met)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_alerts_match_by_index_as_in_one_pass(spark, monkeypatch, few):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from tamarack.operators import alerts as A
+
+    fold = lambda x: "".join(c for c in unicodedata.normalize("NFD", (x or "").lower()) if not unicodedata.combining(c))
+    monkeypatch.setattr(A, "FEW", few), monkeypatch.setattr(A, "SLICE", 2), monkeypatch.setattr(A, "BUCKETS", 8)
+    posted = [("Soudeur à Québec", "Acme Béton", "Laval", "r1"), ("Peintre peintre peintres", "Béton Acme inc", "Saint-Jérôme", "r2"), (None, None, None, None), ("x" * 40, "A B C", "Laval", "r1"), ("contremaîtresse-soudeuse", "Zut", "Val David", "r3"), ("ab", "zz", "Saint-Laval", "r2")]
+    given = {"a": {"q": "soud"}, "b": {"company": "acme béton"}, "c": {"company": "a b c"}, "d": {"q": "peintre"}, "e": {"cities": ["laval", "saint", "val"]}, "f": {"cities": ["la"]}, "g": {"q": "x" * 30}, "h": {"q": "x" * 41}, "i": {"q": ""}, "j": {}, "k": {"regions": ["r1", "r1", "r2"]}, "l": {"regions": ["r3"], "q": "soudeuse"}, "m": {"q": "contremaitresse sou"}, "n": {"cities": ["saint-l", "erome"], "q": "a"}, "o": {"company": "ton ac"}, "p": {"sources": ["s1"], "company": "béton"}}
+    want = set()
+    for k, q in given.items():
+        for i, (title, company, city, region) in enumerate(posted):
+            hay = " ".join(fold(x) for x in (title, company, "jour") if x is not None)
+            fits = all(w in hay for w in fold(q.get("q")).split()) and (q.get("company") is None or company is not None and fold(q["company"]) in fold(company)) and (not q.get("cities") or any(fold(c) in fold(city) for c in q["cities"]))
+            if fits and (not q.get("regions") or region in q["regions"]) and (not q.get("sources") or i % 2):
+                want.add((k, str(i)))
+    from datetime import datetime
+
+    rows = [tuple(r) for r in A.match_alerts(_jobs(spark, posted), _alerts(spark, given), F.lit(datetime(2020, 3, 1))).select("alert_id", "id").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
