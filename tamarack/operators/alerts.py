@@ -23,6 +23,8 @@ SLICE = 20_000
 BUCKETS = 1 << 20
 #: Lengths of the stretches by which words are found in longer ones.
 STRETCHES = (3, 6, 12, 24)
+#: Parts that an alert's matches are dealt to before its newest ones meet.
+PARTS = 256
 #: Lists of an alert by which it can be joined, the most selective first, and the postings' columns.
 INDEXED = {"sources": "sourceId", "categories": "categoryId", "regions": "regionId", "employmentTypes": "employmentType", "remote": "remote"}
 
@@ -161,13 +163,13 @@ def delete_alerts(alerts: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def newest_of_each(matches: DataFrame, k: int = DIGEST) -> DataFrame:
-    """The k newest matches of each alert, with the true total. A posting that beats no k others is dropped before its alert's rows meet."""
+    """The k newest matches of each alert, with the true total, from one reading of the matches. They are counted and cut in PARTS parts of an alert; only the k newest of each part meet."""
     newest = [F.coalesce("postedAt", "scrapedAt").desc_nulls_last(), F.col("id").asc()]
-    totals = matches.groupBy("alert_id").agg(F.count("*").alias("total"))
-    part = F.row_number().over(Window.partitionBy("alert_id", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy(*newest))
-    some = matches.withColumn("part_rank", part).where(F.col("part_rank") <= k).drop("part_rank")
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("alert_id").orderBy(*newest))).where(F.col("rank") <= k)
-    return ranked.join(totals, "alert_id")
+    part = Window.partitionBy("alert_id", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    some = matches.withColumns({"part_rank": F.row_number().over(part.orderBy(*newest)), "part_total": F.count("*").over(part)}).where(F.col("part_rank") <= k)
+    alert = Window.partitionBy("alert_id")
+    ranked = some.withColumns({"rank": F.row_number().over(alert.orderBy(*newest)), "total": F.sum(F.when(F.col("part_rank") == 1, F.col("part_total"))).over(alert)}).where(F.col("rank") <= k)
+    return ranked.select("alert_id", *[c for c in matches.columns if c != "alert_id"], "rank", "total")
 
 
 def advance(alerts: DataFrame, matches: DataFrame, sent: DataFrame) -> DataFrame:

@@ -104,3 +104,25 @@ def test_alerts_match_by_index_as_in_one_pass(spark, monkeypatch, few):
 
     rows = [tuple(r) for r in A.match_alerts(_jobs(spark, posted), _alerts(spark, given), F.lit(datetime(2020, 3, 1))).select("alert_id", "id").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_newest_matches_are_read_once(spark):
+    from datetime import datetime, timedelta
+
+    from tamarack.operators import alerts as A
+
+    day = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(a, f"{a}{k}", day + timedelta(hours=k * 7 % 500) if k % 9 else None, day + timedelta(hours=k)) for a, n in (("a", 700), ("b", 3), ("c", 30)) for k in range(n)], "alert_id string, id string, postedAt timestamp, scrapedAt timestamp")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = A.newest_of_each(rows.mapInArrow(count, rows.schema)).collect()
+    want = set()
+    for a in "abc":
+        own = sorted((r for r in rows.collect() if r.alert_id == a), key=lambda r: (-(r.postedAt or r.scrapedAt).timestamp(), r.id))
+        want |= {(a, r.id, k + 1, len(own)) for k, r in enumerate(own[:30])}
+    assert {(r.alert_id, r.id, r["rank"], r.total) for r in got} == want and len(got) == len(want) and seen.value == 733
