@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 #: The present of the order tables and of the event table.
 ORDERS_NOW, EVENTS_NOW = "2001-08-02 00:00:00", "2024-01-31 00:00:00"
 
+#: A task takes about so many rows where each is dear.
+ROWS_A_TASK = 20_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """rows dealt to as many tasks as they need, before work that is dear for each row: a narrow table has few row groups, and so few tasks, however many rows it has."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_a_task))
+    return rows.repartition(tasks)
+
+
 def orders_now():
     return F.lit(ORDERS_NOW).cast("timestamp")
 

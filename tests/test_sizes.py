@@ -126,3 +126,20 @@ def test_newest_matches_are_read_once(spark):
         own = sorted((r for r in rows.collect() if r.alert_id == a), key=lambda r: (-(r.postedAt or r.scrapedAt).timestamp(), r.id))
         want |= {(a, r.id, k + 1, len(own)) for k, r in enumerate(own[:30])}
     assert {(r.alert_id, r.id, r["rank"], r.total) for r in got} == want and len(got) == len(want) and seen.value == 733
+
+
+@pytest.mark.parametrize("name", ["no_openings", "career_cascade"])
+def test_pages_of_one_row_group_are_read_by_many_tasks(spark, tmp_path, name):
+    duckdb.execute(f"COPY (SELECT i AS c_custkey, 'c' AS c_name, 1 AS c_nationkey, 1.0 AS c_acctbal, 'm' AS c_mktsegment FROM range(60000) r(i)) TO '{tmp_path}/customer.parquet' (FORMAT parquet, ROW_GROUP_SIZE 100000)")
+    from tamarack.plans import extract_queries
+    from tamarack.sources import adapters
+
+    assert adapters.spread(spark.read.parquet(f"{tmp_path}/customer.parquet"), 5_000).rdd.getNumPartitions() == 12
+    if name == "no_openings":
+        found = extract_queries.no_openings(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() >= 3 and found.where("declared").count() == 12_000
+    else:
+        small = tmp_path / "small"
+        small.mkdir()
+        duckdb.execute(f"COPY (SELECT * FROM '{tmp_path}/customer.parquet' LIMIT 500) TO '{small}/customer.parquet'")
+        same_as_sql(spark, small, name, ["customer"])
