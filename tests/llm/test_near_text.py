@@ -89,3 +89,38 @@ def test_bands_of_long_texts_do_not_depend_on_the_cut():
 
     assert near_text.bands(grams[:50])[0] == xxhash.xxh64_intdigest(np.array(least, np.uint64).tobytes(), 0) - 2**63
     assert len(set(near_text.bands(grams))) == near_text.BANDS and near_text.bands(grams[:0]) == []
+
+
+def test_blocks_give_no_more_links_than_components(spark):
+    n = 120
+    grams = [np.unique(np.append(np.arange(100), 1000 + k)) for k in range(n)]  # all alike, none known to be connected
+    sets = spark.createDataFrame([(k, len(g), g.tolist()) for k, g in enumerate(grams)], "sid long, n long, grams array<long>")
+    left = spark.createDataFrame([(b, k, k if k < n - 2 else -1, k < n - 2, n, n - 2) for b in (1, 2) for k in range(n)], "band long, sid long, root long, outer boolean, members long, outers long")
+    edges = [(r.u, r.v) for r in near_text._in_blocks(left, sets).collect()]
+    assert len(edges) <= 2 * n  # one block a band; all pairs would be 7,139 each
+    root = list(range(n - 1)) + [n - 2]  # the last two are known to be connected
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for u, v in edges:
+        root[find(u)] = find(v)
+    assert len({find(k) for k in range(n)}) == 1
+
+
+def test_spanning_keeps_components():
+    rng = np.random.default_rng(3)
+    root = np.array([int(k) for k in rng.integers(0, 40, 80)])
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))]
+
+    def parts(links):
+        label = {r: r for r in root.tolist()}
+        for i, j in links:
+            a, b = label[int(root[i])], label[int(root[j])]
+            label = {r: b if x == a else x for r, x in label.items()}
+        return {frozenset(r for r in label if label[r] == x) for x in label.values()}
+
+    kept = near_text.spanning(pairs, root)
+    assert parts(kept) == parts(pairs) and len(kept) == len(set(root.tolist())) - len(parts(pairs)) and set(kept) <= set(pairs)
