@@ -38,8 +38,8 @@ _READY: dict[str, Joined] = {}
 MEMORY, TOGETHER = 144 << 20, 1 << 14
 
 
-def _encoder(path: str) -> Joined:
-    """Text → its ids as little-endian unsigned 32-bit bytes, by the tokenizers library."""
+def _encoder(path: str, memory: int = MEMORY) -> Joined:
+    """Text → its ids as little-endian unsigned 32-bit bytes, by the tokenizers library. `memory` bounds the remembered stretches from now on."""
     if path not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -76,15 +76,17 @@ def _encoder(path: str) -> Joined:
                     at = stop
             return out
 
-        _READY[path] = Joined(encode, encode, MEMORY, encode_stretches)
-    return _READY[path]
+        _READY[path] = Joined(encode, encode, memory, encode_stretches)
+    ready = _READY[path]
+    ready.heads.limit = ready.rest.limit = memory
+    return ready
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, memory: int = MEMORY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the spans of each document's ids."""
 
     def kernel(batches):
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, memory)
         for batch in slices(batches, 512, 2 << 20):
             out: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
@@ -178,5 +180,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROW
     return ranked.select(*columns, "bucket", "rank").mapInArrow(kernel, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **rules) -> DataFrame:
-    return pack(checkpointed(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id())), capacity, **rules)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, memory: int = MEMORY, **rules) -> DataFrame:
+    """The pieces of all documents with their places. A worker keeps at most `memory` bytes of remembered stretches: less costs time, never a result."""
+    return pack(checkpointed(pieces(docs, tokenizer, capacity, memory=memory).withColumn("row", F.monotonically_increasing_id())), capacity, **rules)

@@ -86,3 +86,19 @@ def test_url_filter_matches_sql(spark):
     found = entry.queries()["op3_url_filter"](spark, folder).collect()
     wanted = con.execute(entry.oracle_sql()["op3_url_filter"]).fetchall()
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
+
+
+def test_packing_remembers_less_in_the_pipeline(monkeypatch):
+    import public_tokenizers
+
+    import corpus_pipeline
+    from tamarack.llm import op05_packing
+
+    monkeypatch.setattr(op05_packing, "_READY", {})
+    encode = op05_packing._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"a{i} b{i * i} c{i % 7}" for i in range(2000)]
+    before = encode(texts)
+    assert encode.rest.size > 100_000
+    encode = op05_packing._encoder(public_tokenizers.path("byte_bpe_50k.json"), 50_000)
+    assert [encode(texts[k : k + 100]) for k in range(0, 2000, 100)] == [before[k : k + 100] for k in range(0, 2000, 100)]
+    assert encode.rest.size <= 50_000 and corpus_pipeline.PACKING_MEMORY < op05_packing.MEMORY
