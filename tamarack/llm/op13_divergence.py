@@ -1,7 +1,7 @@
 """Source divergence audit: how the sources of a language differ in their words, by chunk factorization.
 
-A text's white-space chunks are counted, not its terms: the chunks of each document are counted in its task, and summed by (lang, chunk), later by (lang, source, chunk), before anything is shuffled. Each globally distinct
-chunk is tokenized once (`tokenized`), and its terms are joined back to the chunk's sums. Numbers of distinct documents don't add up over chunks, for a document may hold a term in several of them ("word", "word,"). But they
+A text's white-space chunks are counted, not its terms: the chunks of a task's documents are numbered and counted as arrays, and summed by (lang, chunk), later by source within each, before anything is shuffled. Each distinct
+chunk of a language is tokenized once (`tokenized`), and its terms are joined back to the chunk's sums. Numbers of distinct documents don't add up over chunks, for a document may hold a term in several of them ("word", "word,"). But they
 are bounded: a term has at least as many documents as its most widespread chunk, and at most as many as all of its chunks together. Only where the least number asked for lies between the two are documents themselves joined
 to the term's chunks and counted (`exact_documents`).
 
@@ -16,11 +16,9 @@ values of 0; an empty table gives an empty result. Texts and chunks of any lengt
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import compress
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,73 +30,132 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE, PRIOR = 1_000_000_000, 5
 
-#: A task's counters are handed on after so many bytes of text. Cells of a block of shares, at least. Bits of a Bloom filter: so many for each chunk, and at most (8 MB).
+#: A task counts so many bytes of rows at once (one slice at least). Cells of a block of shares, at least. Bits of a Bloom filter: so many for each chunk, and at most (8 MB).
 FLUSH_BYTES, CELLS, BITS_A_CHUNK, MOST_BITS = 32 << 20, 1 << 16, 16, 1 << 26
 #: Where in a chunk's digest the filter's three numbers begin.
 SHIFTS = (0, 19, 38)
+#: An odd number and its inverse modulo 2**64.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
 
 
 def grouped_texts(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
+def places(lang: str, chunks: pa.Array, bits: int) -> list[np.ndarray]:
+    """Where a filter of so many bits (a power of two) marks the chunks of a language: from polynomials of their bytes modulo 2**64, for all chunks together."""
+    given = chunks.cast(pa.large_binary())
+    ends = np.frombuffer(given.buffers()[1], np.int64)[given.offset : given.offset + len(given) + 1]
+    raw = np.frombuffer(given.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(given) else np.zeros(0, np.uint8)
+    ends = ends - (ends[0] if len(ends) else 0)
+    powers, back = (np.cumprod(np.full(len(raw) + 1, x, np.uint64)) for x in (FACTOR, INVERSE))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * powers[:-1], dtype=np.uint64)))
+    digest = (sums[ends[1:]] - sums[ends[:-1]]) * back[ends[:-1]] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
+    for shift in (32, 29):
+        digest = (digest ^ digest >> np.uint64(shift)) * FACTOR
+    return [(digest >> np.uint64(n)) & np.uint64(bits - 1) for n in SHIFTS]
+
+
 def bloom_filter(chunks: DataFrame):
     """A broadcast filter of the columns `lang` and `chunk`: its words of 64 bits, of which the driver sees MOST_BITS / 64 at most."""
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_A_CHUNK * chunks.count()).bit_length()))
-    places = F.array(*[F.shiftrightunsigned(F.xxhash64(F.concat("lang", F.lit("\0"), "chunk")), n).bitwiseAND(F.lit(bits - 1)) for n in SHIFTS])
-    place = chunks.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("word"), F.col("place").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    found = place.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+
+    def kernel(batches):
+        for lang, own in by_language(batches, FLUSH_BYTES):
+            place = np.unique(np.concatenate(places(lang, own["chunk"].combine_chunks(), bits)))
+            word, first = np.unique(place >> np.uint64(6), return_index=True)
+            marks = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(marks.view(np.int64))], names=["word", "bits"])
+
+    found = chunks.select("lang", "chunk").mapInArrow(kernel, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return chunks.sparkSession.sparkContext.broadcast(words)
 
 
-def passing(words: np.ndarray, lang: str, chunks: list[bytes]) -> list[bytes]:
-    """The chunks of a language that the filter lets through, in their order."""
-    before = lang.encode() + b"\0"
-    digests = np.fromiter((xxhash.xxh64_intdigest(before + c, 42) for c in chunks), np.uint64, len(chunks))
+def passing(words: np.ndarray, lang: str, chunks: pa.Array) -> np.ndarray:
+    """Which of the chunks of a language the filter lets through."""
     through = np.ones(len(chunks), bool)
-    for n in SHIFTS:
-        place = (digests >> np.uint64(n)) & np.uint64(len(words) * 64 - 1)
+    for place in places(lang, chunks, len(words) * 64):
         through &= (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return list(compress(chunks, through))
+    return through
+
+
+def split(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct chunks of texts (split at ASCII white space), and for each occurrence the place of its text and of its chunk."""
+    parts = pa.compute.ascii_split_whitespace(texts.combine_chunks())
+    named = parts.flatten().dictionary_encode()
+    chunks, code = named.dictionary.cast(pa.string()), named.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy())
+    if (nothing := pa.compute.index(chunks, "").as_py()) >= 0:  # before the first or after the last white space
+        row, code = row[code != nothing], code[code != nothing]
+    return chunks, row, code
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of the numbers from 0, in order, and how often each occurs. Sorts them in place."""
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.diff(first, append=len(key))
+
+
+def by_language(batches, most: int):
+    """(lang, rows) of batches of texts, put together up to `most` bytes."""
+
+    def parts(held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held)
+        for lang in pa.compute.unique(rows["lang"]):
+            yield lang.as_py(), rows.filter(pa.compute.equal(rows["lang"], lang))
+
+    held, size = [], 0
+    for batch in slices(batches, 8192):
+        if held and size + batch.nbytes > most:
+            yield from parts(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield from parts(held)
+
+
+def chunk_documents(docs: DataFrame) -> DataFrame:
+    """lang, chunk, n: documents, summed over what a task holds at once."""
+
+    def kernel(batches):
+        for lang, own in by_language(batches, FLUSH_BYTES):
+            chunks, row, code = split(own["text"])
+            once, _ = distinct(code * len(own) + row)
+            n = np.bincount(once // len(own), minlength=len(chunks))
+            chunks, n = chunks.filter(pa.array(n > 0)), n[n > 0]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), chunks, pa.array(n)], names=["lang", "chunk", "n"])
 
+    return grouped_texts(docs).select("lang", "text").mapInArrow(kernel, "lang string, chunk string, n long")
 
-def chunk_counts(docs: DataFrame, by: list[str], once: bool, wanted=None) -> DataFrame:
-    """Columns `by` (the first is lang), chunk, n: occurrences, or documents if `once`, of the chunks that `wanted` (a Bloom filter) lets through."""
 
-    def rows(groups: dict[tuple, Counter]) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in [*by, "chunk", "n"]]
-        for key, times in groups.items():
-            chunks = list(times) if wanted is None else passing(wanted.value, key[0], list(times))
-            for column, values in zip(columns, [*[[k] * len(chunks) for k in key], chunks, map(times.__getitem__, chunks)], strict=True):
-                column.extend(values)
-        *keys, chunk, n = columns
-        return pa.RecordBatch.from_arrays([*[pa.array(k, pa.string()) for k in keys], pa.array(chunk, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=[*by, "chunk", "n"])
+def chunk_occurrences(docs: DataFrame, wanted) -> DataFrame:
+    """lang, chunk, held (source, n): occurrences of the chunks that `wanted` (a Bloom filter) lets through, by source, summed over what a task holds at once."""
 
     def kernel(batches):
-        groups, size = {}, 0
-        for batch in slices(batches):
-            for *key, text in zip(*(batch[c].to_pylist() for c in [*by, "text"]), strict=True):
-                chunks = text.encode().split()  # of bytes: at ASCII white space
-                groups.setdefault(tuple(key), Counter()).update(set(chunks) if once else chunks)
-                size += len(text) + 64
-            if size > FLUSH_BYTES:
-                yield rows(groups)
-                groups, size = {}, 0
-        if groups:
-            yield rows(groups)
+        for lang, own in by_language(batches, FLUSH_BYTES):
+            sources = own["source"].combine_chunks().dictionary_encode()
+            chunks, row, code = split(own["text"])
+            through = passing(wanted.value, lang, chunks)[code]
+            pair, n = distinct(code[through] * len(sources.dictionary) + sources.indices.to_numpy()[row[through]])
+            chunk, first = np.unique(pair // len(sources.dictionary), return_index=True)
+            held = pa.StructArray.from_arrays([sources.dictionary.cast(pa.string()).take(pa.array(pair % len(sources.dictionary))), pa.array(n)], names=["source", "n"])
+            held = pa.ListArray.from_arrays(pa.array(np.append(first, len(pair)), pa.int32()), held)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(chunk)), chunks.take(pa.array(chunk)), held], names=["lang", "chunk", "held"])
 
-    return grouped_texts(docs).select(*by, "text").mapInArrow(kernel, ", ".join(f"{c} string" for c in [*by, "chunk"]) + ", n long")
+    return grouped_texts(docs).mapInArrow(kernel, "lang string, chunk string, held array<struct<source:string,n:long>>")
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    """lang, chunk, n_docs, term, times of each chunk of each language. All rows of a chunk meet in one place, where it is tokenized once."""
-    counts = chunk_counts(docs, ["lang"], once=True).repartition("chunk").groupBy("chunk", "lang").agg(F.sum("n").alias("n_docs"))  # a task hands on a chunk once or twice, so sums before the shuffle would save nothing
-    once = counts.groupBy("chunk").agg(F.collect_list(F.struct("lang", "n_docs")).alias("langs"))  # as many as there are languages
+    """lang, chunk, n_docs, term, times of each chunk of each language. All rows of a chunk of a language meet in one place, where it is tokenized once."""
+    # a task hands on a chunk once or twice, so sums before the shuffle would save nothing
+    counts = chunk_documents(docs).repartition("lang", "chunk").groupBy("lang", "chunk").agg(F.sum("n").alias("n_docs"))
     terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0)
-    held = once.select("chunk", "langs", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"), F.first("langs").alias("langs"))
-    return held.select(F.explode("langs").alias("of"), "chunk", "term", "times").select("of.lang", "chunk", "of.n_docs", "term", "times")
+    return counts.select("lang", "chunk", "n_docs", F.explode(terms).alias("term")).groupBy("lang", "chunk", "n_docs", "term").agg(F.count("*").alias("times"))
 
 
 def exact_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,16 +163,11 @@ def exact_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = bloom_filter(wanted)
 
     def kernel(batches):
-        for batch in slices(batches):
-            held, langs = [set(text.encode().split()) for text in batch["text"].to_pylist()], batch["lang"].to_pylist()
-            through = {lang: set(passing(sent.value, lang, list(set().union(*(own for own, x in zip(held, langs, strict=True) if x == lang))))) for lang in set(langs)}
-            rows, chunks = [], []
-            for k, (own, lang) in enumerate(zip(held, langs, strict=True)):
-                found = own & through[lang]
-                rows += [k] * len(found)
-                chunks += found
-            picked = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["row"].take(picked), batch["lang"].take(picked), pa.array(chunks, pa.binary()).cast(pa.string())], names=["row", "lang", "chunk"])
+        for lang, own in by_language(batches, FLUSH_BYTES):
+            chunks, row, code = split(own["text"])
+            through = passing(sent.value, lang, chunks)[code]
+            once, _ = distinct(code[through] * len(own) + row[through])
+            yield pa.RecordBatch.from_arrays([own["row"].combine_chunks().take(pa.array(once % len(own))), pa.repeat(lang, len(once)), chunks.take(pa.array(once // len(own)))], names=["row", "lang", "chunk"])
 
     met = grouped_texts(docs).select("lang", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(kernel, "row long, lang string, chunk string").join(wanted, ["lang", "chunk"])
     return met.select("lang", "term", "row").distinct().groupBy("lang", "term").agg(F.count("*").alias("n_docs"))
@@ -168,8 +220,8 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     """lang, source, part, item, value, rank. Part `pair`: the distance of a source to each other one of its language. Part `term`: the `top` terms that it has more than its language."""
     kept, chunks = kept_terms(docs, least_docs)
     chunks = checkpointed(chunks)
-    counts = chunk_counts(docs, ["lang", "source"], once=False, wanted=bloom_filter(chunks)).repartition("lang", "source", "chunk").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
-    of_group = checkpointed(counts.join(chunks, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count")))
+    counts = chunk_occurrences(docs, bloom_filter(chunks)).join(chunks.hint("shuffle_hash"), ["lang", "chunk"]).select("lang", "term", "times", F.inline("held"))
+    of_group = checkpointed(counts.groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count")))
     sources = grouped_texts(docs).select("lang", "source").distinct()
     n_terms = kept.groupBy("lang").agg(F.count("*").alias("n_terms"))
     n_sources = sources.groupBy("lang").agg(F.count("*").alias("n_sources"))

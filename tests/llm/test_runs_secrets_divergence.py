@@ -201,3 +201,30 @@ def test_audit_matches_plain(spark, blocks, monkeypatch):
 
 def test_audit_of_an_empty_table(spark):
     assert divergence.audit(table(spark, [])).count() == 0
+
+
+def test_chunks_are_split_as_bytes_are():
+    texts = ["  a b\x0bc\x1cd \x85 e\t\n", "", " ", "x\x00y  z\r\x0c", "\xa0k\u2003l a a"]
+    chunks, row, code = divergence.split(divergence.pa.chunked_array([texts]))
+    words = chunks.to_pylist()
+    assert [[words[c].encode() for r, c in zip(row, code, strict=True) if r == k] for k in range(len(texts))] == [x.encode().split() for x in texts]
+
+
+def test_a_task_sums_a_chunk_over_its_sources(spark):
+    rows = [(1, "mot eau mot", "fr", s, 0, "r", "s", "c", 1) for s in ("s1", "s2", "s2", "s3")] + [(1, " mot ", "en", "s1", 0, "r", "s", "c", 1)]
+    given = spark.createDataFrame(rows, KIND).coalesce(1)
+    sent = divergence.bloom_filter(spark.createDataFrame([("fr", "mot"), ("en", "mot")], "lang string, chunk string"))
+    got = {(r["lang"], r["chunk"]): {(h["source"], h["n"]) for h in r["held"]} for r in divergence.chunk_occurrences(given, sent).collect()}
+    assert got == {("fr", "mot"): {("s1", 2), ("s2", 4), ("s3", 2)}, ("en", "mot"): {("s1", 1)}}
+    assert {tuple(r) for r in divergence.chunk_documents(given).collect()} == {("fr", "mot", 4), ("fr", "eau", 4), ("en", "mot", 1)}
+
+
+def test_filter_marks_a_chunk_alike_wherever_it_stands():
+    words = ["", "mot", "été", "x\x00", "x", "mot" * 500, "\x00"]
+    one = divergence.pa.array(words)
+    alone = [[int(p[0]) for p in divergence.places("fr", divergence.pa.array([w]), 1 << 26)] for w in words]
+    assert [[int(p[k]) for p in divergence.places("fr", one, 1 << 26)] for k in range(len(words))] == alone
+    assert [[int(p[k]) for p in divergence.places("fr", one.slice(2), 1 << 26)] for k in range(5)] == alone[2:]
+    assert len({tuple(x) for x in alone}) == len(words)
+    many = divergence.places("fr", divergence.pa.array([f"w{i}" for i in range(100_000)]), 1 << 26)
+    assert all(len(set(p.tolist())) > 99_700 for p in many) and [len(p) for p in divergence.places("fr", one[:0], 1 << 10)] == [0, 0, 0]
