@@ -125,12 +125,14 @@ def relevance(q: str, as_of: Column) -> Column:
     return score + F.coalesce(F.greatest(F.lit(0.0), 10 - days_since(F.col("postedAt"), as_of) / 3), F.lit(0.0))
 
 
-def order(sort: str = "recent", q: str | None = None, as_of: Column | None = None) -> list[Column]:
-    """Sort columns; every order ends in the id, so pages are stable."""
+def order(sort: str = "recent", q: str | None = None, as_of: Column | None = None, backwards: bool = False) -> list[Column]:
+    """Sort columns; every order ends in the id, so pages are stable. Backwards, the same order from its end."""
+    up = lambda c: c.desc_nulls_first() if backwards else c.asc_nulls_last()
+    down = lambda c: c.asc_nulls_first() if backwards else c.desc_nulls_last()
     if sort == "relevance" and q:
-        return [relevance(q, as_of).desc(), F.col("id").asc()]
-    first = {"salary_desc": annual().desc_nulls_last(), "salary_asc": annual().asc_nulls_last(), "company": F.collate(F.col("company"), "fr").asc_nulls_last()}
-    return [first.get(sort, F.coalesce("postedAt", "scrapedAt").desc_nulls_last()), F.col("id").asc()]
+        return [down(relevance(q, as_of)), up(F.col("id"))]
+    first = {"salary_desc": down(annual()), "salary_asc": up(annual()), "company": up(F.collate(F.col("company"), "fr"))}
+    return [first.get(sort, down(F.coalesce("postedAt", "scrapedAt"))), up(F.col("id"))]
 
 
 def paging(total: int, page: int, page_size: int) -> tuple[int, int, int]:
@@ -140,10 +142,14 @@ def paging(total: int, page: int, page_size: int) -> tuple[int, int, int]:
     return page, pages, (page - 1) * page_size
 
 
-def page_of(rows: DataFrame, sort: list[Column], page: int, page_size: int) -> DataFrame:
-    """One page, clamped. The total comes first; then only the rows up to the page's end are sorted (TakeOrdered)."""
-    _, _, offset = paging(rows.count(), page, page_size)
-    return rows.orderBy(*sort).offset(offset).limit(page_size)
+def page_of(rows: DataFrame, sort: list[Column], page: int, page_size: int, backwards: list[Column] | None = None) -> DataFrame:
+    """One page, clamped. The total comes first; then only the rows up to the page's end are sorted (TakeOrdered). Where `backwards` is given, the same order from its end, a page of the second half is taken from there: the last one needs a page's rows, not all."""
+    total = rows.count()
+    _, _, offset = paging(total, page, page_size)
+    after = max(0, total - offset - page_size)
+    if backwards is None or offset <= after:
+        return rows.orderBy(*sort).offset(offset).limit(page_size)
+    return rows.orderBy(*backwards).offset(after).limit(total - offset - after).orderBy(*sort)
 
 
 def facets(rows: DataFrame) -> DataFrame:

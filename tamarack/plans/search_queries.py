@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
 from tamarack.operators import search as S
@@ -37,8 +39,9 @@ def search_page_3(spark, sf_dir):
 
 @query("search_page_clamped", f"""SELECT {SHOW} FROM (SELECT *, row_number() OVER (ORDER BY {RECENT}) AS k, count(*) OVER () AS n FROM job WHERE city = 'NATION_3') WHERE k > (ceil(n / 100.0) - 1) * 100""")
 def search_page_clamped(spark, sf_dir):
+    """The last page, as in its SQL: the page asked for lies beyond any number of postings."""
     found = job(spark, sf_dir).where("city = 'NATION_3'")
-    return _show(S.page_of(found, S.order(), 999, 100))
+    return _show(S.page_of(found, S.order(), sys.maxsize, 100, S.order(backwards=True)))
 
 
 @query("search_all_filters", f"""SELECT id, "sourceId" FROM job WHERE list_has_any(languages, ['fr']) AND remote IN ('hybride', 'presentiel') AND "employmentType" IN ('1-URGENT', '2-HIGH') AND {DAYS} <= 1500 AND {ANNUAL} >= 50000""")

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tamarack import registry
 from tamarack.plans.base import rounded
@@ -143,3 +144,34 @@ def test_pages_of_one_row_group_are_read_by_many_tasks(spark, tmp_path, name):
         small.mkdir()
         duckdb.execute(f"COPY (SELECT * FROM '{tmp_path}/customer.parquet' LIMIT 500) TO '{small}/customer.parquet'")
         same_as_sql(spark, small, name, ["customer"])
+
+
+def test_last_page_of_more_than_999(spark, tmp_path):
+    """The fault was page 999, which is the last one only of fewer than 99,901 postings."""
+    made = {
+        "orders": "SELECT i::BIGINT AS o_orderkey, 1::BIGINT AS o_custkey, 'F' AS o_orderstatus, i + 0.25::DOUBLE AS o_totalprice, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (i % 900)::INT AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(100130) r(i)",
+        "customer": "SELECT 1::BIGINT AS c_custkey, 'c' AS c_name, n_nationkey AS c_nationkey, 1.0::DOUBLE AS c_acctbal, 'm' AS c_mktsegment FROM nation WHERE n_name = 'NATION_3'",
+    }
+    con = duckdb.connect()
+    for t in ("region", "nation", "lineitem", "part"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SMALL}/{t}.parquet")
+    con.execute(f"CREATE VIEW nation AS SELECT * FROM '{SMALL}/nation.parquet'")
+    for t, sql in made.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet'")
+    same_as_sql(spark, tmp_path, "search_page_clamped", ["region", "nation", "customer", "orders", "lineitem", "part"])
+
+
+@pytest.mark.parametrize(("sort", "total"), [("recent", 23), ("salary_desc", 23), ("salary_asc", 23), ("company", 23), ("relevance", 23), ("recent", 0)])
+def test_pages_from_the_end_equal_those_from_the_start(spark, sort, total):
+    from datetime import datetime, timedelta
+
+    from tamarack.operators import search as S
+
+    now = datetime(2024, 1, 31)
+    kind = "id string, title string, company string, tags array<string>, salaryMin double, salaryMax double, salaryPeriod string, postedAt timestamp, scrapedAt timestamp"
+    given = [(str(k), ["soudeur", "un soudeur", None][k % 3], ["Zut", "Éric", None, "Eric"][k % 4], [], k % 4 * 1.0 if k % 3 else None, None, "annee", now - timedelta(days=k % 5) if k % 4 else None, now if k % 8 else None) for k in range(total)]
+    rows = spark.createDataFrame(given, kind)
+    forth, back = (S.order(sort, "soudeur", F.lit(now), b) for b in (False, True))
+    for page in (4, 999):
+        got, want = S.page_of(rows, forth, page, 4, back).collect(), S.page_of(rows, forth, page, 4).collect()
+        assert got == want and len(want) == (0 if not total else 4 if page == 4 else 3)
