@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.dates import days_since
 from tamarack.functions.text import SPACE, escape_html, norm, words
-from tamarack.operators.extract.pages import read_once
+from tamarack.operators.extract.pages import written_once
 from tamarack.operators.search import annual, haystack
 from tamarack.taxonomy import label
 
@@ -28,6 +28,9 @@ PARTS = 256
 #: Lists of an alert by which it can be joined, the most selective first, and the postings' columns.
 INDEXED = {"sources": "sourceId", "categories": "categoryId", "regions": "regionId", "employmentTypes": "employmentType", "remote": "remote"}
 
+#: What alerts of text alone may ask for, and the postings' columns, beside their texts, that this is tested on.
+TESTS = {"salaryMin": ["salaryMin", "salaryMax", "salaryPeriod"], "postedWithinDays": ["postedAt"], "languages": ["languages"], "q": [], "company": [], "cities": []}
+
 
 def _any(column: str, wanted: Column) -> Column:
     return wanted.isNull() | (F.size(wanted) == 0) | F.coalesce(F.array_contains(wanted, F.col(column)), F.lit(False))
@@ -38,17 +41,24 @@ def _folded(alerts: DataFrame) -> DataFrame:
     return alerts.withColumns({"q_words": words("query.q"), "q_company": norm(F.col("query.company")), "q_cities": F.transform("query.cities", norm)})
 
 
-def alert_predicate(as_of: Column) -> Column:
-    """Whether a posting fits the alert in column `query`, whose texts `_folded` has prepared; absent parameters fit all."""
+def alert_predicate(as_of: Column, tests: Collection[str] | None = None) -> Column:
+    """Whether a posting fits the alert in column `query`, whose texts `_folded` has prepared; absent parameters fit all. Of the parameters only `tests` are looked at, where they are given: those that any alert has."""
     q = lambda name: F.col(f"query.{name}")
-    text = q("q").isNull() | F.forall("q_words", lambda w: F.contains(F.col("hay"), w))
-    company = q("company").isNull() | F.contains(F.col("company_folded"), F.col("q_company"))
-    cities = q("cities").isNull() | (F.size(q("cities")) == 0) | F.exists("q_cities", lambda c: F.contains(F.col("city_folded"), c))
-    languages = q("languages").isNull() | (F.size(q("languages")) == 0) | F.coalesce(F.arrays_overlap("languages", q("languages")), F.lit(False))
-    salary = q("salaryMin").isNull() | F.coalesce(F.col("annual") >= q("salaryMin"), F.lit(False))
-    fresh = q("postedWithinDays").isNull() | F.coalesce(days_since(F.col("postedAt"), as_of) <= q("postedWithinDays"), F.lit(False))
-    lists = _any("regionId", q("regions")) & _any("categoryId", q("categories")) & _any("employmentType", q("employmentTypes")) & _any("remote", q("remote")) & _any("sourceId", q("sources"))
-    return lists & salary & fresh & languages & text & company & cities
+    every = {name: _any(column, q(name)) for name, column in INDEXED.items()} | {
+        "salaryMin": q("salaryMin").isNull() | F.coalesce(F.col("annual") >= q("salaryMin"), F.lit(False)),
+        "postedWithinDays": q("postedWithinDays").isNull() | F.coalesce(days_since(F.col("postedAt"), as_of) <= q("postedWithinDays"), F.lit(False)),
+        "languages": q("languages").isNull() | (F.size(q("languages")) == 0) | F.coalesce(F.arrays_overlap("languages", q("languages")), F.lit(False)),
+        "q": q("q").isNull() | F.forall("q_words", lambda w: F.contains(F.col("hay"), w)),
+        "company": q("company").isNull() | F.contains(F.col("company_folded"), F.col("q_company")),
+        "cities": q("cities").isNull() | (F.size(q("cities")) == 0) | F.exists("q_cities", lambda c: F.contains(F.col("city_folded"), c)),
+    }
+    return reduce(lambda x, y: x & y, [c for name, c in every.items() if tests is None or name in tests], F.lit(True))
+
+
+def _prepared(jobs: DataFrame, paid: bool = True) -> DataFrame:
+    """jobs with what alerts look at, made once for each posting; without `paid` no alert asks for pay."""
+    made = {"hay": haystack(), "company_folded": norm(F.col("company")), "city_folded": F.coalesce(norm(F.col("city")), F.lit(""))}
+    return jobs.withColumns(made | {"annual": annual()} if paid else made)
 
 
 def oldest_cutoff(alerts: DataFrame, as_of: Column) -> DataFrame:
@@ -66,58 +76,82 @@ def _long_words(text: Column) -> Column:
     return F.filter(F.coalesce(words(text), F.array().cast("array<string>")), lambda w: F.length(w) >= STRETCHES[0])
 
 
-def _by_words(prepared: DataFrame, alerts: DataFrame, fits: Column) -> DataFrame:
+def _bits(token: Column) -> tuple[Column, Column]:
+    """The number that a word is hashed to, and its two of that number's 64 bits."""
+    h = F.xxhash64(token)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, k), F.lit(64)).cast("int"))
+    return F.pmod(h, F.lit(BUCKETS)), bit(32).bitwiseOR(bit(40))
+
+
+def _inside(needles: DataFrame, known: DataFrame) -> DataFrame:
+    """word, token, n of the words of needles (word, letters) and the tokens of known (token, letters, n) that they lie in.
+
+    Equal ones are joined. Longer tokens are found by a word's rarest stretch of 3, 6, 12 or 24 characters (the longest that it has): only tokens longer than the shortest word with stretches of a length are cut into these, and only words shorter than the longest token."""
+    equal = needles.join(known, needles["word"] == known["token"]).select("word", "token", "n")
+    longest = known.agg(F.max("letters").alias("n")).head()["n"] or 0
+    size = F.element_at(F.filter(F.array(*map(F.lit, STRETCHES)), lambda x: x <= F.length("word")), -1)
+    short = needles.where(F.col("letters") < longest).withColumn("size", size)
+    least = {r["size"]: r["n"] for r in short.groupBy("size").agg(F.min("letters").alias("n")).collect()}  # one row for each of STRETCHES at most
+    if not least:
+        return equal
+    none = F.array().cast("array<string>")
+    cut = F.concat(*[F.when(F.col("letters") > n, _grams(F.col("token"), size)).otherwise(none) for size, n in sorted(least.items())])
+    wanted = short.select("word", "letters", F.explode(_grams(F.col("word"), F.col("size"))).alias("gram"))
+    held = written_once(known.where(F.col("letters") > min(least.values())).select("token", "n", F.col("letters").alias("of_token"), F.explode(cut).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("tokens"))
+    rare = wanted.join(counts, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), "gram"))["gram"].alias("gram"), F.min("letters").alias("letters"))
+    return equal.unionByName(rare.join(held, "gram").where((F.col("of_token") > F.col("letters")) & F.contains("token", F.col("word"))).select("word", "token", "n"))
+
+
+def _by_words(prepared: DataFrame, alerts: DataFrame, fits: Column, towns: bool = True) -> DataFrame:
     """Alerts that must find a word of three letters or more in a posting: each stands under the one of its words (of its texts and company, or of each of its cities, any of which may be found) that the fewest postings have, and meets these alone.
 
-    A word lies within one of the words of a posting, so it is looked up among the distinct words of all postings, not in every posting: it is sent to the words that have its rarest stretch of 3, 6, 12 or 24 characters (the longest that it
-    has), and kept where it lies in them. So work grows with the postings' words and with the matches of the rarest words, not with alerts times postings. Words of postings that no alert needs are held back by a broadcast set of at most BUCKETS numbers."""
+    A word lies within one of the words of a posting, so it is looked up among the distinct words of all postings, not in every posting (`_inside`). So work grows with the postings' words and with the matches of the rarest words, not with alerts times postings.
+    Postings are shuffled once, to the alerts of their words, and only under words that an alert needs: a broadcast set of 64 bits for each of at most BUCKETS numbers holds back the others. Without `towns` no alert names cities, and their words are left alone."""
     q = lambda name: F.col(f"query.{name}")
     must = F.concat(_long_words(q("q")), _long_words(q("company")))
     needles = F.when(F.size(must) > 0, F.array(must)).otherwise(F.transform(q("cities"), _long_words))
     listed = alerts.select("alert_id", F.posexplode(needles).alias("needle", "words")).select("alert_id", "needle", F.explode(F.array_distinct("words")).alias("word"))
-    has = F.array_distinct(F.filter(F.split(F.concat_ws(" ", "hay", "city_folded"), f"{SPACE}+"), lambda w: F.length(w) >= STRETCHES[0]))
-    postings = prepared.withColumn("has", has)
+    # made anew from the texts where it is needed, which is cheaper than to shuffle it
+    has = F.array_distinct(F.filter(F.split(F.concat_ws(" ", "hay", "city_folded") if towns else F.col("hay"), f"{SPACE}+"), lambda w: F.length(w) >= STRETCHES[0]))
 
-    known = postings.select(F.explode("has").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    known = read_once(known).select("token", "n", F.explode(F.concat(*[_grams(F.col("token"), size) for size in STRETCHES])).alias("gram"))
-    size = F.element_at(F.filter(F.array(*map(F.lit, STRETCHES)), lambda x: x <= F.length("word")), -1)
-    wanted = listed.select("word").distinct().select("word", F.explode(_grams(F.col("word"), size)).alias("gram"))
-    held = read_once(known.join(wanted.select("gram").distinct(), "gram", "left_semi"))
-    counts = held.groupBy("gram").agg(F.count("*").alias("tokens"))
-    rare = wanted.join(counts, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), "gram"))["gram"].alias("gram"))
-    pairs = read_once(rare.join(held, "gram").where(F.contains("token", F.col("word"))).select("word", "token", "n"))
+    known = written_once(prepared.select(F.explode(has).alias("token")).groupBy("token").agg(F.count("*").alias("n")).withColumn("letters", F.length("token")))
+    words_ = listed.select("word").distinct().withColumn("letters", F.length("word"))
+    pairs = written_once(_inside(words_, known))
 
-    frequency = pairs.groupBy("word").agg(F.sum("n").alias("n"))
+    frequency = pairs.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("tokens"))
     chosen = listed.join(frequency, "word", "left").groupBy("alert_id", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
-    keys = read_once(chosen.groupBy("alert_id").agg(F.sort_array(F.collect_set("word")).alias("keys")))  # as many as an alert has cities
-    own = alerts.join(keys, "alert_id").select("*", F.explode("keys").alias("word"))
-    pairs = pairs.select("word", "token").join(keys.select(F.explode("keys").alias("word")).distinct(), "word", "left_semi")
-    bucket = F.pmod(F.xxhash64("token"), F.lit(BUCKETS))
-    used = F.broadcast(pairs.select(bucket.alias("bucket")).distinct())  # BUCKETS numbers at most
-    under = postings.select("*", F.explode("has").alias("token")).withColumn("bucket", bucket).join(used, "bucket", "left_semi").drop("bucket")
+    keys = chosen.groupBy("alert_id").agg(F.sort_array(F.collect_set("word")).alias("keys"))  # as many as an alert has cities
+    under = pairs.select("word", "token").join(frequency.select("word", (F.col("tokens") == 1).alias("single")), "word")
+    own = written_once(alerts.join(keys, "alert_id").select("*", F.explode("keys").alias("word")).join(under, "word"))
+    number, bits = _bits(F.col("token"))
+    used = F.broadcast(own.select("token").distinct().select(number.alias("number"), bits.alias("bits")).groupBy("number").agg(F.bit_or("bits").alias("all_bits")))  # BUCKETS rows at most
+    sent = prepared.select("*", F.explode(has).alias("token")).withColumns({"number": number, "bits": bits}).join(used, "number").where(F.col("all_bits").bitwiseAND(F.col("bits")) == F.col("bits")).drop("number", "bits", "all_bits")
     # a posting that has a word in several of its own, or several of an alert's cities, counts once
-    met = under.join(pairs, "token").where(F.col("token") == F.element_at(F.filter("has", lambda t: F.contains(t, F.col("word"))), 1)).drop("token")
-    once = F.col("word") == F.element_at(F.filter("keys", lambda w: F.exists("has", lambda t: F.contains(t, w))), 1)
-    return met.join(own, "word").where(once & fits).drop("word", "keys", "has")
+    first = F.when(F.col("single"), F.lit(True)).otherwise(F.col("token") == F.element_at(F.filter(has, lambda t: F.contains(t, F.col("word"))), 1))
+    once = F.when(F.size("keys") == 1, F.lit(True)).otherwise(F.col("word") == F.element_at(F.filter("keys", lambda w: F.exists(has, lambda t: F.contains(t, w))), 1))
+    return sent.join(own, "token").where(fits & first & once).drop("token", "word", "keys", "single")
 
 
-def match_alerts(jobs: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame:
-    """(alert_id, job columns) of postings created after an alert's cut-off that fit it.
+def match_alerts(jobs: DataFrame, alerts: DataFrame, as_of: Column, columns: Sequence[str] | None = None) -> DataFrame:
+    """(alert_id, job columns) of postings created after an alert's cut-off that fit it; of the job's columns those named, or all.
 
     The oldest cut-off of all alerts is a literal that prunes the scan of postings; the folded texts of a posting are computed once, not for each alert. Up to FEW alerts of any kinds are sent to the postings' tasks, which pass over the postings once.
 
     Of more, an alert that names sources, categories, regions, contracts or modes of work stands under each value of the first of these lists, and meets only postings of that value, by an equi-join; the rest of its predicate is tested there.
-    Alerts of words, companies or places alone are found by words (`_by_words`). What is left, alerts of languages, pay, age or of shorter words alone, fits a large part of the postings: these alerts are sent to the postings' tasks, in slices
+    Alerts of words, companies or places alone are found by words (`_by_words`), among postings that are made and written once, with the columns that these alerts and the result need. What is left, alerts of languages, pay, age or of shorter words alone, fits a large part of the postings: these alerts are sent to the postings' tasks, in slices
     whose size is bounded."""
+    columns = list(jobs.columns if columns is None else columns)
     has = lambda n: F.coalesce(F.size(f"query.{n}"), F.lit(0)) > 0
     needle = (F.size(_long_words(F.col("query.q"))) > 0) | (F.size(_long_words(F.col("query.company"))) > 0)
     towns = has("cities") & F.forall("query.cities", lambda c: F.size(_long_words(c)) > 0)
     index = F.coalesce(*[F.when(has(n), F.lit(n)) for n in INDEXED], F.when(needle | towns, F.lit("text")))
     a = _folded(alerts.select(F.col("id").alias("alert_id"), "query", F.coalesce("last_notified_at", "created_at").alias("cutoff"), index.alias("by")))
-    kinds = {r["by"]: r for r in a.groupBy("by").agg(F.count("*").alias("n"), F.min("cutoff").alias("oldest")).collect()}  # one row for each list, and one without
+    given = [F.count(F.when(has(n), 1) if n in ("languages", "cities") else f"query.{n}").alias(n) for n in TESTS]
+    kinds = {r["by"]: r for r in a.groupBy("by").agg(F.count("*").alias("n"), F.min("cutoff").alias("oldest"), *given).collect()}  # one row for each list, and one without
     oldest = min((r["oldest"] for r in kinds.values() if r["oldest"] is not None), default=None)
     fresh = jobs.where(F.col("createdAt") > F.lit(oldest)) if oldest is not None else jobs.limit(0)
-    prepared = fresh.withColumns({"hay": haystack(), "company_folded": norm(F.col("company")), "city_folded": F.coalesce(norm(F.col("city")), F.lit("")), "annual": annual()})
+    prepared = _prepared(fresh)
     fits = (F.col("createdAt") > F.col("cutoff")) & alert_predicate(as_of)
     parts = []
     if 0 < sum(r["n"] for r in kinds.values()) <= FEW:
@@ -127,13 +161,16 @@ def match_alerts(jobs: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame
         own = F.broadcast(own) if kinds[name]["n"] <= SLICE else own
         parts.append(prepared.join(own, (F.col(INDEXED[name]) == F.col("value")) & fits).drop("value"))
     if "text" in kinds:
-        parts.append(_by_words(prepared, a.where(F.col("by") == "text"), fits))
+        tests = [n for n in TESTS if kinds["text"][n]]  # an alert of text alone has no lists
+        read = {"createdAt", "title", "company", "description", "tags", "city"}.union(*[TESTS[n] for n in tests])
+        narrow = _prepared(written_once(fresh.select(*[c for c in fresh.columns if c in columns or c in read])), "salaryMin" in tests)
+        parts.append(_by_words(narrow, a.where(F.col("by") == "text"), (F.col("createdAt") > F.col("cutoff")) & alert_predicate(as_of, tests), "cities" in tests))
     pieces = -(-kinds[None]["n"] // SLICE) if None in kinds else 0
     for k in range(pieces):
         own = a.where(F.col("by").isNull() & (F.pmod(F.xxhash64("alert_id"), F.lit(pieces)) == k))
         parts.append(prepared.join(F.broadcast(own), fits))  # SLICE alerts or few more
     parts = parts or [prepared.join(a, F.lit(False))]
-    return reduce(DataFrame.unionByName, parts).drop("hay", "company_folded", "city_folded", "query", "cutoff", "by", "q_words", "q_company", "q_cities")
+    return reduce(DataFrame.unionByName, [p.select("alert_id", *columns) for p in parts])
 
 
 def describe(source_name: Callable[[Column], Column] | None = None) -> Column:

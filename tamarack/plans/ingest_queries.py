@@ -239,12 +239,12 @@ def alert_oldest_cutoff(spark, sf_dir):
     JOIN job ON contains(lower(job.company), lower(c_name)) AND "scrapedAt" > first WHERE (c_custkey % 4 <> 0 OR list_has_any(languages, ['fr', 'en']))""",
 )
 def alert_word_index(spark, sf_dir):
-    """Alerts of words and companies alone, as many as customers: found by three-letter stretches, without a nested loop."""
+    """Alerts of words and companies alone, as many as customers: found among the postings' words, without a nested loop."""
     alerts = customer_alerts(spark, sf_dir)
     words = alerts.withColumn("query", F.col("query").dropFields("regions", "categories", "salaryMin"))
     for name, kind in (("regions", "array<string>"), ("categories", "array<string>"), ("salaryMin", "double")):
         words = words.withColumn("query", F.col("query").withField(name, F.lit(None).cast(kind)))
-    return A.match_alerts(_stored(spark, sf_dir), words, orders_now()).select("alert_id", "id")
+    return A.match_alerts(_stored(spark, sf_dir), words, orders_now(), ["id"])
 
 
 @query(

@@ -107,6 +107,42 @@ def test_alerts_match_by_index_as_in_one_pass(spark, monkeypatch, few):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_postings_are_made_once_for_alerts_of_text(spark):
+    """The fault was postings made once for their words and again to be matched, shuffled twice then, and under words that no alert needs."""
+    from datetime import datetime
+
+    from tamarack.operators import alerts as A
+
+    names = [f"Customer#{k:09d}" for k in range(600)]
+    jobs, seen = _jobs(spark, [("Soudeur", n, "Laval", None) for n in names]), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    alerts = _alerts(spark, {n: {"q" if k % 2 else "company": n} for k, n in enumerate(names)})
+    found = A.match_alerts(jobs.mapInArrow(count, jobs.schema), alerts, F.lit(datetime(2020, 3, 1)), ["company", "id"])
+    rows = found.collect()
+    assert found.columns == ["alert_id", "company", "id"] and len(rows) == 600 and all(r.alert_id == r.company for r in rows) and seen.value == 600
+
+
+def test_words_are_cut_only_for_longer_tokens(spark, monkeypatch):
+    from tamarack.operators import alerts as A
+
+    def inside(words, tokens):
+        cut = []
+        monkeypatch.setattr(A, "written_once", lambda rows: cut.append(rows) or rows)
+        table = lambda given, name: spark.createDataFrame([(w, 2) for w in given], f"{name} string, n long").withColumn("letters", F.length(name))
+        found = sorted((r.word, r.token) for r in A._inside(table(words, "word").drop("n"), table(tokens, "token")).collect())
+        assert found == sorted((w, t) for w in words for t in tokens if w in t)
+        return [rows.count() for rows in cut]
+
+    same = [f"customer#{k:09d}" for k in range(50)]
+    assert inside(same, same[:30] + ["ring", "x" * 18]) == []
+    assert inside(["ring", "abc", "spring", "customer#00000001", "x" * 30], [*same, "ring", "springs", "stringent", "zabcabc", "x" * 29, "y" + "x" * 31])[0] > 0
+
+
 def test_newest_matches_are_read_once(spark):
     from datetime import datetime, timedelta
 
